@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import PY_STRIP_RE, py_strip
+from tessera.functions.text import PY_STRIP_RE, let, py_strip
 
 # Romanization rules (lang, source, roman).
 LATIN_RULES = [
@@ -112,11 +112,39 @@ def _plan(rules):
     return multi, one_n, one_one
 
 
+def _script(ch: str) -> int:
+    """Group rules by 256-code-point block (Latin-1, Greek, Cyrillic, kana…)."""
+    return ord(ch[0]) >> 8
+
+
+def _char_class(chars) -> str:
+    """One code-point range covering the characters: a range test is a
+    single comparison, where a long list of single characters costs the
+    regex engine one test per listed character at every text position."""
+    cps = [ord(c) for c in chars]
+    return "[\\x{%x}-\\x{%x}]" % (min(cps), max(cps))
+
+
+def _group_step(rs, guard):
+    def step(x):
+        chain = x
+        for s, r in rs:
+            chain = F.replace(chain, F.lit(s), F.lit(r))
+        return F.when(x.rlike(guard), chain).otherwise(x)
+    return step
+
+
 def _apply(col: Column, rules) -> Column:
+    """Replace chains grouped by script, each behind one ``rlike`` guard (a
+    row without any source character of the group skips the group), then
+    one ``translate`` for every 1:1 rule."""
     multi, one_n, one_one = _plan(rules)
     c = col
+    groups: dict[int, list] = {}
     for s, r in multi + one_n:
-        c = F.replace(c, F.lit(s), F.lit(r))
+        groups.setdefault(_script(s), []).append((s, r))
+    for _, rs in sorted(groups.items()):
+        c = let(c, _group_step(rs, _char_class(s[0] for s, _ in rs)))
     if one_one:
         c = F.translate(c, "".join(s for s, _ in one_one), "".join(r for _, r in one_one))
     return c
@@ -134,24 +162,25 @@ def _hangul(col: Column) -> Column:
                       F.concat(F.element_at(ini, (F.floor(s / 588) + 1).cast("int")),
                                F.element_at(med, (F.floor(F.pmod(s, F.lit(588)) / 28) + 1).cast("int")),
                                F.element_at(fin, (F.pmod(s, F.lit(28)) + 1).cast("int")))).otherwise(ch)
-    return F.when(col.rlike("[가-힣]"),
-                  F.array_join(F.transform(F.split(col, ""), one), "")).otherwise(col)
+    return let(col, lambda x: F.when(x.rlike("[가-힣]"),
+                                     F.array_join(F.transform(F.split(x, ""), one), "")).otherwise(x))
 
 
 def romanize(col, lang: Column | str | None = None, rules=None, strip: bool = True) -> Column:
     """Romanize a text column. ``lang`` (a column or a literal code) selects
-    language-specific rules in addition to the general ones."""
+    language-specific rules, applied before the general ones."""
     c = F.col(col) if isinstance(col, str) and not isinstance(col, Column) else col
     rules = rules if rules is not None else default_rules()
     general = [(s, r) for lg, s, r in rules if lg is None]
-    out = _apply(c, general)
     langs = sorted({lg for lg, _, _ in rules if lg is not None})
     if lang is not None and langs:
         lc = lang if isinstance(lang, Column) else F.lit(lang)
+        pre = c
         for lg in langs:
             specific = [(s, r) for l2, s, r in rules if l2 == lg]
-            out = F.when(lc == F.lit(lg), _apply(_apply(c, specific), general)).otherwise(out)
-    out = _hangul(out)
+            pre = F.when(lc == F.lit(lg), _apply(c, specific)).otherwise(pre)
+        c = pre
+    out = _hangul(_apply(c, general))
     return py_strip(out) if strip else out
 
 

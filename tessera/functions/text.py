@@ -23,15 +23,27 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a bound lambda
+    variable. Column expressions are trees: using a sub-expression twice
+    would evaluate it twice (and nested reuse grows the tree
+    exponentially)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def py_strip(col) -> Column:
     """``str.strip()``: removes every Python whitespace character, which is
-    wider than SQL ``trim`` (that only removes spaces)."""
-    return F.regexp_replace(_c(col), PY_STRIP_RE, "")
+    wider than SQL ``trim`` (that only removes spaces). The regex only runs
+    when the first or last character is whitespace."""
+    def body(x):
+        edge = F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1)).rlike(PY_SPACE_CLASS)
+        return F.when(edge, F.regexp_replace(x, PY_STRIP_RE, "")).otherwise(x)
+    return let(_c(col), body)
 
 
 def _drop_last_empty(arr: Column) -> Column:
-    return F.when(F.element_at(arr, -1) == F.lit(""),
-                  F.slice(arr, 1, F.greatest(F.size(arr) - 1, F.lit(0)))).otherwise(arr)
+    return let(arr, lambda a: F.when(F.element_at(a, -1) == F.lit(""),
+                                     F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a))
 
 
 def split_lines(col, unicode_breaks: bool = True) -> Column:
@@ -46,8 +58,8 @@ def split_lines(col, unicode_breaks: bool = True) -> Column:
 def split_ws(col) -> Column:
     """``str.split()`` with no argument: strip, then split on whitespace
     runs; an all-blank text gives an empty array."""
-    s = py_strip(col)
-    return F.when(s == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(s, WS_RE, -1))
+    return let(py_strip(col), lambda s: F.when(s == F.lit(""), F.array().cast("array<string>"))
+               .otherwise(F.split(s, WS_RE, -1)))
 
 
 def prefix_before(col, sep: str) -> Column:
