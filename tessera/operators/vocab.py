@@ -88,10 +88,10 @@ def add_ids(df: DataFrame, vocab: DataFrame, cols: dict[str, str]) -> DataFrame:
     regroup shuffle of the token stream.
     """
     spark = vocab.sparkSession
-    n = vocab.count()
-    if n > VOCAB_BROADCAST_LIMIT:
-        raise ValueError(f"vocabulary of {n} pieces is above the broadcast limit")
-    mapping = {r["piece"]: int(r["piece_id"]) for r in vocab.select("piece", "piece_id").toLocalIterator()}
+    rows = vocab.select("piece", "piece_id").limit(VOCAB_BROADCAST_LIMIT + 1).collect()
+    if len(rows) > VOCAB_BROADCAST_LIMIT:
+        raise ValueError("vocabulary is above the broadcast limit")
+    mapping = {r["piece"]: int(r["piece_id"]) for r in rows}
     bc = spark.sparkContext.broadcast(mapping)
     src = set(cols.values())
     fields = [f for f in df.schema.fields if f.name not in src]
