@@ -340,11 +340,11 @@ _RL = " UNION ALL ".join(f"SELECT '{x}' AS lang" for x in REPORT_LANGS)
 register("tag_span_f1", f"""WITH RECURSIVE {SQL_DEC},
 gx AS (SELECT guid, lang, unnest(range(len(gold_labels))) AS pos, unnest(gold_labels) AS label FROM dec),
 px AS (SELECT guid, lang, unnest(range(len(pred_labels))) AS pos, unnest(pred_labels) AS label FROM dec),
-{_sql_spans('gx', ['guid', 'lang'], 'pos', 'label', 'sg')},
-{_sql_spans('px', ['guid', 'lang'], 'pos', 'label', 'sp')},
-j AS (SELECT coalesce(sg.lang, sp.lang) AS lang, sg.guid AS g, sp.guid AS p
-      FROM sg FULL OUTER JOIN sp ON sg.guid = sp.guid AND sg.span_type = sp.span_type
-                                 AND sg.start = sp.start AND sg."end" = sp."end"),
+{_sql_spans('gx', ['guid', 'lang'], 'pos', 'label', 'gsp')},
+{_sql_spans('px', ['guid', 'lang'], 'pos', 'label', 'psp')},
+j AS (SELECT coalesce(gsp.lang, psp.lang) AS lang, gsp.guid AS g, psp.guid AS p
+      FROM gsp FULL OUTER JOIN psp ON gsp.guid = psp.guid AND gsp.span_type = psp.span_type
+                                 AND gsp.start = psp.start AND gsp."end" = psp."end"),
 a AS (SELECT lang, count(g) AS n_gold, count(p) AS n_pred, count(CASE WHEN g IS NOT NULL AND p IS NOT NULL THEN 1 END) AS tp
       FROM j GROUP BY lang),
 m AS (SELECT *, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
