@@ -109,19 +109,20 @@ def guid(lang: Column, *parts: Column) -> Column:
     return F.concat_ws("-", lang, *[p.cast("string") for p in parts])
 
 
-def label_vocab(labels: DataFrame, label_col: str = "label", order_col: str | None = None) -> DataFrame:
-    """Label list in file order (or sorted), ``O`` put first when absent;
-    id = position. A label set is small (bounded by the tag inventory)."""
+def label_vocab(labels: DataFrame, label_col: str = "label", limit: int = 100_000) -> DataFrame:
+    """Sorted label list with ``O`` put first when absent; id = position.
+
+    A label inventory is small whatever the corpus size (the distinct step
+    runs distributed; only the distinct labels reach the driver, with a
+    size check)."""
     spark = labels.sparkSession
-    d = labels.select(label_col, *( [order_col] if order_col else [])).dropDuplicates([label_col])
-    order = F.col(order_col) if order_col else F.col(label_col)
-    ranked = d.select(F.col(label_col).alias("label"),
-                      F.row_number().over(Window.orderBy(order)).alias("__r"))
-    has_o = ranked.filter(F.col("label") == "O").limit(1).count() > 0
-    if not has_o:
-        ranked = spark.createDataFrame([("O", 0)], "label string, __r int").unionByName(ranked)
-    w = Window.orderBy("__r")
-    return ranked.select("label", (F.row_number().over(w) - 1).cast("int").alias("label_id"))
+    rows = labels.select(label_col).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError("label inventory is larger than a label vocabulary can be")
+    names = sorted(r[0] for r in rows if r[0] is not None)
+    if "O" not in names:
+        names = ["O"] + names
+    return spark.createDataFrame([(n, i) for i, n in enumerate(names)], "label string, label_id int")
 
 
 def label_map(vocab: DataFrame) -> Column:

@@ -66,13 +66,33 @@ def tag_tokens(spark, sf):
     return t.filter(~F.col("is_blank")).select("doc_id", "lang", "line_no", "sent_no", "token", "label")
 
 
-def packed(spark, sf):
-    u = unk_tokens(tag_tokens(spark, sf), TAG_MAX_LEN, PIECE_LEN, SPECIAL)
+class Ctx:
+    """Per-query stage cuts: the token table is checkpointed (reliable
+    checkpoint in the shared folder) once, and the small dimension tables
+    derived from it are built once, so driver-side lookups do not re-run
+    the text pipeline."""
+
+    def __init__(self, spark, sf):
+        checkpoint_dir(spark)
+        self.spark, self.sf = spark, sf
+        self.tokens = tag_tokens(spark, sf).checkpoint(eager=True)
+        self._lv = None
+
+    @property
+    def labels(self):
+        if self._lv is None:
+            self._lv = label_vocab(self.tokens.filter(F.col("label") != "O").select("label")).cache()
+        return self._lv
+
+
+def packed(spark, sf, ctx=None):
+    ctx = ctx or Ctx(spark, sf)
+    u = unk_tokens(ctx.tokens, TAG_MAX_LEN, PIECE_LEN, SPECIAL)
     return pack_fragments(u, ["doc_id", "lang", "sent_no"], BUDGET, carry=["token", "label"])
 
 
-def sentences(spark, sf):
-    p = packed(spark, sf)
+def sentences(spark, sf, ctx=None):
+    p = packed(spark, sf, ctx)
     s = assemble_sentences(p, ["doc_id", "lang", "sent_no", "frag"], "line_no",
                            {"words": "token", "labels": "label"})
     w = Window.partitionBy("doc_id").orderBy("sent_no", "frag")
@@ -80,7 +100,7 @@ def sentences(spark, sf):
 
 
 def labels_vocab(spark, sf):
-    return label_vocab(tag_tokens(spark, sf).filter(F.col("label") != "O").select("label"))
+    return Ctx(spark, sf).labels
 
 
 # ----- SQL fragments ---------------------------------------------------------
@@ -171,9 +191,10 @@ SELECT d.doc_id, d.lang, coalesce(m.lang_id, {_DEFAULT_ID}) AS lang_id
 FROM documents d LEFT JOIN m ON d.lang = m.lang""")(q_lang_id)
 
 
-def aligned(spark, sf):
-    s = sentences(spark, sf)
-    lmap = label_map(labels_vocab(spark, sf))
+def aligned(spark, sf, ctx=None):
+    ctx = ctx or Ctx(spark, sf)
+    s = sentences(spark, sf, ctx)
+    lmap = label_map(ctx.labels)
     lids = F.transform("labels", lambda x: F.element_at(lmap, x))
     return s.withColumn("label_ids", lids).withColumn("piece_labels", align_labels(F.col("words"), F.col("label_ids"),
                                                                                       PIECE_LEN))
@@ -195,9 +216,10 @@ SELECT guid, label_ids, piece_labels FROM al2""")(
     lambda spark, sf: aligned(spark, sf).select("guid", "label_ids", "piece_labels"))
 
 
-def features(spark, sf):
-    a = aligned(spark, sf)
-    vocab = build_vocab(tag_tokens(spark, sf).select("token"), "token", VOCAB_SIZE, PIECE_LEN)
+def features(spark, sf, ctx=None):
+    ctx = ctx or Ctx(spark, sf)
+    a = aligned(spark, sf, ctx)
+    vocab = build_vocab(ctx.tokens.select("token"), "token", VOCAB_SIZE, PIECE_LEN)
     pcs = a.withColumn("pieces", F.flatten(F.transform("words", lambda w: word_pieces(w, PIECE_LEN))))
     pcs = add_ids(pcs, vocab, {"piece_ids": "pieces"})
     m = spark.createDataFrame(LANG2ID, "lang string, lang_id int")
@@ -239,13 +261,10 @@ SELECT guid, input_ids, input_mask, segment_ids, label_ids, langs FROM feat""")(
 
 
 # ----- predictions, decoding, spans, realignment ----------------------------
-def _n_labels(spark, sf):
-    return labels_vocab(spark, sf).count()
-
-
-def decoded(spark, sf):
-    f = features(spark, sf)
-    n_lab = _n_labels(spark, sf)
+def decoded(spark, sf, ctx=None):
+    ctx = ctx or Ctx(spark, sf)
+    f = features(spark, sf, ctx)
+    n_lab = ctx.labels.count()
     key = [F.col("guid")]
 
     def pred_id(g, j):
@@ -259,7 +278,7 @@ def decoded(spark, sf):
                            + F.lit(0.5) * uniform(F.lit(PRED_SEED), *key, j, c))
     f = f.withColumn("logits", F.transform("label_ids", lambda g, j: logits(g, j)))
     f = f.withColumn("pred_ids", F.transform("logits", lambda l: argmax(l)))
-    gold, pred = decode_predictions(F.col("pred_ids"), F.col("label_ids"), id_map(labels_vocab(spark, sf)))
+    gold, pred = decode_predictions(F.col("pred_ids"), F.col("label_ids"), id_map(ctx.labels))
     return f.select("guid", "doc_id", "lang", "sent_no", "frag", gold.alias("gold_labels"),
                     pred.alias("pred_labels"))
 
@@ -324,7 +343,8 @@ SELECT doc_id, sent_no, span_type, start, "end" FROM sp""")(q_tag_spans)
 
 
 def q_tag_span_f1(spark, sf):
-    d = decoded(spark, sf)
+    # gold and prediction branches both read the decoded table: cut it once
+    d = decoded(spark, sf).checkpoint(eager=True)
     g = d.select("guid", "lang", F.posexplode("gold_labels").alias("pos", "label"))
     p = d.select("guid", "lang", F.posexplode("pred_labels").alias("pos", "label"))
     sg, sp = spans(g, ["guid", "lang"]), spans(p, ["guid", "lang"])
@@ -358,8 +378,9 @@ FROM rl LEFT JOIN m ON rl.lang = m.lang""")(q_tag_span_f1)
 
 
 def q_tag_realign(spark, sf):
-    d = decoded(spark, sf).select("doc_id", "sent_no", "frag", F.col("pred_labels").alias("preds"))
-    return realign(d, packed(spark, sf), ["doc_id", "sent_no"])
+    ctx = Ctx(spark, sf)
+    d = decoded(spark, sf, ctx).select("doc_id", "sent_no", "frag", F.col("pred_labels").alias("preds"))
+    return realign(d, packed(spark, sf, ctx), ["doc_id", "sent_no"])
 
 
 register("tag_realign", f"""WITH RECURSIVE {SQL_DEC},
