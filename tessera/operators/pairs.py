@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.draws import uniform
 from tessera.functions.romanize import romanize
+from tessera.functions.text import py_strip, split_lines
 
 
 def make_pairs(lines: DataFrame, text: str = "text", lang: str | None = "lang", rules=None) -> DataFrame:
@@ -17,6 +18,21 @@ def make_pairs(lines: DataFrame, text: str = "text", lang: str | None = "lang",
     return lines.withColumn("transliteration", romanize(F.col(text), lc, rules))
 
 
+def doc_pairs(docs: DataFrame, text: str, lang: str | None, keys: list[str], rules=None,
+              unicode_breaks: bool = True) -> DataFrame:
+    """Pairs from whole documents: romanize each document once (rules are
+    character-local and never contain a line break), then split original
+    and romanized text into lines together; romanized lines are stripped."""
+    lc = F.col(lang) if lang else None
+    r = romanize(F.col(text), lc, rules, strip=False)
+    z = F.arrays_zip(split_lines(F.col(text), unicode_breaks).alias("t"),
+                     split_lines(r, unicode_breaks).alias("r"))
+    cols = list(dict.fromkeys(keys + ([lang] if lang else [])))
+    e = docs.select(*cols, F.posexplode(z).alias("line_no", "z"))
+    return e.select(*cols, F.col("line_no").cast("long").alias("line_no"), F.col("z.t").alias("text"),
+                    py_strip(F.col("z.r")).alias("transliteration"))
+
+
 def valid_pairs(df: DataFrame, a: str = "text", b: str = "transliteration") -> DataFrame:
     """Drop a pair when either side is null or empty; whitespace-only text
     survives (length, not strip, decides)."""

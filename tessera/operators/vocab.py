@@ -51,12 +51,49 @@ def piece_count(word: Column, piece_len: int) -> Column:
     return F.when(F.length(word) == 0, F.lit(0)).otherwise(F.ceil(F.length(word) / piece_len)).cast("int")
 
 
-def build_vocab(texts: DataFrame, text_col: str, vocab_size: int, piece_len: int) -> DataFrame:
+def py_pieces(word: str, piece_len: int) -> list[str]:
+    """Python twin of :func:`word_pieces` for the Arrow-batch encoder."""
+    n = max(-(-len(word) // piece_len), 1)
+    return [(WORD_START if i == 0 else "") + word[i * piece_len:(i + 1) * piece_len] for i in range(n)]
+
+
+def word_counts(texts: DataFrame, cols: list[str]) -> DataFrame:
+    """``(word, n)`` over whitespace-split words of the text columns.
+
+    Each Arrow batch is counted in Python (``str.split`` is exactly the
+    whitespace rule, at C speed) and emits one row per distinct word of the
+    batch — a map-side combine — so the shuffle carries distinct words per
+    batch, which the final ``sum`` merges."""
+    import pyarrow as pa
+
+    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+
+    def fn(batches):
+        from collections import Counter
+        for b in batches:
+            c: Counter = Counter()
+            for col in cols:
+                for text in b.column(col).to_pylist():
+                    if text:
+                        c.update(text.split())
+            if c:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()),
+                                                  pa.array(list(c.values()), pa.int64())], ["word", "n"])
+    return texts.select(*cols).mapInArrow(fn, schema).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def build_vocab(texts: DataFrame, text_col: str | list[str], vocab_size: int, piece_len: int) -> DataFrame:
     """``(piece, piece_id, is_special)``; specials first, then the most
-    frequent pieces."""
+    frequent pieces (ties by piece).
+
+    Distinct-word execution: words are counted first (map-side combined, so
+    the shuffle carries distinct words, not every token), and pieces are
+    cut once per distinct word, weighted by the word count."""
     spark = texts.sparkSession
-    counts = (texts.select(F.explode(text_pieces(text_col, piece_len)).alias("piece"))
-              .groupBy("piece").count())
+    cols = [text_col] if isinstance(text_col, str) else list(text_col)
+    wc = word_counts(texts, cols)
+    counts = (wc.select(F.explode(word_pieces(F.col("word"), piece_len)).alias("piece"), "n")
+              .groupBy("piece").agg(F.sum("n").alias("count")))
     top = counts.orderBy(F.desc("count"), F.asc("piece")).limit(vocab_size)
     # ≤ vocab_size rows: a one-partition window here is bounded by the parameter
     ranked = top.select("piece", (F.row_number().over(Window.orderBy(F.desc("count"), F.asc("piece")))
@@ -67,6 +104,51 @@ def build_vocab(texts: DataFrame, text_col: str, vocab_size: int, piece_len: int
     return specials.unionByName(ranked)
 
 
+def _vocab_broadcast(vocab: DataFrame):
+    spark = vocab.sparkSession
+    rows = vocab.select("piece", "piece_id").limit(VOCAB_BROADCAST_LIMIT + 1).collect()
+    if len(rows) > VOCAB_BROADCAST_LIMIT:
+        raise ValueError("vocabulary is above the broadcast limit")
+    return spark.sparkContext.broadcast({r["piece"]: int(r["piece_id"]) for r in rows})
+
+
+def encode_texts(df: DataFrame, vocab: DataFrame, cols: dict[str, str], piece_len: int) -> DataFrame:
+    """Text columns → id arrays (``cols``: output column → text column) in one
+    narrow pass over Arrow batches: whitespace split, piece cut and id
+    lookup, with a per-batch memo of word → ids (words repeat heavily). The
+    vocabulary travels once per executor as a size-checked broadcast."""
+    import pyarrow as pa
+
+    bc = _vocab_broadcast(vocab)
+    src = set(cols.values())
+    fields = [f for f in df.schema.fields if f.name not in src]
+    schema = T.StructType(fields + [T.StructField(o, T.ArrayType(T.IntegerType()), True) for o in cols])
+    keep = [f.name for f in fields]
+
+    def fn(batches):
+        m = bc.value
+        for b in batches:
+            memo: dict[str, list[int]] = {}
+            arrays = [b.column(k) for k in keep]
+            for o, c in cols.items():
+                res = []
+                for text in b.column(c).to_pylist():
+                    if text is None:
+                        res.append(None)
+                        continue
+                    ids: list[int] = []
+                    for w in text.split():
+                        e = memo.get(w)
+                        if e is None:
+                            e = [m.get(p, UNK_ID) for p in py_pieces(w, piece_len)]
+                            memo[w] = e
+                        ids.extend(e)
+                    res.append(ids)
+                arrays.append(pa.array(res, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, keep + list(cols))
+    return df.mapInArrow(fn, schema)
+
+
 def encode_ids(pieces: DataFrame, vocab: DataFrame, piece_col: str = "piece") -> DataFrame:
     """Join a piece column with the vocabulary; unknown pieces get the unk
     id. The vocabulary is broadcast when within the limit (it is bounded by
@@ -87,12 +169,7 @@ def add_ids(df: DataFrame, vocab: DataFrame, cols: dict[str, str]) -> DataFrame:
     ``mapInPandas``: encoding stays a narrow stage — no explode, no join, no
     regroup shuffle of the token stream.
     """
-    spark = vocab.sparkSession
-    rows = vocab.select("piece", "piece_id").limit(VOCAB_BROADCAST_LIMIT + 1).collect()
-    if len(rows) > VOCAB_BROADCAST_LIMIT:
-        raise ValueError("vocabulary is above the broadcast limit")
-    mapping = {r["piece"]: int(r["piece_id"]) for r in rows}
-    bc = spark.sparkContext.broadcast(mapping)
+    bc = _vocab_broadcast(vocab)
     src = set(cols.values())
     fields = [f for f in df.schema.fields if f.name not in src]
     schema = T.StructType(fields + [T.StructField(o, T.ArrayType(T.IntegerType()), True) for o in cols])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.romanize import romanize, sql_romanize
 from tessera.functions.text import py_strip, split_lines, sql_py_strip, sql_split_lines
 from tessera.functions.draws import sql_key, sql_uniform
-from tessera.operators.pairs import (assign_split, make_pairs, pair_by_line, pair_counts,
+from tessera.operators.pairs import (assign_split, doc_pairs, make_pairs, pair_by_line, pair_counts,
                                      pair_line_counts, split_counts, valid_pairs)
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir
@@ -31,7 +31,13 @@ def doc_lines(spark, sf_dir):
 
 
 def pairs(spark, sf_dir):
-    return make_pairs(doc_lines(spark, sf_dir))
+    """Pair table. Romanization runs once per document, before the line
+    split: the rules never match across a line break, so this equals
+    line-by-line romanization, evaluates the rule expression once per
+    document, and leaves the validity filter (above the generator) unable
+    to re-evaluate it."""
+    d = table(spark, sf_dir, "documents")
+    return doc_pairs(d, "text", "lang", ["doc_id", "lang", "source"])
 
 
 SQL_LINES = f"""

@@ -11,10 +11,11 @@ from tessera.operators.batching import (assign_batches, len_stats, pad_batch, pr
 from tessera.operators.encode import mlm_mask, pair_encode, tlm_concat
 from tessera.operators.pairs import valid_pairs
 from tessera.operators.vocab import (EOS_ID, MASK_ID, PAD_ID, UNK_ID, BOS_ID, build_vocab, encode_ids,
-                                     add_ids, sql_text_pieces, sql_vocab, text_pieces)
+                                     add_ids, encode_texts, sql_text_pieces, sql_vocab, text_pieces)
 from tessera.functions.arrays import pad_fixed
 from tessera.plans.q_corpus import SQL_VALID, pairs
 from tessera.plans.registry import register, table
+from tessera.session import checkpoint_dir
 
 VOCAB_SIZE, PIECE_LEN, MAX_LEN = 2000, 4, 64
 BATCH, PAD_MULTIPLE, FIXED_LEN = 16, 8, 100
@@ -24,22 +25,28 @@ LINE_BATCH, SHUFFLE_SEED, SHUFFLE_EPOCH = 128, 5, 2
 KEYS = ["doc_id", "line_no"]
 
 
-def valid(spark, sf):
-    return valid_pairs(pairs(spark, sf))
+def valid(spark, sf, cut: bool = False):
+    """Valid pair table; ``cut`` materialises it once (reliable checkpoint)
+    when several passes read it (vocabulary + encoding)."""
+    v = valid_pairs(pairs(spark, sf)).select(*KEYS, "text", "transliteration")
+    if cut:
+        checkpoint_dir(spark)
+        v = v.checkpoint(eager=True)
+    return v
 
 
-def vocab(spark, sf):
-    v = valid(spark, sf)
-    texts = v.select(F.col("text").alias("t")).unionByName(v.select(F.col("transliteration").alias("t")))
-    return build_vocab(texts, "t", VOCAB_SIZE, PIECE_LEN)
+def vocab(spark, sf, v=None):
+    v = v if v is not None else valid(spark, sf)
+    return build_vocab(v, ["text", "transliteration"], VOCAB_SIZE, PIECE_LEN)
 
 
-def encoded(spark, sf):
-    v = valid(spark, sf)
-    pieces = v.select(*KEYS, text_pieces("text", PIECE_LEN).alias("p1"),
-                      text_pieces("transliteration", PIECE_LEN).alias("p2"))
-    ids = add_ids(pieces, vocab(spark, sf), {"ids_1": "p1", "ids_2": "p2"})
-    return pair_encode(ids, KEYS, F.col("ids_1"), F.col("ids_2"), MAX_LEN)
+def encoded(spark, sf, cut: bool = False):
+    """Encoded pairs; ``cut`` checkpoints the result for consumers that read
+    it more than once (sorts sample their input before sorting it)."""
+    v = valid(spark, sf, cut=True)
+    ids = encode_texts(v, vocab(spark, sf, v), {"ids_1": "text", "ids_2": "transliteration"}, PIECE_LEN)
+    e = pair_encode(ids, KEYS, F.col("ids_1"), F.col("ids_2"), MAX_LEN)
+    return e.checkpoint(eager=True) if cut else e
 
 
 # ----- SQL fragments ---------------------------------------------------------
@@ -78,11 +85,11 @@ register("vocab_build", f"WITH {SQL_VOCAB} SELECT piece, piece_id, is_special FR
 
 
 def q_token_ids(spark, sf):
-    v = valid(spark, sf)
+    v = valid(spark, sf, cut=True)
     pieces = (v.select(F.explode(text_pieces("text", PIECE_LEN)).alias("piece"))
               .unionByName(v.select(F.explode(text_pieces("transliteration", PIECE_LEN)).alias("piece")))
               .distinct())
-    return encode_ids(pieces, vocab(spark, sf)).select("piece", "piece_id")
+    return encode_ids(pieces, vocab(spark, sf, v)).select("piece", "piece_id")
 
 
 register("token_ids", f"""WITH {SQL_IDS}
@@ -93,7 +100,7 @@ register("pair_encode", f"WITH {SQL_ENC} SELECT * FROM enc")(encoded)
 
 
 def q_len_stats(spark, sf):
-    e = encoded(spark, sf)
+    e = encoded(spark, sf, cut=True)
     b = assign_batches(e.select(*KEYS, "input_ids_1"), [F.col(k) for k in KEYS], BATCH)
     return len_stats(b, "batch_id", "input_ids_1", RETR_MAX_LEN)
 
@@ -132,7 +139,7 @@ FROM lineitem""")(q_seeded_shuffle)
 
 
 def q_pad_batch(spark, sf):
-    e = encoded(spark, sf)
+    e = encoded(spark, sf, cut=True)
     b = assign_batches(e, [F.col(k) for k in KEYS], BATCH)
     p = pad_batch(b, "batch_id", {"input_ids_1": PAD_ID, "attention_mask_1": 0, "special_tokens_mask_1": 1},
                   "input_ids_1", PAD_MULTIPLE)
@@ -155,8 +162,9 @@ FROM m""")(q_pad_batch)
 
 
 def q_prepare_batch(spark, sf):
-    v = valid(spark, sf)
-    t = add_ids(v.select(*KEYS, text_pieces("text", PIECE_LEN).alias("p")), vocab(spark, sf), {"tokens": "p"})
+    v = valid(spark, sf, cut=True)
+    t = encode_texts(v.select(*KEYS, "text"), vocab(spark, sf, v), {"tokens": "text"}, PIECE_LEN)
+    t = t.checkpoint(eager=True)
     b = assign_batches(t, [F.col(k) for k in KEYS], BATCH).drop("row_no", "pos_in_batch")
     return prepare_batch(b, "batch_id", "tokens", RETR_MAX_LEN)
 
@@ -227,8 +235,11 @@ FROM o""")(q_tlm_positions)
 
 
 def q_mlm_mask(spark, sf):
-    e = encoded(spark, sf)
-    vsize = vocab(spark, sf).count()
+    v = valid(spark, sf, cut=True)
+    voc = vocab(spark, sf, v).cache()
+    vsize = voc.count()
+    ids = encode_texts(v, voc, {"ids_1": "text", "ids_2": "transliteration"}, PIECE_LEN)
+    e = pair_encode(ids, KEYS, F.col("ids_1"), F.col("ids_2"), MAX_LEN)
     inputs, labels = mlm_mask(F.col("input_ids_1"), F.col("special_tokens_mask_1"),
                               [F.col("doc_id"), F.col("line_no"), F.lit(1)], MLM_SEED, vsize, MLM_P)
     return e.select(*KEYS, inputs.alias("input_ids"), labels.alias("labels"))
