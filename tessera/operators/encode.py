@@ -24,12 +24,13 @@ def add_special(ids: Column, max_len: int) -> Column:
 
 def encode_side(ids: Column, max_len: int, suffix: str) -> list[Column]:
     """The four arrays of one side; type ids are all zero, the special mask
-    marks the begin and end token."""
-    full = add_special(ids, max_len)
-    n = F.size(full)
-    return [full.alias(f"input_ids_{suffix}"),
+    marks the begin and end token. Built from sizes only (no per-element
+    lambda re-reading the concatenated array)."""
+    n_body = F.least(F.size(ids), F.lit(max_len - 2))
+    n = n_body + 2
+    return [add_special(ids, max_len).alias(f"input_ids_{suffix}"),
             F.array_repeat(F.lit(1), n).alias(f"attention_mask_{suffix}"),
-            F.transform(full, lambda x, i: F.when((i == 0) | (i == n - 1), 1).otherwise(0))
+            F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(0), n_body), F.array(F.lit(1)))
             .alias(f"special_tokens_mask_{suffix}"),
             F.array_repeat(F.lit(0), n).alias(f"token_type_ids_{suffix}")]
 

@@ -26,5 +26,22 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Tables whose rows carry real work (text, vectors, logs). Dimension tables
+# (nation, region, part, ...) are left as scanned.
+WORK_TABLES = {"documents", "embeddings", "events", "lineitem", "conversations", "pages", "orders", "labels"}
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer splits than the
+    cluster has task slots (a small file with one row group is one split).
+    On large inputs the splits far outnumber the slots and this is a no-op,
+    so it never adds a shuffle of a big table."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(df) if name in WORK_TABLES else df
