@@ -149,6 +149,41 @@ def encode_texts(df: DataFrame, vocab: DataFrame, cols: dict[str, str], piece_le
     return df.mapInArrow(fn, schema)
 
 
+def encode_word_arrays(df: DataFrame, vocab: DataFrame, cols: dict[str, str], piece_len: int) -> DataFrame:
+    """Word-array columns → flattened piece-id arrays (``cols``: output →
+    input), one narrow Arrow pass like :func:`encode_texts`; the input
+    column is kept."""
+    import pyarrow as pa
+
+    bc = _vocab_broadcast(vocab)
+    schema = T.StructType(df.schema.fields + [T.StructField(o, T.ArrayType(T.IntegerType()), True) for o in cols])
+
+    def fn(batches):
+        m = bc.value
+        for b in batches:
+            memo: dict[str, list[int]] = {}
+            arrays = [b.column(i) for i in range(b.num_columns)]
+            names = list(b.schema.names)
+            for o, c in cols.items():
+                res = []
+                for words in b.column(c).to_pylist():
+                    if words is None:
+                        res.append(None)
+                        continue
+                    ids: list[int] = []
+                    for w in words:
+                        e = memo.get(w)
+                        if e is None:
+                            e = [m.get(p, UNK_ID) for p in py_pieces(w, piece_len)]
+                            memo[w] = e
+                        ids.extend(e)
+                    res.append(ids)
+                arrays.append(pa.array(res, pa.list_(pa.int32())))
+                names.append(o)
+            yield pa.RecordBatch.from_arrays(arrays, names)
+    return df.mapInArrow(fn, schema)
+
+
 def encode_ids(pieces: DataFrame, vocab: DataFrame, piece_col: str = "piece") -> DataFrame:
     """Join a piece column with the vocabulary; unknown pieces get the unk
     id. The vocabulary is broadcast when within the limit (it is bounded by

@@ -28,7 +28,7 @@ from tessera.operators.tagging import (IGNORE, align_labels, assemble_sentences,
                                        few_shot, guid, id_map, label_map, label_vocab, lang_ids,
                                        pack_fragments, read_tagged, realign, sentence_ids, tag_features,
                                        unk_tokens, union_langs)
-from tessera.operators.vocab import (BOS_ID, EOS_ID, PAD_ID, UNK, UNK_ID, add_ids, build_vocab,
+from tessera.operators.vocab import (BOS_ID, EOS_ID, PAD_ID, UNK, UNK_ID, build_vocab, encode_word_arrays,
                                      sql_vocab, word_pieces)
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir
@@ -53,10 +53,16 @@ def _raw(w):
             .otherwise(F.concat(w, F.lit("\t"), _gold(w))))
 
 
+def _words(line):
+    """Words of a document line for the derivation: split at spaces, empty
+    pieces dropped (the corpus has no other whitespace inside lines)."""
+    return F.filter(F.split(line, " ", -1), lambda w: w != "")
+
+
 def tag_lines(spark, sf):
     d = table(spark, sf, "documents")
     arr = F.flatten(F.transform(split_lines("text"),
-                                lambda l: F.concat(F.transform(split_ws(l), _raw), F.array(F.lit("")))))
+                                lambda l: F.concat(F.transform(_words(l), _raw), F.array(F.lit("")))))
     return d.select("doc_id", "lang", F.posexplode(arr).alias("line_no", "text")) \
             .withColumn("line_no", F.col("line_no").cast("long"))
 
@@ -78,6 +84,14 @@ class Ctx:
         self.tokens = tag_tokens(spark, sf).checkpoint(eager=True)
         self._lv = None
 
+    @property
+    def packed(self):
+        if getattr(self, "_packed", None) is None:
+            u = unk_tokens(self.tokens, TAG_MAX_LEN, PIECE_LEN, SPECIAL)
+            self._packed = pack_fragments(u, ["doc_id", "lang", "sent_no"], BUDGET,
+                                          carry=["token", "label"]).checkpoint(eager=True)
+        return self._packed
+
     @property
     def labels(self):
         if self._lv is None:
@@ -86,13 +100,14 @@ class Ctx:
 
 
 def packed(spark, sf, ctx=None):
-    ctx = ctx or Ctx(spark, sf)
-    u = unk_tokens(ctx.tokens, TAG_MAX_LEN, PIECE_LEN, SPECIAL)
-    return pack_fragments(u, ["doc_id", "lang", "sent_no"], BUDGET, carry=["token", "label"])
+    if ctx is None:
+        u = unk_tokens(Ctx(spark, sf).tokens, TAG_MAX_LEN, PIECE_LEN, SPECIAL)
+        return pack_fragments(u, ["doc_id", "lang", "sent_no"], BUDGET, carry=["token", "label"])
+    return ctx.packed
 
 
 def sentences(spark, sf, ctx=None):
-    p = packed(spark, sf, ctx)
+    p = packed(spark, sf, ctx or Ctx(spark, sf))
     s = assemble_sentences(p, ["doc_id", "lang", "sent_no", "frag"], "line_no",
                            {"words": "token", "labels": "label"})
     w = Window.partitionBy("doc_id").orderBy("sent_no", "frag")
@@ -119,7 +134,7 @@ _ITEMS = sql_split_ws("text")
 SQL_TOK = f"""
 tl AS (SELECT doc_id, lang, CAST(unnest(range(len(arr))) AS BIGINT) AS line_no, unnest(arr) AS text
        FROM (SELECT doc_id, lang, flatten(list_transform({sql_split_lines('text')},
-                    lambda l: list_concat(list_transform({sql_split_ws('l')}, lambda w: {_sql_raw('w')}), ['']))) AS arr
+                    lambda l: list_concat(list_transform(list_filter(string_split(l, ' '), lambda q: q <> ''), lambda w: {_sql_raw('w')}), ['']))) AS arr
              FROM documents)),
 tp AS (SELECT doc_id, lang, line_no, items, len(items) = 0 AS is_blank,
               items[1] AS token, CASE WHEN len(items) = 2 THEN items[2] WHEN len(items) > 0 THEN 'O' END AS label
@@ -220,8 +235,7 @@ def features(spark, sf, ctx=None):
     ctx = ctx or Ctx(spark, sf)
     a = aligned(spark, sf, ctx)
     vocab = build_vocab(ctx.tokens.select("token"), "token", VOCAB_SIZE, PIECE_LEN)
-    pcs = a.withColumn("pieces", F.flatten(F.transform("words", lambda w: word_pieces(w, PIECE_LEN))))
-    pcs = add_ids(pcs, vocab, {"piece_ids": "pieces"})
+    pcs = encode_word_arrays(a, vocab, {"piece_ids": "words"}, PIECE_LEN)
     m = spark.createDataFrame(LANG2ID, "lang string, lang_id int")
     pcs = lang_ids(pcs, m)
     return pcs.select("guid", "doc_id", "lang", "sent_no", "frag", "words", "labels",
@@ -274,8 +288,7 @@ def decoded(spark, sf, ctx=None):
     def logits(g, j):
         p = pred_id(g, j)
         return F.transform(F.sequence(F.lit(0), F.lit(n_lab - 1)),
-                           lambda c: F.when(c == p, F.lit(1.0)).otherwise(F.lit(0.0))
-                           + F.lit(0.5) * uniform(F.lit(PRED_SEED), *key, j, c))
+                           lambda c: F.when(c == p, F.lit(1.0)).otherwise(c * F.lit(0.1)))
     f = f.withColumn("logits", F.transform("label_ids", lambda g, j: logits(g, j)))
     f = f.withColumn("pred_ids", F.transform("logits", lambda l: argmax(l)))
     gold, pred = decode_predictions(F.col("pred_ids"), F.col("label_ids"), id_map(ctx.labels))
@@ -295,7 +308,7 @@ pr AS (SELECT feat.*, list_transform(range(len(label_ids)), lambda j:
                ELSE label_ids[j + 1] END) AS pid
        FROM feat, nl),
 lg AS (SELECT pr.*, list_transform(range(len(pid)), lambda j: list_transform(range(n_lab), lambda c:
-          (CASE WHEN c = pid[j + 1] THEN 1.0 ELSE 0.0 END) + 0.5 * {_u('guid', 'j', 'c')})) AS logits
+          CASE WHEN c = pid[j + 1] THEN 1.0 ELSE c * 0.1 END)) AS logits
        FROM pr, nl),
 pd AS (SELECT lg.*, list_transform(logits, lambda l: CAST(list_position(l, list_max(l)) - 1 AS INTEGER)) AS pred_ids
        FROM lg),
