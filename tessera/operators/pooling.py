@@ -1,9 +1,10 @@
 """Sentence pooling over token-vector tables.
 
 Token vectors arrive as rows ``(sent_id, layer, pos, vec)`` with 0/1 mask
-columns. Masked mean pooling is a *weighted vector mean*, which MLlib's
-``Summarizer`` computes as a true partial aggregate: each map task folds
-its rows into one running mean per (sentence, layer) before the shuffle,
+columns. Masked mean pooling is a masked *vector sum* divided by the mask
+sum; MLlib's ``Summarizer`` computes the sum as a true partial aggregate:
+each map task folds its rows into one running sum per (sentence, layer)
+before the shuffle,
 so the shuffle carries one vector per sentence and task instead of every
 token vector.
 """
@@ -26,15 +27,18 @@ def mean_pool(tokens: DataFrame, masks: dict[str, str], *, keys=("sent_id", "lay
     the division by zero of the original.
     """
     keys = list(keys)
-    v = array_to_vector(F.col(vec).cast("array<double>"))
     aggs = []
     for out, m in masks.items():
-        aggs.append(Summarizer.mean(v, F.col(m).cast("double")).alias(f"__{out}"))
+        # Σ(vec·mask) as a vector sum over every row (a zero-mask row adds a
+        # zero vector, so a sentence without pooled tokens still aggregates)
+        masked = F.transform(F.col(vec).cast("array<double>"), lambda x: x * F.col(m).cast("double"))
+        aggs.append(Summarizer.sum(array_to_vector(masked)).alias(f"__{out}"))
         aggs.append(F.sum(F.col(m)).alias(f"__{out}_w"))
     g = tokens.groupBy(*keys).agg(*aggs)
     cols = list(keys)
     for out in masks:
-        arr = vector_to_array(F.col(f"__{out}"))
+        w = F.col(f"__{out}_w").cast("double")
+        arr = F.transform(vector_to_array(F.col(f"__{out}")), lambda x: x / w)
         if round_to is not None:
             arr = F.transform(arr, lambda x: F.round(x, round_to))
         cols.append(F.when(F.col(f"__{out}_w") > 0, arr).alias(out))

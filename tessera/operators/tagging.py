@@ -61,8 +61,11 @@ def unk_tokens(df: DataFrame, max_len: int, piece_len: int, special_count: int =
     budget = max_len - special_count
     n = piece_count(F.col(token), piece_len)
     bad = ((n == 0) | (n > budget)) & (F.length(token) != 0)
-    return df.withColumn("__n", n).withColumn(token, F.when(bad, F.lit(UNK)).otherwise(F.col(token))) \
-             .withColumn("n_pieces", F.when(bad, F.lit(1)).otherwise(F.col("__n")).cast("int")).drop("__n")
+    # the flag is taken from the original token, before it is replaced
+    return (df.withColumn("__n", n).withColumn("__bad", bad)
+            .withColumn(token, F.when(F.col("__bad"), F.lit(UNK)).otherwise(F.col(token)))
+            .withColumn("n_pieces", F.when(F.col("__bad"), F.lit(1)).otherwise(F.col("__n")).cast("int"))
+            .drop("__n", "__bad"))
 
 
 def pack_fragments(df: DataFrame, sent_keys: list[str], budget: int, order_col: str = "line_no",
