@@ -146,8 +146,12 @@ def align_labels(words: Column, label_ids: Column, piece_len: int) -> Column:
     id on the following pieces."""
     return F.flatten(F.transform(F.arrays_zip(words.alias("w"), label_ids.alias("l")),
                                  lambda z: F.concat(F.array(z["l"]),
-                                                    F.array_repeat(F.lit(IGNORE),
-                                                                   F.size(word_pieces(z["w"], piece_len)) - 1))))
+                                                    F.array_repeat(F.lit(IGNORE), _n_pieces(z["w"], piece_len) - 1))))
+
+
+def _n_pieces(word, piece_len: int):
+    """Piece count of the piece rule (at least one piece per word)."""
+    return F.greatest(F.ceil(F.length(word) / piece_len), F.lit(1)).cast("int")
 
 
 def tag_features(piece_ids: Column, piece_labels: Column, lang_id: Column, max_len: int,

@@ -82,16 +82,20 @@ def word_counts(texts: DataFrame, cols: list[str]) -> DataFrame:
     return texts.select(*cols).mapInArrow(fn, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_vocab(texts: DataFrame, text_col: str | list[str], vocab_size: int, piece_len: int) -> DataFrame:
+def build_vocab(texts: DataFrame, text_col: str | list[str], vocab_size: int, piece_len: int,
+                pre_split: bool = False) -> DataFrame:
     """``(piece, piece_id, is_special)``; specials first, then the most
     frequent pieces (ties by piece).
 
     Distinct-word execution: words are counted first (map-side combined, so
     the shuffle carries distinct words, not every token), and pieces are
-    cut once per distinct word, weighted by the word count."""
+    cut once per distinct word, weighted by the word count. ``pre_split``:
+    the (single) column already holds one word per row."""
     spark = texts.sparkSession
     cols = [text_col] if isinstance(text_col, str) else list(text_col)
-    wc = word_counts(texts, cols)
+    wc = word_counts(texts, cols) if not pre_split else \
+        texts.select(F.col(cols[0]).alias("word")).filter(F.length("word") > 0) \
+             .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = (wc.select(F.explode(word_pieces(F.col("word"), piece_len)).alias("piece"), "n")
               .groupBy("piece").agg(F.sum("n").alias("count")))
     top = counts.orderBy(F.desc("count"), F.asc("piece")).limit(vocab_size)

@@ -2,7 +2,7 @@
 
 Derivation of the raw tag file (one per document): every word of every line
 becomes a token line ``word<TAB>label``, and every document line ends with
-a blank line. The gold label comes from the word's shape: capitalised →
+a blank line. The gold label comes from the word's shape: ASCII capital first →
 ``B-CAP``, ending in ``.``/``,`` → ``I-CAP`` (so ``I`` after ``O`` occurs),
 otherwise ``O``. Words whose length is a multiple of 7 get no label field,
 multiples of 11 a third field — both fall back to the default label.
@@ -43,7 +43,8 @@ UNION_LANGS = ["en", "de"]
 
 
 def _gold(w):
-    return F.when(w.rlike("^[A-Z]"), "B-CAP").when(w.rlike("[.,]$"), "I-CAP").otherwise("O")
+    first, last = F.substring(w, 1, 1), F.substring(w, -1, 1)
+    return F.when(first.between("A", "Z"), "B-CAP").when(last.isin(".", ","), "I-CAP").otherwise("O")
 
 
 def _raw(w):
@@ -120,8 +121,8 @@ def labels_vocab(spark, sf):
 
 # ----- SQL fragments ---------------------------------------------------------
 def _sql_gold(w):
-    return (f"(CASE WHEN regexp_matches({w}, '^[A-Z]') THEN 'B-CAP' "
-            f"WHEN regexp_matches({w}, '[.,]$') THEN 'I-CAP' ELSE 'O' END)")
+    return (f"(CASE WHEN substr({w}, 1, 1) BETWEEN 'A' AND 'Z' THEN 'B-CAP' "
+            f"WHEN right({w}, 1) IN ('.', ',') THEN 'I-CAP' ELSE 'O' END)")
 
 
 def _sql_raw(w):
@@ -234,7 +235,7 @@ SELECT guid, label_ids, piece_labels FROM al2""")(
 def features(spark, sf, ctx=None):
     ctx = ctx or Ctx(spark, sf)
     a = aligned(spark, sf, ctx)
-    vocab = build_vocab(ctx.tokens.select("token"), "token", VOCAB_SIZE, PIECE_LEN)
+    vocab = build_vocab(ctx.tokens.select("token"), "token", VOCAB_SIZE, PIECE_LEN, pre_split=True)
     pcs = encode_word_arrays(a, vocab, {"piece_ids": "words"}, PIECE_LEN)
     m = spark.createDataFrame(LANG2ID, "lang string, lang_id int")
     pcs = lang_ids(pcs, m)
