@@ -74,35 +74,37 @@ def tag_tokens(spark, sf):
 
 
 class Ctx:
-    """Per-query stage cuts: the token table is checkpointed (reliable
-    checkpoint in the shared folder) once, and the small dimension tables
-    derived from it are built once, so driver-side lookups do not re-run
-    the text pipeline."""
+    """Per-query stage cut. Packing runs straight after the sentence window
+    (whose hash partitioning on ``doc_id`` already clusters every sentence,
+    so the regroup adds no exchange); the packed table — which keeps the
+    original token next to the unk-replaced one — is checkpointed once into
+    the shared folder, and the label and piece vocabularies are derived
+    from it, so driver-side lookups never re-run the text pipeline."""
 
     def __init__(self, spark, sf):
         checkpoint_dir(spark)
         self.spark, self.sf = spark, sf
-        self.tokens = tag_tokens(spark, sf).checkpoint(eager=True)
+        t = tag_tokens(spark, sf).withColumn("orig_token", F.col("token"))
+        u = unk_tokens(t, TAG_MAX_LEN, PIECE_LEN, SPECIAL)
+        self.packed = pack_fragments(u, ["doc_id", "lang", "sent_no"], BUDGET,
+                                     carry=["token", "label", "orig_token"]).checkpoint(eager=True)
         self._lv = None
 
     @property
-    def packed(self):
-        if getattr(self, "_packed", None) is None:
-            u = unk_tokens(self.tokens, TAG_MAX_LEN, PIECE_LEN, SPECIAL)
-            self._packed = pack_fragments(u, ["doc_id", "lang", "sent_no"], BUDGET,
-                                          carry=["token", "label"]).checkpoint(eager=True)
-        return self._packed
+    def tokens(self):
+        return self.packed.select("doc_id", "lang", "line_no", "sent_no", F.col("orig_token").alias("token"),
+                                  "label")
 
     @property
     def labels(self):
         if self._lv is None:
-            self._lv = label_vocab(self.tokens.filter(F.col("label") != "O").select("label")).cache()
+            self._lv = label_vocab(self.packed.filter(F.col("label") != "O").select("label")).cache()
         return self._lv
 
 
 def packed(spark, sf, ctx=None):
     if ctx is None:
-        u = unk_tokens(Ctx(spark, sf).tokens, TAG_MAX_LEN, PIECE_LEN, SPECIAL)
+        u = unk_tokens(tag_tokens(spark, sf), TAG_MAX_LEN, PIECE_LEN, SPECIAL)
         return pack_fragments(u, ["doc_id", "lang", "sent_no"], BUDGET, carry=["token", "label"])
     return ctx.packed
 
