@@ -185,6 +185,14 @@ def tag_features(piece_ids: Column, piece_labels: Column, lang_id: Column, max_l
             F.array_repeat(lang_id, max_len).alias("langs")]
 
 
+def feature_labels(piece_labels: Column, max_len: int, sep_token_extra: bool = True) -> Column:
+    """The ``label_ids`` array of :func:`tag_features` alone (it depends on the
+    piece labels only): what prediction decoding needs, without encoding the
+    input pieces."""
+    f = tag_features(piece_labels, piece_labels, F.lit(0), max_len, sep_token_extra)
+    return f[3]
+
+
 def decode_predictions(pred_ids: Column, gold_ids: Column, id_to_label: Column) -> tuple[Column, Column]:
     """Keep positions whose gold id is not the ignore id; map ids to names
     for gold and prediction alike."""

@@ -25,6 +25,7 @@ from tessera.operators.batching import row_numbers
 from tessera.operators.pairs import assign_split
 from tessera.operators.tag_metrics import span_prf, spans
 from tessera.operators.tagging import (IGNORE, align_labels, assemble_sentences, decode_predictions,
+                                       feature_labels,
                                        few_shot, guid, id_map, label_map, label_vocab, lang_ids,
                                        pack_fragments, read_tagged, realign, sentence_ids, tag_features,
                                        unk_tokens, union_langs)
@@ -280,7 +281,9 @@ SELECT guid, input_ids, input_mask, segment_ids, label_ids, langs FROM feat""")(
 # ----- predictions, decoding, spans, realignment ----------------------------
 def decoded(spark, sf, ctx=None):
     ctx = ctx or Ctx(spark, sf)
-    f = features(spark, sf, ctx)
+    # predictions depend on the label layout of the features only
+    f = aligned(spark, sf, ctx).select("guid", "doc_id", "lang", "sent_no", "frag",
+                                       feature_labels(F.col("piece_labels"), TAG_MAX_LEN))
     n_lab = ctx.labels.count()
     key = [F.col("guid")]
 
