@@ -69,6 +69,7 @@ def _local_topk_fn(k: int, group_cols: list[str]):
         yid = ys["idx"].to_numpy(dtype=np.int64)
         x2 = np.einsum("ij,ij->i", X, X)
         kk = min(k, len(xid))
+        m = min(len(xid), kk + 16)
         out_q, out_n, out_d = [], [], []
         step = 1024
         for s in range(0, len(yid), step):
@@ -78,18 +79,33 @@ def _local_topk_fn(k: int, group_cols: list[str]):
             kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
             # Generous slack: the product form carries rounding error the
             # direct form does not, and boundary ties must survive the cut.
-            slack = 1e-7 * (1.0 + np.abs(kth))
-            for r in range(len(Yc)):
-                cand = np.nonzero(d2[r] <= kth[r] + slack[r])[0]
-                diff = X[cand] - Yc[r]
-                # cumsum is a sequential left-to-right sum: same bits as the
-                # JVM aggregate over zip_with.
-                d = np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])
-                d9 = np.round(d, 9)
-                order = np.lexsort((xid[cand], d9))[:kk]
-                out_q.append(np.full(len(order), yid[s + r], dtype=np.int64))
-                out_n.append(xid[cand][order])
-                out_d.append(d[order])
+            thr = kth + 1e-7 * (1.0 + np.abs(kth))
+            if m < len(xid):
+                cand = np.argpartition(d2, m - 1, axis=1)[:, :m]
+                # everything left out is >= the largest kept value: safe when
+                # that value is beyond the threshold, else take the exact path
+                ok = np.take_along_axis(d2, cand, 1).max(axis=1) > thr
+            else:
+                cand = np.broadcast_to(np.arange(len(xid)), (len(Yc), len(xid)))
+                ok = np.ones(len(Yc), dtype=bool)
+            diff = X[cand] - Yc[:, None, :]
+            # cumsum is a sequential left-to-right sum: same bits as the JVM
+            # aggregate over zip_with
+            d = np.sqrt(np.cumsum(diff * diff, axis=2)[:, :, -1])
+            ids = xid[cand]
+            order = np.lexsort((ids, np.round(d, 9)), axis=1)[:, :kk]
+            rows = np.nonzero(ok)[0]
+            out_q.append(np.repeat(yid[s + rows], kk))
+            out_n.append(np.take_along_axis(ids[rows], order[rows], 1).ravel())
+            out_d.append(np.take_along_axis(d[rows], order[rows], 1).ravel())
+            for r in np.nonzero(~ok)[0]:
+                c = np.nonzero(d2[r] <= thr[r])[0]
+                df_ = X[c] - Yc[r]
+                dr = np.sqrt(np.cumsum(df_ * df_, axis=1)[:, -1])
+                o = np.lexsort((xid[c], np.round(dr, 9)))[:kk]
+                out_q.append(np.full(len(o), yid[s + r], dtype=np.int64))
+                out_n.append(xid[c][o])
+                out_d.append(dr[o])
         q = np.concatenate(out_q)
         res = pd.DataFrame({"query_idx": q, "neighbour_idx": np.concatenate(out_n),
                             "dist": np.concatenate(out_d)})

@@ -18,6 +18,7 @@ from tessera.operators.pooling import cls_pool, mean_pool
 from tessera.operators.retrieval import (gold_distance, layer_select, retrieval_acc,
                                          topk_neighbours)
 from tessera.plans.registry import register, table
+from tessera.session import checkpoint_dir
 
 K = 10
 TOTAL_LAYERS, NUM_LAYERS, LAYER_INDEX = 13, 12, 7
@@ -70,16 +71,22 @@ SELECT query_idx, CAST(rank AS INTEGER) AS rank, neighbour_idx, round(dist, 6) A
 FROM r WHERE rank <= {K}"""
 
 
+def _cut(df):
+    """Stage cut for a side read by the block-count action and the plan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def q_retrieval_topk(spark, sf_dir):
-    return topk_neighbours(targets(spark, sf_dir), sources(spark, sf_dir), K)
+    return topk_neighbours(_cut(targets(spark, sf_dir)), _cut(sources(spark, sf_dir)), K)
 
 
 register("retrieval_topk", SQL_TOPK)(q_retrieval_topk)
 
 
 def q_retrieval_acc(spark, sf_dir):
-    y = targets(spark, sf_dir)
-    nn = topk_neighbours(y, sources(spark, sf_dir), K)
+    y = _cut(targets(spark, sf_dir))
+    nn = topk_neighbours(y, _cut(sources(spark, sf_dir)), K)
     return retrieval_acc(nn, y)
 
 
