@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import split_ws
-from tessera.operators.vocab import BOS_ID, EOS_ID, PAD_ID, UNK, piece_count, word_pieces
+from tessera.operators.vocab import BOS_ID, EOS_ID, PAD_ID, UNK, piece_count
 
 IGNORE = -100
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.romanize import romanize, sql_romanize
 from tessera.functions.text import py_strip, split_lines, sql_py_strip, sql_split_lines
 from tessera.functions.draws import sql_key, sql_uniform
-from tessera.operators.pairs import (assign_split, doc_pairs, make_pairs, pair_by_line, pair_counts,
+from tessera.operators.pairs import (assign_split, doc_pairs, pair_by_line, pair_counts,
                                      pair_line_counts, split_counts, valid_pairs)
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir

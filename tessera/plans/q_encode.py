@@ -11,7 +11,7 @@ from tessera.operators.batching import (assign_batches, len_stats, pad_batch, pr
 from tessera.operators.encode import mlm_mask, pair_encode, tlm_concat
 from tessera.operators.pairs import valid_pairs
 from tessera.operators.vocab import (EOS_ID, MASK_ID, PAD_ID, UNK_ID, BOS_ID, build_vocab, encode_ids,
-                                     add_ids, encode_texts, sql_text_pieces, sql_vocab, text_pieces)
+                                     encode_texts, sql_text_pieces, sql_vocab, text_pieces)
 from tessera.functions.arrays import pad_fixed
 from tessera.plans.q_corpus import SQL_VALID, pairs
 from tessera.plans.registry import register, table

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arrays import argmax
 from tessera.functions.draws import sql_key, sql_uniform, uniform
-from tessera.functions.text import split_lines, split_ws, sql_split_lines, sql_split_ws
+from tessera.functions.text import split_lines, sql_split_lines, sql_split_ws
 from tessera.operators.batching import row_numbers
 from tessera.operators.pairs import assign_split
 from tessera.operators.tag_metrics import span_prf, spans
@@ -30,7 +30,7 @@ from tessera.operators.tagging import (IGNORE, align_labels, assemble_sentences,
                                        pack_fragments, read_tagged, realign, sentence_ids, tag_features,
                                        unk_tokens, union_langs)
 from tessera.operators.vocab import (BOS_ID, EOS_ID, PAD_ID, UNK, UNK_ID, build_vocab, encode_word_arrays,
-                                     sql_vocab, word_pieces)
+                                     sql_vocab)
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir
 
