@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import split_ws
 from tessera.operators.vocab import BOS_ID, EOS_ID, PAD_ID, UNK, piece_count
@@ -72,24 +73,40 @@ def pack_fragments(df: DataFrame, sent_keys: list[str], budget: int, order_col:
                    n_col: str = "n_pieces", carry: list[str] | None = None) -> DataFrame:
     """Greedy packing: running piece count per sentence; when adding the next
     token would exceed ``budget`` a new fragment starts and the counter
-    restarts at that token's size. Adds ``frag`` and ``pos`` (0-based)."""
+    restarts at that token's size. Adds ``frag`` and ``pos`` (0-based).
+
+    The regroup by sentence is a Spark ``groupBy``; the sequential fold
+    itself runs once per sentence over its piece counts in Arrow batches
+    (linear in the sentence length), and the rows are exploded back."""
+    import pyarrow as pa
+
     carry = list(carry or [])
     rows = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(n_col).alias("n"),
                                                 *[F.col(c) for c in carry])))
-    g = df.groupBy(*sent_keys).agg(rows.alias("__rows"))
-    init = F.struct(F.lit(0).alias("cnt"), F.lit(0).alias("frag"), F.lit(-1).alias("pos"),
-                    F.array().cast("array<struct<frag:int,pos:int>>").alias("out"))
-
-    def step(acc, x):
-        new = (acc["cnt"] + x["n"] > budget) & (acc["pos"] >= 0)
-        frag = F.when(new, acc["frag"] + 1).otherwise(acc["frag"])
-        pos = F.when(new, F.lit(0)).otherwise(acc["pos"] + 1)
-        cnt = F.when(new, x["n"]).otherwise(acc["cnt"] + x["n"])
-        return F.struct(cnt.alias("cnt"), frag.alias("frag"), pos.alias("pos"),
-                        F.concat(acc["out"], F.array(F.struct(frag.alias("frag"), pos.alias("pos"))))
-                        .alias("out"))
-    fr = F.aggregate("__rows", init, step, lambda acc: acc["out"])
-    z = g.select(*sent_keys, F.explode(F.arrays_zip(F.col("__rows").alias("r"), fr.alias("f"))).alias("z"))
+    g = df.groupBy(*sent_keys).agg(rows.alias("__rows")).withColumn("__ns", F.transform("__rows", lambda r: r["n"]))
+    out_type = T.ArrayType(T.StructType([T.StructField("frag", T.IntegerType()),
+                                         T.StructField("pos", T.IntegerType())]))
+    schema = T.StructType(g.schema.fields + [T.StructField("__fp", out_type)])
+    item = pa.struct([("frag", pa.int32()), ("pos", pa.int32())])
+
+    def fn(batches):
+        for b in batches:
+            res = []
+            for ns in b.column("__ns").to_pylist():
+                cnt, frag, pos, out = 0, 0, -1, []
+                for n in ns:
+                    if pos >= 0 and cnt + n > budget:
+                        frag, pos, cnt = frag + 1, 0, n
+                    else:
+                        pos, cnt = pos + 1, cnt + n
+                    out.append({"frag": frag, "pos": pos})
+                res.append(out)
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns)]
+                                             + [pa.array(res, pa.list_(item))],
+                                             list(b.schema.names) + ["__fp"])
+    packed = g.mapInArrow(fn, schema)
+    z = packed.select(*sent_keys, F.explode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__fp").alias("f")))
+                      .alias("z"))
     return z.select(*sent_keys, F.col("z.r.o").alias(order_col), F.col("z.r.n").alias(n_col),
                     *[F.col(f"z.r.{c}").alias(c) for c in carry],
                     F.col("z.f.frag").alias("frag"), F.col("z.f.pos").alias("pos"))
