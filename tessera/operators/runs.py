@@ -4,7 +4,9 @@ histories, epoch statistics and dev summaries.
 
 These tables are small (runs, checkpoints, evaluations), but they are still
 DataFrame plans so that they join with the large result tables without a
-trip through the driver. Windows here are partitioned by run.
+trip through the driver. Running scans per run are two-level (block
+maxima, then bounded in-block windows), so a run with a huge history is
+never one task.
 """
 
 from __future__ import annotations
@@ -80,24 +82,56 @@ def best_run(history: DataFrame, run: str, order: str, score: str, item: str,
         F.max(score).alias(f"best_{score}"))
 
 
+BLOCK = 65536
+
+
+def running_max(df: DataFrame, part: str, order: str, value, out: str, inclusive: bool = True,
+                block: int = BLOCK) -> DataFrame:
+    """Running maximum of ``value`` per ``part`` in ``order`` (a dense
+    1-based sequence number), two-level so that no window spans a whole
+    partition key: per-block maxima → prefix over the (small) block table →
+    in-block window bounded by ``block`` rows."""
+    v = value if not isinstance(value, str) else F.col(value)
+    d = df.withColumn("__v", v).withColumn("__b", F.floor((F.col(order) - 1) / block))
+    blocks = d.groupBy(part, "__b").agg(F.max("__v").alias("__bm"))
+    wb = Window.partitionBy(part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(part, "__b", F.max("__bm").over(wb).alias("__prev"))
+    wi = Window.partitionBy(part, "__b").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    j = d.join(F.broadcast(blocks), on=[part, "__b"], how="left")
+    inner = F.max("__v").over(wi)
+    res = F.when(F.col("__prev").isNull(), inner).when(inner.isNull(), F.col("__prev")) \
+           .otherwise(F.greatest(F.col("__prev"), inner))
+    return j.withColumn(out, res).drop("__v", "__b", "__prev")
+
+
+def sequence_numbers(df: DataFrame, part: str, order: list, out: str = "eval_no") -> DataFrame:
+    """1-based position within ``part`` in ``order`` without a per-key
+    window: global row numbers (range-partitioned sort) minus each key's
+    first row number (a partial aggregate over keys, broadcast back)."""
+    from tessera.operators.batching import row_numbers
+    r = row_numbers(df, [F.col(part)] + list(order), out="__rn")
+    first = r.groupBy(part).agg(F.min("__rn").alias("__first"))
+    return r.join(F.broadcast(first), on=part).withColumn(out, (F.col("__rn") - F.col("__first") + 1)) \
+            .drop("__rn", "__first")
+
+
 def improvement_flags(history: DataFrame, run: str, order: str, score: str, start: float) -> DataFrame:
-    w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    best_before = F.greatest(F.coalesce(F.max(score).over(w), F.lit(start)), F.lit(start))
-    return history.withColumn("best_before", best_before) \
-                  .withColumn("improved", F.col(score) > F.col("best_before"))
+    h = running_max(history, run, order, score, "__pm", inclusive=False)
+    best_before = F.greatest(F.coalesce(F.col("__pm"), F.lit(start)), F.lit(start))
+    return h.withColumn("best_before", best_before).drop("__pm") \
+            .withColumn("improved", F.col(score) > F.col("best_before"))
 
 
 def early_stop(history: DataFrame, patience: int, run: str = "run", order: str = "eval_no",
                score: str = "f1", start: float = 0.0) -> DataFrame:
     """Per run: the evaluation at which training stops — the first one where
     the count of consecutive non-improving evaluations exceeds ``patience``
-    (null when it never happens or ``patience <= 0``)."""
+    (null when it never happens or ``patience <= 0``). Misses at an
+    evaluation = its number minus the number of the last improving one."""
     h = improvement_flags(history, run, order, score, start)
-    wc = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumn("island", F.sum(F.col("improved").cast("int")).over(wc))
-    wi = Window.partitionBy(run, "island").orderBy(order)
-    miss = F.row_number().over(wi) - F.when(F.col("island") > 0, 1).otherwise(0)
-    h = h.withColumn("misses", miss)
+    h = running_max(h, run, order, F.when(F.col("improved"), F.col(order)), "__last")
+    h = h.withColumn("misses", F.col(order) - F.coalesce(F.col("__last"), F.lit(0)))
     stops = h.filter((F.lit(patience) > 0) & (F.col("misses") > patience)) \
              .groupBy(run).agg(F.min(order).alias("stop_at"))
     runs = history.select(run).distinct()

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from tessera.functions.draws import sql_key, sql_uniform, uniform
 from tessera.operators.report import metric_report
 from tessera.operators.runs import (best_run, dev_summary, early_stop, epoch_stats, pending_runs, read_langs,
-                                    resolve_parallel, run_matrix, run_name, running_best, select_checkpoints)
+                                    resolve_parallel, run_matrix, run_name, running_best, select_checkpoints,
+                                    sequence_numbers)
 from tessera.plans.registry import register, table
 
 LO, HI = 0, 50000
@@ -126,9 +127,9 @@ register("lang_list", "SELECT split_part(n_name || chr(9) || CAST(n_regionkey %
 
 
 def history(spark, sf):
-    e = table(spark, sf, "events")
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return e.select(F.col("event_type").alias("run"), F.row_number().over(w).alias("eval_no"),
+    e = table(spark, sf, "events").select(F.col("event_type").alias("run"), "ts", "event_id", "value")
+    h = sequence_numbers(e, "run", [F.col("ts"), F.col("event_id")])
+    return h.select("run", F.col("eval_no").cast("int").alias("eval_no"),
                     (F.floor("value") / 100).alias("f1"), "value", "ts") \
             .withColumn("global_step", F.col("eval_no") * 100)
 

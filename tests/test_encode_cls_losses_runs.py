@@ -106,3 +106,20 @@ def test_headerless_topics(spark):
     df = spark.createDataFrame([("1\tFaith\tv",), ("2\tSin",), ("3\ta\tb\tc",)], "text string")
     got = sorted(tuple(r) for r in parse_topics_headerless(df).collect())
     assert got == [("1", "Faith", "v"), ("2", "Sin", "nan")]
+
+
+def test_two_level_running_max_and_numbering(spark):
+    import random
+    from pyspark.sql import Window
+    from tessera.operators.runs import running_max, sequence_numbers
+    rnd = random.Random(2)
+    rows = [(r, t, rnd.randint(0, 50) / 10) for r in ("a", "b") for t in rnd.sample(range(1000), 40)]
+    df = sequence_numbers(spark.createDataFrame(rows, "run string, t int, f1 double"), "run", [F.col("t")])
+    w = Window.partitionBy("run").orderBy("t")
+    assert sorted((r["run"], r["t"], r["eval_no"]) for r in df.collect()) == \
+        sorted((r["run"], r["t"], r["n"]) for r in df.select("run", "t", F.row_number().over(w).alias("n")).collect())
+    for inclusive in (True, False):
+        got = running_max(df, "run", "eval_no", "f1", "m", inclusive=inclusive, block=3)
+        wf = Window.partitionBy("run").orderBy("eval_no").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        exp = got.withColumn("e", F.max("f1").over(wf))
+        assert all(r["m"] == r["e"] for r in exp.collect())
