@@ -4,8 +4,7 @@ One interpolated Kneser-Ney character model (orders up to 6 within words, with
 boundary marks) per class, toxic and ordinary. Orders 1 and 2 are counted over
 both classes together, so an expression that is rare in either class backs off
 to shared counts. A document compares the two log-likelihoods, normalised by
-length, at three scales: its strongest word, its two strongest words and the
-mean over the whole text. A logistic curve fitted on training rows that the
+length, over its one, two and five strongest words and over the whole text. A logistic curve fitted on training rows that the
 language models did not see turns these into the score.
 
 Training uses a bounded sample of labelled rows outside the held-out fold:
@@ -34,7 +33,8 @@ from tessera.llm.ngrams import Letters, Lookup, segment_sum, slices, split_words
 TOP, SHARED = 6, 2
 LONG = 14           # letters and marks; longer words count by their mean per letter
 THRESHOLD = 0.3
-FEATURES = 3
+STRONGEST = (1, 2, 5)   # means over so many strongest words
+FEATURES = len(STRONGEST) + 1
 
 
 class Model:
@@ -131,16 +131,17 @@ class Model:
             x = np.zeros((len(part), FEATURES))
             if len(rows):
                 first = offsets[:-1][rows]
-                top = np.maximum.reduceat(value, first)
                 of = np.repeat(np.arange(len(rows)), np.diff(offsets)[rows])
-                hit = np.flatnonzero(value == top[of])
-                _, one = np.unique(of[hit], return_index=True)  # one occurrence of the strongest word
-                rest = value.copy()
-                rest[hit[one]] = 0.0
-                second = np.maximum.reduceat(rest, first)
-                x[rows, 0] = np.clip(top, 0, 40)
-                x[rows, 1] = np.clip((top + second) / 2, 0, 40)
-            x[:, 2] = segment_sum(value, offsets) / np.maximum(1, np.diff(offsets))
+                rest, sums = value.copy(), np.zeros(len(rows))
+                for k in range(1, STRONGEST[-1] + 1):
+                    top = np.maximum.reduceat(rest, first)
+                    sums += np.clip(top, 0, 40)
+                    if k in STRONGEST:
+                        x[rows, STRONGEST.index(k)] = sums / k
+                    hit = np.flatnonzero(rest == top[of])
+                    _, one = np.unique(of[hit], return_index=True)  # one occurrence of the strongest word
+                    rest[hit[one]] = 0.0
+            x[:, -1] = segment_sum(value, offsets) / np.maximum(1, np.diff(offsets))
             out.append(x)
         return np.concatenate(out) if out else np.zeros((0, FEATURES))
 
