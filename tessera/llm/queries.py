@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, langid, mixing, packing, sharding, simhash, token_counts, toxicity
+from tessera.llm import exact_dedup, fingerprints, langid, mixing, packing, sharding, simhash, token_counts, toxicity
 from tessera.llm.common import documents, held_out, labels
 from tessera.session import checkpoint_dir
 
@@ -59,6 +59,11 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+@_register
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 @_register
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after an insert of word counts, an insert of tokenizer counts,

@@ -1,7 +1,7 @@
 """Operator 2, toxicity: class-conditional Kneser-Ney models.
 
 One interpolated Kneser-Ney character model (orders up to 6 within words, with
-boundary marks) per class, toxic and ordinary. Orders 1 and 2 are counted over
+boundary marks) per class, toxic and ordinary. The lowest order is counted over
 both classes together, so an expression that is rare in either class backs off
 to shared counts. A document compares the two log-likelihoods, normalised by
 length, over its one, two and five strongest words and over the whole text. A logistic curve fitted on training rows that the
@@ -30,7 +30,7 @@ from tessera.llm.class_words import class_word_counts
 from tessera.llm.common import held_out, sampled_rows
 from tessera.llm.ngrams import Letters, Lookup, segment_sum, slices, split_words
 
-TOP, SHARED = 6, 2
+TOP, SHARED = 6, 1
 LONG = 14           # letters and marks; longer words count by their mean per letter
 THRESHOLD = 0.3
 STRONGEST = (1, 2, 5)   # means over so many strongest words
