@@ -72,7 +72,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     alone = tested.filter(~F.col("again")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     again = tested.filter("again")
-    group = again.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    group = stage(again.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     place = F.row_number().over(Window.partitionBy("sha", "doc_id").orderBy(F.lit(0)))
     decided = again.withColumn("place", place).join(group, "sha").select(
         "doc_id", "keep_id", "group_size",

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, fingerprints, langid, mixing, packing, sharding, simhash, token_counts, toxicity
+from tessera.llm import exact_dedup, fingerprints, langid, lines, mixing, packing, sharding, simhash, token_counts, toxicity
 from tessera.llm.common import documents, held_out, labels
 from tessera.session import checkpoint_dir
 
@@ -34,6 +34,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+@_register
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.matched_lines(documents(spark, sf_dir))
+
+
 @_register
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(documents(spark, sf_dir))

@@ -392,3 +392,67 @@ def test_subset_sum_is_exact():
         assert (take >= 0).all() and (take <= counts).all()
         # lengths that were taken in proportion stay, the rest is optimal; tiny cases here differ by at most one length
         assert abs(int((take * lengths).sum()) - budget) <= max(min(abs(x - budget) for x in sums), int(lengths.max()))
+
+
+# --- operator 3 -------------------------------------------------------------
+
+def plain_lines(rows, jaccard=0.8):
+    """(doc_id, n_lines, n_removed, n_links, class_id, removed) by all pairs; distinct (id, text) rows."""
+    import re
+
+    from pyspark.sql import functions as F  # noqa: F401
+    docs = [(i, t or "") for i, t in rows]
+    flat = [(i, t, k, frozenset(re.findall(r"[^\x20\x09-\x0D]+", line.lower()))) for i, t in docs for k, line in enumerate(re.split(r"\r\n|[\n\r]", t))]
+    sets = sorted({s for *_, s in flat if s}, key=len)
+    near = defaultdict(set)
+    for x, a in enumerate(sets):
+        for b in sets[x + 1:]:
+            if len(a) < jaccard * len(b) - 1e-9:
+                break
+            if len(a & b) >= jaccard * len(a | b) - 1e-9:
+                near[a].add(b)
+                near[b].add(a)
+    first = {}
+    for i, t, k, s in flat:
+        if s:
+            first[s] = min(first.get(s, (i, k)), (i, k))
+    out = []
+    for i, t in docs:
+        mine = [(k, s) for j, u, k, s in flat if (j, u) == (i, t)]
+        lead = {s: min([first[s], *(first[o] for o in near[s])]) for _, s in mine if s}
+        gone = [k for k, s in mine if s and lead[s] < (i, k)]
+        out.append((i, len(mine), len(gone), sum(len(near[s]) for _, s in mine if s),
+                    min([i, *(x[0] for x in lead.values())]), gone))
+    return sorted(out)
+
+
+COLS3 = ("doc_id", "n_lines", "n_removed", "n_links", "class_id", "removed_lines")
+
+
+def test_line_dedup_equals_all_pairs(spark, small):
+    out = got(QUERIES["op3_line_dedup"](spark, SF), *COLS3)
+    assert sorted(out) == plain_lines([(r["doc_id"], r["text"]) for r in small])
+
+
+def test_line_dedup_finds_edited_lines(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        lines = []
+        for _ in range(4):
+            line = [words[j] for j in rng.integers(0, 60, int(rng.integers(1, 14)))]
+            lines += [" ".join(line), " ".join(line[:-1] + ["new"]) if len(line) > 2 else "x"]
+        rows.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from tessera.llm import lines as L
+    assert sorted(got(L.matched_lines(df), *COLS3)) == plain_lines(rows)
+
+
+def test_line_dedup_odd_rows(spark, odd, empty):
+    from tessera.llm import lines as L
+    out = L.matched_lines(clashing(odd))
+    assert out.count() == odd.count()
+    assert L.matched_lines(empty).count() == 0
+    two = spark.createDataFrame([(1, "a b c d e\nkeep me\r\n\n"), (2, "E d c B a\nother"), (2, "E d c B a\nother")], "doc_id long, text string")
+    assert sorted(r["text"] for r in L.dedup_lines(two).collect()) == ["a b c d e\nkeep me\r\n\n", "other", "other"]
