@@ -117,7 +117,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``, one row per row of ``docs``."""
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(LOW)).alias("kd"), F.xxhash64(text).alias("th"), text.alias("text"))
+    keyed = docs.select(F.coalesce(F.col("doc_id"), F.lit(LOW)).alias("kd"), F.xxhash64(text).alias("th"), text.alias("text"))
     keys = keyed.select("kd", "th", F.char_length("text").alias("n")).groupBy("kd", "th").agg(F.max("n").alias("n"))
     after = stage(next_keys(keys), "next")
     wanted = after.select(F.col("kd").alias("akd"), F.col("th").alias("ath"), F.col("nkd").alias("kd"), F.col("nth").alias("th"),
@@ -127,13 +127,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         .dropDuplicates(["kd", "th"])
     n = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
-    both = keyed.join(heads, ["kd", "th"]).select("doc_id", "kd", "th", "nkd", "nth", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    both = keyed.join(heads, ["kd", "th"]).select("kd", "th", "nkd", "nth", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     lone = both.groupBy("kd", "th").agg(F.first("text").alias("text"), F.first("edited").alias("edited"))
     none = F.array().cast("array<int>")
-    signed = stage(both.select("doc_id", "kd", "th", "nkd", "nth", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    signed = stage(both.select("kd", "th", "nkd", "nth", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
                    .join(signatures(lone, ["kd", "th"]), ["kd", "th"], "left")
                    .withColumns({c: F.coalesce(c, none) for c in ("own", "other")}), "signatures")
     following = signed.select(F.col("kd").alias("nkd"), F.col("th").alias("nth"), F.col("own").alias("next")).dropDuplicates(["nkd", "nth"])
     return signed.join(following, ["nkd", "nth"]).select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
+        F.nullif(F.col("kd"), F.lit(LOW)).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
