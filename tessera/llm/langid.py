@@ -84,7 +84,7 @@ def _centred(p: np.ndarray) -> np.ndarray:
     return (p - p.mean(axis=1, keepdims=True)).astype(np.float32) if p.size else p.astype(np.float32)
 
 
-def train(docs: DataFrame, rows_per_class: int = 4000, words_per_class: int = 100_000, seed: int = 9) -> Model:
+def train(docs: DataFrame, rows_per_class: int = 4000, words_per_class: int = 40_000, seed: int = 9) -> Model:
     """Model from the labelled rows of ``docs`` outside the held-out fold."""
     mine = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & (F.col("lang") != UND))
     chosen = sampled_rows(mine, "lang", rows_per_class, seed).select("doc_id").distinct()

@@ -60,18 +60,17 @@ class Letters:
         self.inside = np.arange(len(self.codes)) - np.repeat(self.starts[:-1], size + 2)  # 0 at the begin mark
 
     def ngrams(self, top: int):
-        """For each order 1..top the hashes of the n-grams that end at each
-        position (only meaningful where ``inside >= order - 1``)."""
+        """For each order 1..top, one at a time, the hashes of the n-grams that
+        end at each position (only meaningful where ``inside >= order - 1``)."""
         h = self.codes + np.uint64(1)
         powers = np.cumprod(np.full(top, _BASE, np.uint64))
-        out = [_finish(h, 1)]
+        yield _finish(h, 1)
         acc = h.copy()
         for k in range(2, top + 1):
             power = powers[k - 2]
             acc = acc.copy()
             acc[k - 1:] += h[: len(h) - k + 1] * power
-            out.append(_finish(acc, k))
-        return out
+            yield _finish(acc, k)
 
     def word_hashes(self) -> np.ndarray:
         if not len(self.starts[:-1]):

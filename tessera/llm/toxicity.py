@@ -44,15 +44,15 @@ class Model:
     def __init__(self, words, counts: np.ndarray):
         letters = Letters(words)
         of = np.repeat(np.arange(len(words)), np.diff(letters.starts))
-        grams = letters.ngrams(TOP)
-        orders = []
-        for k in range(1, TOP + 1):
+        orders, below = [], None
+        for k, grams in enumerate(letters.ngrams(TOP), 1):
             ok = np.flatnonzero(letters.inside >= max(1, k - 1))
-            keys, first, inv = np.unique(grams[k - 1][ok], return_index=True, return_inverse=True)
+            keys, first, inv = np.unique(grams[ok], return_index=True, return_inverse=True)
             raw = np.stack([np.bincount(inv, weights=counts[of[ok], c], minlength=len(keys)) for c in (0, 1)], axis=1)
             at = ok[first]
             orders.append({"keys": keys, "raw": raw, "begins": letters.inside[at] == k - 1,
-                           "tail": grams[k - 2][at] if k > 1 else None, "head": grams[k - 2][at - 1] if k > 1 else None})
+                           "tail": below[at] if k > 1 else None, "head": below[at - 1] if k > 1 else None})
+            below = grams
         for k in range(1, TOP):  # adjusted counts: distinct letters before, unless the n-gram begins a word
             low, high = orders[k - 1], orders[k]
             into = np.searchsorted(low["keys"], high["tail"])
@@ -106,14 +106,13 @@ class Model:
         if not len(words):
             return np.zeros(0)
         letters = Letters(words)
-        grams = letters.ngrams(TOP)
         value = np.zeros(len(letters.codes), np.float32)
         before = None
-        for k in range(SHARED, TOP + 1):
+        for k, grams in enumerate(letters.ngrams(TOP), 1):
             ok = letters.inside >= k - 1
             here = np.full(len(value), -1, np.int64)
             at = np.flatnonzero(ok)
-            here[at] = self.at.find(grams[k - 1][at])
+            here[at] = self.at.find(grams[at])
             if k > SHARED:
                 context = np.concatenate([[-1], before[:-1]])
                 step = np.where(context >= 0, self.backoff[context], 0)
@@ -164,7 +163,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -35, 35)))
 
 
-def train(docs: DataFrame, marks: DataFrame, rows_per_class: int = 4000, words_per_class: int = 100_000,
+def train(docs: DataFrame, marks: DataFrame, rows_per_class: int = 4000, words_per_class: int = 60_000,
           seed: int = 2) -> Model | None:
     """Model from the labelled rows outside the held-out fold: two thirds of
     the sample train the language models, one third the logistic curve."""
