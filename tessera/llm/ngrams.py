@@ -16,7 +16,7 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BEGIN, _END = 2, 3
 
 
-def slices(texts: pa.Array, budget: int = 16 << 20):
+def slices(texts: pa.Array, budget: int = 4 << 20):
     """``(start, array)`` slices of about ``budget`` bytes (at least one row),
     so that memory does not follow the batch size."""
     texts = pc.fill_null(texts, "")
@@ -27,6 +27,7 @@ def slices(texts: pa.Array, budget: int = 16 << 20):
         stop = max(start + 1, int(np.searchsorted(size, base + budget, side="right")))
         yield start, texts.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array, normal: bool = True):

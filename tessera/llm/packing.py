@@ -150,7 +150,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
         names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, part in slices(batch.column(1), 8 << 20):
+            for first, part in slices(batch.column(1), 3 << 20):
                 offsets, ids = coder.encode(part)
                 for i in range(len(part)):
                     own = np.append(ids[offsets[i]:offsets[i + 1]], np.uint32(END_ID))

@@ -35,7 +35,7 @@ def token_count(path: str | None = None):
 
     @arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        parts = [tokenizer(path).counts(p) for _, p in slices(texts, 8 << 20)]
+        parts = [tokenizer(path).counts(p) for _, p in slices(texts, 3 << 20)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
 
     return count
