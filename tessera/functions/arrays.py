@@ -1,11 +1,15 @@
-"""Array column expressions (all JVM-side higher-order functions, so they stay
-inside whole-stage code generation; no Python per row)."""
+"""Array column expressions: JVM-side higher-order functions, no Python per
+row. Spark interprets them outside whole-stage code generation, so whatever
+does not depend on the element is bound once with ``let``: a value used inside
+a lambda is otherwise computed again for every element."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import let
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -25,8 +29,7 @@ def l2_norm(vec) -> Column:
 
 def l2_normalize(vec) -> Column:
     """``v / ||v||``; a zero vector stays null (division by zero)."""
-    n = l2_norm(vec)
-    return F.when(n > 0, F.transform(as_double(vec), lambda x: x / n))
+    return let(l2_norm(vec), lambda n: F.when(n > 0, F.transform(as_double(vec), lambda x: x / n)))
 
 
 def dot(a, b) -> Column:
@@ -47,9 +50,8 @@ def argmax(arr) -> Column:
 
 def logsumexp(arr) -> Column:
     """Max-shifted log-sum-exp in double precision."""
-    a = as_double(arr)
-    m = F.array_max(a)
-    return m + F.log(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    return let(as_double(arr), lambda a: let(F.array_max(a), lambda m: m + F.log(
+        F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))))
 
 
 def pad_fixed(arr, n: int | Column, value, left: bool = False) -> Column:

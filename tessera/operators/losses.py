@@ -88,9 +88,12 @@ def rank_mean(losses: DataFrame, keys: list[str], value: str = "value") -> DataF
 
 def log_interval_losses(step_losses: DataFrame, keys: list[str], step: str, value: str, every: int) -> DataFrame:
     """Per logging interval of ``every`` steps: the sum since the last log
-    divided by the steps since the last log, rounded to 4 places."""
+    divided by the steps since the last log (steps without a row count too),
+    rounded to 4 places. The last interval is logged at the last step of all."""
     iv = F.floor((F.col(step) - 1) / every).cast("long")
-    return step_losses.groupBy(*keys, iv.alias("interval")).agg(
-        F.max(step).alias("logged_at_step"),
-        F.round(F.sum(value) / F.count(F.lit(1)), 4).alias("loss"))
+    last = step_losses.agg(F.max(step)).scalar()
+    sums = step_losses.groupBy(*keys, iv.alias("interval")).agg(F.sum(value).alias("__sum"))
+    logged = F.least((F.col("interval") + 1) * every, last)
+    return sums.withColumn("logged_at_step", logged) \
+        .withColumn("loss", F.round(F.col("__sum") / (F.col("logged_at_step") - F.col("interval") * every), 4)).drop("__sum")
 

@@ -30,7 +30,7 @@ def doc_pairs(docs: DataFrame, text: str, lang: str | None, keys: list[str], rul
     cols = list(dict.fromkeys(keys + ([lang] if lang else [])))
     e = docs.select(*cols, F.posexplode(z).alias("line_no", "z"))
     return e.select(*cols, F.col("line_no").cast("long").alias("line_no"), F.col("z.t").alias("text"),
-                    py_strip(F.col("z.r")).alias("transliteration"))
+                    py_strip(F.coalesce("z.r", F.lit(""))).alias("transliteration"))
 
 
 def valid_pairs(df: DataFrame, a: str = "text", b: str = "transliteration") -> DataFrame:

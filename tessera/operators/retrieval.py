@@ -128,6 +128,8 @@ def topk_neighbours(queries: DataFrame, sources: DataFrame, k: int = 10, *,
     """
     group_cols = list(group_cols or [])
     spark = queries.sparkSession
+    # a zero vector has no direction (null after normalising) and no neighbours
+    queries, sources = queries.filter(F.col(vec).isNotNull()), sources.filter(F.col(vec).isNotNull())
     if min_blocks is None:
         # enough block pairs to keep every core busy on small inputs
         min_blocks = int(math.ceil(math.sqrt(spark.sparkContext.defaultParallelism)))

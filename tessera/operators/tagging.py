@@ -154,8 +154,9 @@ def label_map(vocab: DataFrame) -> Column:
 
 
 def id_map(vocab: DataFrame) -> Column:
-    rows = vocab.select("label", "label_id").limit(100_001).collect()
-    return F.create_map(*[x for r in rows for x in (F.lit(int(r["label_id"])), F.lit(r["label"]))])
+    """``id → label`` map literal of the whole vocabulary."""
+    return F.create_map(*[x for r in vocab.select("label", "label_id").collect()
+                          for x in (F.lit(int(r["label_id"])), F.lit(r["label"]))])
 
 
 def align_labels(words: Column, label_ids: Column, piece_len: int) -> Column:

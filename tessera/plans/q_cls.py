@@ -17,7 +17,7 @@ from tessera.operators.cls_metrics import (TOPICS_6, TOPICS_7, accuracy, batch_m
                                            topic_map)
 from tessera.plans.registry import register, table
 
-N_CLASSES, CLS_BATCH = 10, 32
+N_CLASSES, CLS_BATCH = 64, 32    # every dimension is a class
 
 
 def cls_rows(spark, sf):
@@ -83,10 +83,10 @@ def _topic6(doc_id):
 
 
 def topic_lines6(spark, sf):
-    """Headerless TSV rows: 2 fields when doc_id % 13 == 0, 4 fields when
-    doc_id % 17 == 0, else ``id, label, first line of the text``."""
-    d = table(spark, sf, "documents")
-    i, lab, verse = F.col("doc_id").cast("string"), _topic6(F.col("doc_id")), prefix_before("text", "\n")
+    """Headerless TSV rows, one per line of a document: 2 fields when
+    doc_id % 13 == 0, 4 fields when doc_id % 17 == 0, else ``id, label, line``."""
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("verse"))
+    i, lab, verse = F.col("doc_id").cast("string"), _topic6(F.col("doc_id")), F.col("verse")
     line = (F.when(F.col("doc_id") % 13 == 0, F.concat_ws("\t", i, lab))
             .when(F.col("doc_id") % 17 == 0, F.concat_ws("\t", i, lab, verse, F.lit("extra")))
             .otherwise(F.concat_ws("\t", i, lab, verse)))
@@ -99,7 +99,7 @@ t6l AS (SELECT CASE WHEN doc_id % 13 = 0 THEN concat_ws(chr(9), CAST(doc_id AS V
                    WHEN doc_id % 17 = 0 THEN concat_ws(chr(9), CAST(doc_id AS VARCHAR), lab, verse, 'extra')
                    ELSE concat_ws(chr(9), CAST(doc_id AS VARCHAR), lab, verse) END AS text
         FROM (SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN 'Unknown' ELSE {_T6}[doc_id % 6 + 1] END AS lab,
-                     split_part(text, chr(10), 1) AS verse FROM documents)),
+                     unnest(string_split(text, chr(10))) AS verse FROM documents)),
 t6p AS (SELECT string_split(text, chr(9)) AS p FROM t6l),
 t6 AS (SELECT p[1] AS id, p[2] AS label, coalesce(p[3], 'nan') AS verse FROM t6p WHERE len(p) <= 3)"""
 
@@ -115,12 +115,12 @@ SELECT id, label, m.label_id, m.label_id IS NOT NULL AS mapped FROM t6 LEFT JOIN
 
 def topic_lines7(spark, sf):
     """One TSV file per source: a header ``index, category, text`` then one
-    row per document."""
-    d = table(spark, sf, "documents")
+    row per line of its documents."""
+    d = table(spark, sf, "documents").select("doc_id", "source", F.explode(F.split("text", "\n", -1)).alias("text"))
     names = F.array(*[F.lit(n) for n in TOPICS_7])
     cat = F.element_at(names, (F.col("doc_id") % 7 + 1).cast("int"))
     rows = d.select("source", F.lit(False).alias("is_header"),
-                    F.concat_ws("\t", F.col("doc_id").cast("string"), cat, prefix_before("text", "\n")).alias("text"))
+                    F.concat_ws("\t", F.col("doc_id").cast("string"), cat, F.col("text")).alias("text"))
     hdr = d.select("source").distinct().select("source", F.lit(True).alias("is_header"),
                                                F.lit("index\tcategory\ttext").alias("text"))
     return hdr.unionByName(rows)
@@ -128,7 +128,7 @@ def topic_lines7(spark, sf):
 
 _T7 = "[" + ", ".join(f"'{n}'" for n in TOPICS_7) + "]"
 register("topic_scan7", f"""
-SELECT source, {_T7}[doc_id % 7 + 1] AS category, split_part(text, chr(10), 1) AS text FROM documents""")(
+SELECT source, {_T7}[doc_id % 7 + 1] AS category, unnest(string_split(text, chr(10))) AS text FROM documents""")(
     lambda spark, sf: parse_topics_header(topic_lines7(spark, sf), ["source"]))
 
 

@@ -17,9 +17,9 @@ from tessera.plans.q_corpus import SQL_VALID, pairs
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir
 
-VOCAB_SIZE, PIECE_LEN, MAX_LEN = 2000, 4, 64
+VOCAB_SIZE, PIECE_LEN, MAX_LEN = 2000, 4, 512
 BATCH, PAD_MULTIPLE, FIXED_LEN = 16, 8, 100
-RETR_MAX_LEN = 32
+RETR_MAX_LEN = 512
 TLM_SEED, MLM_SEED, MLM_P = 11, 13, 0.15
 LINE_BATCH, SHUFFLE_SEED, SHUFFLE_EPOCH = 128, 5, 2
 KEYS = ["doc_id", "line_no"]

@@ -24,7 +24,7 @@ PAIRS_PER_BATCH, TEMPERATURE, NEG_SEED = 10, 0.1, 29
 EPOCH0 = 1704067200  # 2024-01-01T00:00:00Z
 RANKS, LOG_EVERY, TCM_WEIGHT = 4, 24, 0.5
 # Event type → loss component of the training log derivation.
-COMPONENTS = {"click": "lm_1", "view": "lm_2", "purchase": "tcm", "signup": "tlm"}
+COMPONENTS = {"click": "lm_1", "view": "lm_2", "purchase": "tcm", "signup": "tlm", "error": "tcm"}
 
 
 def token_logits(spark, sf):
@@ -143,6 +143,7 @@ def q_log_intervals(spark, sf):
 
 
 register("log_intervals", f"""WITH {SQL_LOG}
-SELECT component, CAST(floor((step - 1) / {LOG_EVERY}) AS BIGINT) AS interval, max(step) AS logged_at_step,
-       round(sum(mean_value) / count(*), 4) AS loss
-FROM rm GROUP BY component, floor((step - 1) / {LOG_EVERY})""")(q_log_intervals)
+, s AS (SELECT component, CAST(floor((step - 1) / {LOG_EVERY}) AS BIGINT) AS interval, sum(mean_value) AS total
+       FROM rm GROUP BY ALL),
+l AS (SELECT *, least((interval + 1) * {LOG_EVERY}, (SELECT max(step) FROM rm)) AS logged_at_step FROM s)
+SELECT component, interval, logged_at_step, round(total / (logged_at_step - interval * {LOG_EVERY}), 4) AS loss FROM l""")(q_log_intervals)

@@ -34,13 +34,13 @@ from tessera.operators.vocab import (BOS_ID, EOS_ID, PAD_ID, UNK, UNK_ID, build_
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir
 
-TAG_MAX_LEN, PIECE_LEN, SPECIAL = 16, 4, 3
+TAG_MAX_LEN, PIECE_LEN, SPECIAL = 256, 4, 3
 BUDGET = TAG_MAX_LEN - SPECIAL
 VOCAB_SIZE = 2000
 FLIP_P, PRED_SEED, SPLIT_SEED, FEW_SHOT_N = 0.2, 17, 19, 50
 LANG2ID = [("de", 0), ("en", 1), ("es", 2)]
 REPORT_LANGS = ["de", "en", "es", "fr", "xx"]
-UNION_LANGS = ["en", "de"]
+UNION_LANGS = ["de", "en", "es", "fr"]
 
 
 def _gold(w):

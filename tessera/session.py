@@ -44,10 +44,12 @@ def get_spark(master: str | None = None, app: str = "tessera",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting must point at shared storage; we only create
-    a folder of our own when the session has none (local tests).
+    On a cluster the setting must point at shared storage and is required;
+    only a local session (one machine, as in tests) gets a folder of our own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
