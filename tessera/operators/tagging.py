@@ -168,8 +168,9 @@ def align_labels(words: Column, label_ids: Column, piece_len: int) -> Column:
 
 
 def _n_pieces(word, piece_len: int):
-    """Piece count of the piece rule (at least one piece per word)."""
-    return F.greatest(F.ceil(F.length(word) / piece_len), F.lit(1)).cast("int")
+    """Piece count of the piece rule (at least one piece per word, exactly
+    one for the unknown token)."""
+    return F.greatest(piece_count(word, piece_len), F.lit(1))
 
 
 def tag_features(piece_ids: Column, piece_labels: Column, lang_id: Column, max_len: int,
@@ -223,9 +224,10 @@ def realign(frag_preds: DataFrame, packed: DataFrame, keys: list[str]) -> DataFr
     """Fragment-level predictions back to original sentences: predictions
     (``keys + frag``, array ``preds``) are exploded by position, joined to
     the packed token table on ``keys + (frag, pos)`` and re-collected per
-    original sentence in (frag, pos) order."""
+    original sentence in (frag, pos) order. Every token stays: one without a
+    prediction gets null."""
     p = frag_preds.select(*keys, "frag", F.posexplode("preds").alias("pos", "pred"))
-    j = packed.select(*keys, "frag", "pos", "token").join(p, on=keys + ["frag", "pos"], how="inner")
+    j = packed.select(*keys, "frag", "pos", "token").join(p, on=keys + ["frag", "pos"], how="left")
     rows = F.array_sort(F.collect_list(F.struct("frag", "pos", "token", "pred")))
     return j.groupBy(*keys).agg(rows.alias("__r")).select(
         *keys, F.transform("__r", lambda r: r["token"]).alias("tokens"),

@@ -33,11 +33,13 @@ VOCAB_BROADCAST_LIMIT = 2_000_000
 
 
 def word_pieces(word: Column, piece_len: int) -> Column:
-    """Pieces of one word: ``▁`` + first chunk, then the following chunks."""
+    """Pieces of one word: ``▁`` + first chunk, then the following chunks. The
+    unknown token is one piece, itself."""
     n = F.greatest(F.ceil(F.length(word) / piece_len), F.lit(1)).cast("int")
     idx = F.sequence(F.lit(0), n - 1)
-    return F.transform(idx, lambda i: F.concat(F.when(i == 0, F.lit(WORD_START)).otherwise(F.lit("")),
-                                               F.substring(word, i * piece_len + 1, piece_len)))
+    cut = F.transform(idx, lambda i: F.concat(F.when(i == 0, F.lit(WORD_START)).otherwise(F.lit("")),
+                                              F.substring(word, i * piece_len + 1, piece_len)))
+    return F.when(word == UNK, F.array(F.lit(UNK))).otherwise(cut)
 
 
 def text_pieces(text, piece_len: int) -> Column:
@@ -48,11 +50,13 @@ def text_pieces(text, piece_len: int) -> Column:
 
 def piece_count(word: Column, piece_len: int) -> Column:
     """Number of pieces of a word without materialising them (0 for '')."""
-    return F.when(F.length(word) == 0, F.lit(0)).otherwise(F.ceil(F.length(word) / piece_len)).cast("int")
+    return F.when(F.length(word) == 0, F.lit(0)).when(word == UNK, F.lit(1)).otherwise(F.ceil(F.length(word) / piece_len)).cast("int")
 
 
 def py_pieces(word: str, piece_len: int) -> list[str]:
     """Python twin of :func:`word_pieces` for the Arrow-batch encoder."""
+    if word == UNK:
+        return [UNK]
     n = max(-(-len(word) // piece_len), 1)
     return [(WORD_START if i == 0 else "") + word[i * piece_len:(i + 1) * piece_len] for i in range(n)]
 
@@ -97,7 +101,7 @@ def build_vocab(texts: DataFrame, text_col: str | list[str], vocab_size: int, pi
         texts.select(F.col(cols[0]).alias("word")).filter(F.length("word") > 0) \
              .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = (wc.select(F.explode(word_pieces(F.col("word"), piece_len)).alias("piece"), "n")
-              .groupBy("piece").agg(F.sum("n").alias("count")))
+              .filter(F.col("piece") != UNK).groupBy("piece").agg(F.sum("n").alias("count")))
     top = counts.orderBy(F.desc("count"), F.asc("piece")).limit(vocab_size)
     # ≤ vocab_size rows: a one-partition window here is bounded by the parameter
     ranked = top.select("piece", (F.row_number().over(Window.orderBy(F.desc("count"), F.asc("piece")))
@@ -236,10 +240,17 @@ def tokenize_with(fn: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Co
 # DuckDB twins ---------------------------------------------------------------
 
 def sql_text_pieces(expr: str, piece_len: int) -> str:
-    return (f"flatten(list_transform({sql_split_ws(expr)}, lambda w: list_transform("
-            f"range(CAST(greatest(ceil(length(w) / {piece_len}), 1) AS BIGINT)), "
-            f"lambda i: (CASE WHEN i = 0 THEN '{WORD_START}' ELSE '' END) || "
-            f"substring(w, CAST(i * {piece_len} + 1 AS BIGINT), {piece_len}))))")
+    return f"flatten(list_transform({sql_split_ws(expr)}, lambda w: {sql_word_pieces('w', piece_len)}))"
+
+
+def sql_piece_count(w: str, piece_len: int) -> str:
+    return f"CAST(CASE WHEN {w} = '{UNK}' THEN 1 ELSE greatest(ceil(length({w}) / {piece_len}), 1) END AS BIGINT)"
+
+
+def sql_word_pieces(w: str, piece_len: int) -> str:
+    return (f"list_transform(range({sql_piece_count(w, piece_len)}), lambda i: CASE WHEN {w} = '{UNK}' THEN {w} ELSE "
+            f"(CASE WHEN i = 0 THEN '{WORD_START}' ELSE '' END) || "
+            f"substring({w}, CAST(i * {piece_len} + 1 AS BIGINT), {piece_len}) END)")
 
 
 def sql_vocab(src_cte: str, text_col: str, vocab_size: int, piece_len: int, name: str = "vocab") -> str:
@@ -247,7 +258,7 @@ def sql_vocab(src_cte: str, text_col: str, vocab_size: int, piece_len: int, name
                                   for i, p in enumerate(SPECIALS))
     return f"""
 {name}_pc AS (SELECT unnest({sql_text_pieces(text_col, piece_len)}) AS piece FROM {src_cte}),
-{name}_cnt AS (SELECT piece, count(*) AS cnt FROM {name}_pc GROUP BY piece),
+{name}_cnt AS (SELECT piece, count(*) AS cnt FROM {name}_pc WHERE piece <> '{UNK}' GROUP BY piece),
 {name}_top AS (SELECT piece, CAST(row_number() OVER (ORDER BY cnt DESC, piece) + {len(SPECIALS) - 1} AS INTEGER) AS piece_id,
                       false AS is_special
                FROM {name}_cnt ORDER BY cnt DESC, piece LIMIT {vocab_size}),

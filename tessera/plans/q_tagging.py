@@ -5,7 +5,9 @@ becomes a token line ``word<TAB>label``, and every document line ends with
 a blank line. The gold label comes from the word's shape: ASCII capital first →
 ``B-CAP``, ending in ``.``/``,`` → ``I-CAP`` (so ``I`` after ``O`` occurs),
 otherwise ``O``. Words whose length is a multiple of 7 get no label field,
-multiples of 11 a third field — both fall back to the default label.
+multiples of 11 a third field — both fall back to the default label. A line
+with more than ``LONG`` characters besides spaces also gives one token of all
+its words joined, which no sequence can hold (the unknown token's case).
 Predictions flip the gold label to the next label with probability 0.2
 (md5 draw per token).
 """
@@ -30,12 +32,13 @@ from tessera.operators.tagging import (IGNORE, align_labels, assemble_sentences,
                                        pack_fragments, read_tagged, realign, sentence_ids, tag_features,
                                        unk_tokens, union_langs)
 from tessera.operators.vocab import (BOS_ID, EOS_ID, PAD_ID, UNK, UNK_ID, build_vocab, encode_word_arrays,
-                                     sql_vocab)
+                                     sql_piece_count, sql_vocab, sql_word_pieces)
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir
 
 TAG_MAX_LEN, PIECE_LEN, SPECIAL = 256, 4, 3
 BUDGET = TAG_MAX_LEN - SPECIAL
+LONG = BUDGET * PIECE_LEN
 VOCAB_SIZE = 2000
 FLIP_P, PRED_SEED, SPLIT_SEED, FEW_SHOT_N = 0.2, 17, 19, 50
 LANG2ID = [("de", 0), ("en", 1), ("es", 2)]
@@ -57,8 +60,11 @@ def _raw(w):
 
 def _words(line):
     """Words of a document line for the derivation: split at spaces, empty
-    pieces dropped (the corpus has no other whitespace inside lines)."""
-    return F.filter(F.split(line, " ", -1), lambda w: w != "")
+    pieces dropped (the corpus has no other whitespace inside lines); long
+    lines also give their words joined."""
+    joined = F.replace(line, F.lit(" "), F.lit(""))
+    return F.concat(F.filter(F.split(line, " ", -1), lambda w: w != ""),
+                    F.when(F.length(joined) > LONG, F.array(joined)).otherwise(F.array().cast("array<string>")))
 
 
 def tag_lines(spark, sf):
@@ -135,10 +141,12 @@ def _sql_raw(w):
 
 
 _ITEMS = sql_split_ws("text")
+_SQL_WORDS = ("list_concat(list_filter(string_split(l, ' '), lambda q: q <> ''), "
+              f"CASE WHEN length(replace(l, ' ', '')) > {LONG} THEN [replace(l, ' ', '')] ELSE [] END)")
 SQL_TOK = f"""
 tl AS (SELECT doc_id, lang, CAST(unnest(range(len(arr))) AS BIGINT) AS line_no, unnest(arr) AS text
        FROM (SELECT doc_id, lang, flatten(list_transform({sql_split_lines('text')},
-                    lambda l: list_concat(list_transform(list_filter(string_split(l, ' '), lambda q: q <> ''), lambda w: {_sql_raw('w')}), ['']))) AS arr
+                    lambda l: list_concat(list_transform({_SQL_WORDS}, lambda w: {_sql_raw('w')}), ['']))) AS arr
              FROM documents)),
 tp AS (SELECT doc_id, lang, line_no, items, len(items) = 0 AS is_blank,
               items[1] AS token, CASE WHEN len(items) = 2 THEN items[2] WHEN len(items) > 0 THEN 'O' END AS label
@@ -146,7 +154,7 @@ tp AS (SELECT doc_id, lang, line_no, items, len(items) = 0 AS is_blank,
 ts AS (SELECT *, CAST(sum(CAST(is_blank AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY line_no
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(is_blank AS BIGINT) AS BIGINT) AS sent_no FROM tp),
 tok AS (SELECT doc_id, lang, line_no, sent_no, token, label FROM ts WHERE NOT is_blank),
-tn AS (SELECT *, CASE WHEN length(token) = 0 THEN 0 ELSE CAST(ceil(length(token) / {PIECE_LEN}) AS INTEGER) END AS n0 FROM tok),
+tn AS (SELECT *, CASE WHEN length(token) = 0 THEN 0 ELSE CAST({sql_piece_count('token', PIECE_LEN)} AS INTEGER) END AS n0 FROM tok),
 tu AS (SELECT doc_id, lang, line_no, sent_no, label,
               CASE WHEN (n0 = 0 OR n0 > {BUDGET}) AND length(token) <> 0 THEN '{UNK}' ELSE token END AS token,
               CAST(CASE WHEN (n0 = 0 OR n0 > {BUDGET}) AND length(token) <> 0 THEN 1 ELSE n0 END AS INTEGER) AS n_pieces
@@ -220,7 +228,7 @@ def aligned(spark, sf, ctx=None):
 
 
 def _sql_npieces(w):
-    return f"CAST(greatest(ceil(length({w}) / {PIECE_LEN}), 1) AS BIGINT)"
+    return sql_piece_count(w, PIECE_LEN)
 
 
 SQL_ALIGN = SQL_SENT + f""",
@@ -246,8 +254,7 @@ def features(spark, sf, ctx=None):
                       *tag_features(F.col("piece_ids"), F.col("piece_labels"), F.col("lang_id"), TAG_MAX_LEN))
 
 
-_WP = (f"list_transform(range({_sql_npieces('w')}), lambda i: (CASE WHEN i = 0 THEN '▁' ELSE '' END) || "
-       f"substring(w, CAST(i * {PIECE_LEN} + 1 AS BIGINT), {PIECE_LEN}))")
+_WP = sql_word_pieces("w", PIECE_LEN)
 
 
 def _sql_padded(a, v):

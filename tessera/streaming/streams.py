@@ -7,8 +7,10 @@ and stream compute the same thing:
 * :func:`pair_stream` — new lines in, valid pairs out (stateless);
 * :func:`loss_windows` — loss means per component and event-time window,
   late rows bounded by a watermark;
-* :func:`best_tracker` — live best score / patience per run
-  (``applyInPandasWithState``: state = best, misses, evaluations seen);
+* :func:`best_tracker` — live best score / patience per run in event-time
+  order, whatever the arrival order within the watermark
+  (``applyInPandasWithState``: state = best, misses, evaluations seen and
+  the evaluations the watermark has not passed yet);
 * :func:`start_topk_stream` — new queries scored against a static source
   table in every micro-batch with the batch top-k;
 * :func:`dedup_stream` — exact-duplicate suppression within the watermark.
@@ -61,36 +63,46 @@ BEST_SCHEMA = T.StructType([
     T.StructField("run", T.StringType()), T.StructField("eval_no", T.LongType()),
     T.StructField("f1", T.DoubleType()), T.StructField("best_so_far", T.DoubleType()),
     T.StructField("misses", T.LongType()), T.StructField("stopped", T.BooleanType())])
-BEST_STATE = "best double, misses long, seen long"
+BEST_STATE = "best double, misses long, seen long, at array<long>, no array<long>, f1 array<double>"
 
 
-def best_tracker(evals: DataFrame, patience: int, run: str = "run", order: list[str] = ("ts", "event_id"),
-                 score: str = "f1", start: float = 0.0) -> DataFrame:
-    """Per run, in event order: best score so far (strict improvement over
-    ``start``), consecutive misses, and whether patience is exhausted."""
-    order = list(order)
+def best_tracker(evals: DataFrame, patience: int, watermark: str, run: str = "run", ts: str = "ts",
+                 number: str = "event_id", score: str = "f1", start: float = 0.0) -> DataFrame:
+    """Per run, in event order (``ts``, then ``number``): best score so far
+    (strict improvement over ``start``), consecutive misses, and whether
+    patience is exhausted.
 
+    An evaluation is counted once the watermark has passed it, so files that
+    arrive out of order (by less than the watermark delay) and the size of a
+    micro-batch do not change the result. Until then it waits in the state,
+    which so holds a run's evaluations of one watermark delay; an event-time
+    timer releases them. Evaluations later than the watermark are dropped."""
     def fn(key, pdfs, state):
-        best, misses, seen = (state.get if state.exists else (start, 0, 0))
-        rows = []
-        for pdf in pdfs:
-            rows.append(pdf)
-        if not rows:
-            return
-        pdf = pd.concat(rows).sort_values(order, kind="mergesort")
+        best, misses, seen, at, no, f1 = state.get if state.exists else (start, 0, 0, [], [], [])
+        waiting = [pd.DataFrame({"us": at, "no": no, "f1": f1})]
+        if not state.hasTimedOut:
+            waiting += [pd.DataFrame({"us": p["us"], "no": p[number], "f1": p[score]}) for p in pdfs]
+        rows = pd.concat([w for w in waiting if len(w)]).sort_values(["us", "no"], kind="mergesort")
+        closed = rows["us"] // 1000 < state.getCurrentWatermarkMs()
         out = []
-        for f1 in pdf[score].to_numpy():
+        for value in rows.loc[closed, "f1"].to_numpy():
             seen += 1
-            if f1 > best:
-                best, misses = float(f1), 0
+            if value > best:
+                best, misses = float(value), 0
             else:
                 misses += 1
-            out.append((key[0], seen, float(f1), best, misses, bool(patience > 0 and misses > patience)))
-        state.update((best, misses, seen))
-        yield pd.DataFrame(out, columns=[f.name for f in BEST_SCHEMA.fields])
-
-    return evals.groupBy(run).applyInPandasWithState(fn, BEST_SCHEMA, BEST_STATE, "append",
-                                                     GroupStateTimeout.NoTimeout)
+            out.append((key[0], seen, float(value), best, misses, bool(patience > 0 and misses > patience)))
+        rest = rows[~closed]
+        state.update((best, misses, seen, rest["us"].astype("int64").tolist(), rest["no"].astype("int64").tolist(),
+                      rest["f1"].astype("float64").tolist()))
+        if len(rest):
+            state.setTimeoutTimestamp(int(rest["us"].iloc[0] // 1000))
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in BEST_SCHEMA.fields])
+
+    timed = evals.withColumn("us", F.unix_micros(ts)).withWatermark(ts, watermark)
+    return timed.groupBy(run).applyInPandasWithState(fn, BEST_SCHEMA, BEST_STATE, "append",
+                                                     GroupStateTimeout.EventTimeTimeout)
 
 
 def dedup_stream(df: DataFrame, ts: str, watermark: str, keys: list[str]) -> DataFrame:

@@ -80,3 +80,26 @@ def test_tag_features_lengths(spark):
     assert r["input_ids"] == [0, 5, 6, 7, 2, 2]
     assert r["label_ids"] == [-100, 1, -100, 2, -100, -100]
     assert all(len(r[c]) == 6 for c in ("input_ids", "input_mask", "segment_ids", "label_ids", "langs"))
+
+
+def test_unknown_token_is_one_piece_with_its_own_id(spark):
+    """A word no sequence can hold: one piece everywhere, so the fragment it
+    was booked in holds it and keeps every later token's prediction."""
+    from tessera.operators.tagging import realign
+    from tessera.operators.vocab import UNK, UNK_ID, build_vocab, encode_word_arrays, py_pieces, word_pieces
+    words = ["x" * 60, "abcd", "y" * 60, "efgh", "z" * 60]
+    df = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)], "s int, line_no int, token string")
+    u = unk_tokens(df, 16, 4, 3)
+    assert [r["n_pieces"] for r in u.orderBy("line_no").collect()] == [1] * 5
+    assert py_pieces(UNK, 4) == [UNK]
+    assert u.select(word_pieces(F.col("token"), 4).alias("p")).filter(F.col("p")[0] == UNK).distinct().collect()[0]["p"] == [UNK]
+    vocab = build_vocab(u.select("token"), "token", 10, 4, pre_split=True)
+    assert vocab.filter(F.col("piece") == UNK).count() == 1
+    packed = pack_fragments(u, ["s"], 13, carry=["token"])
+    frag = packed.groupBy("s", "frag").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("r")) \
+        .select("s", "frag", F.transform("r", lambda r: r["token"]).alias("words"))
+    ids = [r["ids"] for r in encode_word_arrays(frag, vocab, {"ids": "words"}, 4).collect()]
+    assert len(ids) == 1 and len(ids[0]) == 5 and [i == UNK_ID for i in ids[0]] == [True, False, True, False, True]
+    short = spark.createDataFrame([(1, 0, ["O", "O", "B"])], "s int, frag int, preds array<string>")
+    row = realign(short, packed, ["s"]).collect()[0]
+    assert row["tokens"] == [UNK, "abcd", UNK, "efgh", UNK] and row["preds"] == ["O", "O", "B", None, None]
