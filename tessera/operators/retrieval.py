@@ -8,20 +8,21 @@ query and its neighbours are *source* rows; the gold neighbour of target
 Physical plan of :func:`topk_neighbours` (no cross join, no all-pairs
 output):
 
-1. both sides get a block id (hash of the row key, ``B`` blocks each);
-2. every source row is replicated to the ``B`` query blocks and every
-   query row to the ``B`` source blocks (``explode(sequence)``, a narrow
-   operator), so block pair ``(xb, yb)`` holds ~N/B sources and ~M/B
-   queries — shuffle volume B·(N+M)·d instead of N·M;
+1. both sides get a block id by the hash of the row key: ``X`` source and
+   ``Y`` query blocks, counted for every group (language) on its own;
+2. every source row is replicated to the ``Y`` query blocks and every
+   query row to the ``X`` source blocks (``explode(sequence)``, a narrow
+   operator), so block pair ``(xb, yb)`` holds ~N/X sources and ~M/Y
+   queries — shuffle volume (Y·N + X·M)·d instead of N·M;
 3. ``groupBy(xb, yb).applyInPandas`` runs one BLAS product per block pair
    and keeps, per query, the local top-k under the total order
    ``(round(dist, 9), source idx)``; distances of the kept rows are
    recomputed in the direct form with a sequential sum, which is bit-equal
    to the JVM ``aggregate(zip_with(...))`` expression;
-4. the ≤ B·k candidates per query are merged by a window partitioned by
+4. the ≤ X·k candidates per query are merged by a window partitioned by
    the query key (bounded per key, so no hot partition).
 
-``B`` is chosen so one block holds at most ``block_rows`` vectors; group
+``X`` and ``Y`` are chosen so one block holds at most ``block_rows`` vectors; group
 memory is therefore bounded whatever the input size.
 """
 
@@ -43,17 +44,26 @@ def normalize(df: DataFrame, vec: str = "vec", out: str | None = None) -> DataFr
     return df.withColumn(out or vec, l2_normalize(vec))
 
 
-def _choose_blocks(queries: DataFrame, sources: DataFrame, group_cols, block_rows: int,
-                   min_blocks: int) -> int:
-    # One small aggregate per side: the largest group decides the block count.
-    def biggest(df):
-        if group_cols:
-            r = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
-        else:
-            r = df.count()
-        return int(r or 0)
-    n = max(biggest(queries), biggest(sources), 1)
-    return max(int(math.ceil(n / block_rows)), min_blocks, 1)
+def _with_blocks(queries: DataFrame, sources: DataFrame, group_cols: list[str], block_rows: int,
+                 min_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``__xn`` source blocks and ``__yn`` query blocks.
+
+    Without groups these are two counts; with groups every group gets its own
+    (one row per group, a partial aggregate of each side), so a small group is
+    not cut into the blocks that the largest one needs."""
+    def blocks(n):
+        return F.greatest(F.ceil(n / F.lit(float(block_rows))), F.lit(min_blocks)).cast("int")
+    if not group_cols:
+        xn, yn = blocks(F.lit(sources.count())), blocks(F.lit(queries.count()))
+        return tuple(df.withColumns({"__xn": xn, "__yn": yn}) for df in (queries, sources))
+    either = (sources.select(*group_cols, F.lit(1).alias("x"), F.lit(0).alias("y"))
+              .unionByName(queries.select(*group_cols, F.lit(0).alias("x"), F.lit(1).alias("y"))))
+    sizes = either.groupBy(*[F.col(g).alias(f"__{g}") for g in group_cols]) \
+                  .agg(blocks(F.sum("x")).alias("__xn"), blocks(F.sum("y")).alias("__yn"))
+    def sized(df):
+        on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group_cols]
+        return df.join(sizes, on).drop(*[f"__{g}" for g in group_cols])
+    return sized(queries), sized(sources)
 
 
 def _local_topk_fn(k: int, group_cols: list[str]):
@@ -133,21 +143,19 @@ def topk_neighbours(queries: DataFrame, sources: DataFrame, k: int = 10, *,
     if min_blocks is None:
         # enough block pairs to keep every core busy on small inputs
         min_blocks = int(math.ceil(math.sqrt(spark.sparkContext.defaultParallelism)))
-    B = _choose_blocks(queries, sources, group_cols, block_rows, min_blocks)
+    gfields = [queries.schema[g] for g in group_cols]
+    queries, sources = _with_blocks(queries, sources, group_cols, block_rows, min_blocks)
 
     def prep(df, side):
         base = df.select(*group_cols, F.col(key).cast("long").alias("idx"),
-                         F.col(vec).cast("array<double>").alias("vec"))
-        own = F.pmod(F.xxhash64("idx"), F.lit(B)).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.lit(B - 1)))
-        if side == 0:
-            return base.select(*group_cols, "idx", "vec", own.alias("xb"), other.alias("yb"),
-                               F.lit(0).alias("side"))
-        return base.select(*group_cols, "idx", "vec", other.alias("xb"), own.alias("yb"),
-                           F.lit(1).alias("side"))
+                         F.col(vec).cast("array<double>").alias("vec"), "__xn", "__yn")
+        own, others = ("__xn", "__yn") if side == 0 else ("__yn", "__xn")
+        mine = F.pmod(F.xxhash64("idx"), F.col(own)).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        xb, yb = (mine, other) if side == 0 else (other, mine)
+        return base.select(*group_cols, "idx", "vec", xb.alias("xb"), yb.alias("yb"), F.lit(side).alias("side"))
 
     both = prep(sources, 0).unionByName(prep(queries, 1))
-    gfields = [queries.schema[g] for g in group_cols]
     schema = T.StructType(
         [T.StructField(f.name, f.dataType, True) for f in gfields]
         + [T.StructField("query_idx", T.LongType()), T.StructField("neighbour_idx", T.LongType()),

@@ -11,7 +11,7 @@ never one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,6 +45,25 @@ def run_name(parts: list, sep: str = "_") -> "F.Column":
     return F.concat_ws(sep, *[p if not isinstance(p, str) else F.col(p) for p in parts])
 
 
+def training_run_name(base, train_file, loss, use_lm, use_contrastive, use_tlm, train_cls, weight, use_cosine,
+                      temperature, use_smoothing, reset_positions) -> "F.Column":
+    """Run name of a continued training from its parameters (columns): the
+    base name, the third last part of the training file's path, the loss, and
+    one suffix per setting that departs from the default. The pooling and
+    weight suffixes belong to the loss ``TCM`` alone."""
+    def when(flag, text):
+        return F.when(flag, text if isinstance(text, Column) else F.lit(text)).otherwise(F.lit(""))
+    contrast = F.concat(F.when(train_cls, F.lit("_cls")).otherwise(F.lit("_pool")),
+                        F.lit("_weight_"), weight.cast("string"))
+    return F.concat(
+        base, F.lit("_"), F.element_at(F.split(train_file, "/"), -3), F.lit("_"), loss,
+        when(train_file.contains("with"), "_with_latn"),
+        when(loss == "TCM", F.when(use_contrastive, contrast).otherwise(F.lit("_no_contrast"))),
+        when(~use_lm, "_no_lm"), when(use_tlm, "_tlm"),
+        when(use_cosine, F.concat(F.lit("_cosine_"), temperature.cast("string"))),
+        when(use_smoothing, "_smoothed"), when(reset_positions, "_reset_pos"))
+
+
 def pending_runs(runs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Runs whose output does not exist yet (left-anti on the run key)."""
     return runs.join(done.select(*keys), on=keys, how="left_anti")
@@ -73,13 +92,15 @@ def read_langs(lines: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def best_run(history: DataFrame, run: str, order: str, score: str, item: str,
-             start: float = 0.0) -> DataFrame:
+             start: float = 0.0, default=None) -> DataFrame:
     """Highest score per run; strictly greater wins, so the first on ties;
-    nothing beats the start value (0 for checkpoints, -1 for epochs)."""
-    h = history.filter(F.col(score) > F.lit(start))
-    return h.groupBy(run).agg(
-        F.max_by(F.col(item), F.struct(F.col(score), -F.col(order))).alias(f"best_{item}"),
-        F.max(score).alias(f"best_{score}"))
+    nothing beats the start value (0 for checkpoints, -1 for epochs). A run
+    without such a score keeps ``default`` and the start value."""
+    wins = F.col(score) > F.lit(start)
+    return history.groupBy(run).agg(
+        F.coalesce(F.max_by(F.when(wins, F.col(item)), F.when(wins, F.struct(F.col(score), -F.col(order)))),
+                   F.lit(default).cast(history.schema[item].dataType)).alias(f"best_{item}"),
+        F.coalesce(F.max(F.when(wins, F.col(score))), F.lit(start)).alias(f"best_{score}"))
 
 
 BLOCK = 65536
@@ -153,12 +174,13 @@ def epoch_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def dev_summary(results: DataFrame, run: str, step: str, metrics: list[str], best: DataFrame,
                 several: bool = True) -> DataFrame:
     """Long ``(run, key, value)`` table: metric names prefixed by the step
-    when several checkpoints were evaluated, plus the best-checkpoint line."""
+    when several checkpoints were evaluated, plus one line for every column
+    of ``best`` after the run (best checkpoint, best score)."""
     stack = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("v"))
                                 for m in metrics]))
     long = results.select(run, step, stack.alias("kv"))
     key = F.concat_ws("_", F.col(step).cast("string"), F.col("kv.m")) if several else F.col("kv.m")
     rows = long.select(run, key.alias("key"), F.col("kv.v").alias("value"))
-    best_rows = best.select(run, F.lit("best_checkpoint").alias("key"), F.col(best.columns[1]).cast("double")
-                            .alias("value"))
-    return rows.unionByName(best_rows)
+    lines = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value"))
+                                for c in best.columns if c != run]))
+    return rows.unionByName(best.select(run, lines.alias("kv")).select(run, "kv.key", "kv.value"))

@@ -3,6 +3,9 @@ padding, TLM concatenation and MLM masking over the valid pair table."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions.draws import sql_key, sql_uniform
@@ -16,6 +19,7 @@ from tessera.functions.arrays import pad_fixed
 from tessera.plans.q_corpus import SQL_VALID, pairs
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir
+from tessera.sources.stores import cached_tokens
 
 VOCAB_SIZE, PIECE_LEN, MAX_LEN = 2000, 4, 512
 BATCH, PAD_MULTIPLE, FIXED_LEN = 16, 8, 100
@@ -99,6 +103,23 @@ FROM spx LEFT JOIN vocab ON spx.piece = vocab.piece""")(q_token_ids)
 register("pair_encode", f"WITH {SQL_ENC} SELECT * FROM enc")(encoded)
 
 
+def q_tok_cache(spark, sf):
+    """Tokens per line, written once; the second request reads what the
+    first one wrote."""
+    path = os.path.join(checkpoint_dir(spark), "tables", f"tokens-{uuid.uuid4().hex[:12]}")
+
+    def build():
+        v = valid_pairs(pairs(spark, sf))
+        return v.select("lang", *KEYS, text_pieces("text", PIECE_LEN).alias("tokens"))
+
+    cached_tokens(spark, path, build)
+    return cached_tokens(spark, path, build).select("lang", *KEYS, F.concat_ws(" ", "tokens").alias("tokens"))
+
+
+register("tok_cache", f"""WITH {SQL_VALID}
+SELECT lang, doc_id, line_no, array_to_string({sql_text_pieces('text', PIECE_LEN)}, ' ') AS tokens FROM vp""")(q_tok_cache)
+
+
 def q_len_stats(spark, sf):
     e = encoded(spark, sf, cut=True)
     b = assign_batches(e.select(*KEYS, "input_ids_1"), [F.col(k) for k in KEYS], BATCH)

@@ -9,6 +9,9 @@ source ``i`` with realistic near misses.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from tessera.operators.retrieval import (gold_distance, layer_select, retrieval_
                                          topk_neighbours)
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir
+from tessera.sources.stores import layers_complete, read_layer, write_layers, write_predictions
 
 K = 10
 TOTAL_LAYERS, NUM_LAYERS, LAYER_INDEX = 13, 12, 7
@@ -201,3 +205,74 @@ WITH l AS (SELECT vec_id AS idx, CAST(r.layer AS INTEGER) AS layer,
            FROM embeddings, range({TOTAL_LAYERS}) AS r(layer))
 SELECT idx, layer, round(list_reduce(list_prepend(0.0, vec), lambda a, z: a + z), 6) AS vec_sum
 FROM l WHERE layer = {TOTAL_LAYERS - NUM_LAYERS + LAYER_INDEX}""")(q_layer_select)
+
+
+def q_emb_layer_read(spark, sf_dir):
+    """All layers written to the store, one of them read back."""
+    path = os.path.join(checkpoint_dir(spark), "tables", f"layers-{uuid.uuid4().hex[:12]}")
+    if not layers_complete(spark, path, TOTAL_LAYERS):
+        write_layers(layered(spark, sf_dir), path)
+    sel = read_layer(spark, path, TOTAL_LAYERS, NUM_LAYERS, LAYER_INDEX)
+    return sel.select("idx", "layer", F.round(F.aggregate("vec", F.lit(0.0), lambda a, z: a + z), 6).alias("vec_sum"))
+
+
+register("emb_layer_read", f"""
+WITH l AS (SELECT vec_id AS idx, CAST(r.layer AS INTEGER) AS layer,
+                  list_transform(CAST(embedding AS DOUBLE[]), lambda z: z * (r.layer + 1)) AS vec
+           FROM embeddings, range({TOTAL_LAYERS}) AS r(layer))
+SELECT idx, layer, round(list_reduce(list_prepend(0.0, vec), lambda a, z: a + z), 6) AS vec_sum
+FROM l WHERE layer = {TOTAL_LAYERS - NUM_LAYERS + LAYER_INDEX}""")(q_emb_layer_read)
+
+
+# Languages of the vectors: one with half of all rows, two with a quarter.
+LANG_OF = ["eng_Latn", "ell_Grek", "eng_Latn", "rus_Cyrl"]
+
+
+def _lang(idx="idx"):
+    return F.element_at(F.array(*[F.lit(x) for x in LANG_OF]), (F.pmod(F.col(idx), F.lit(len(LANG_OF))) + 1).cast("int"))
+
+
+def lang_sides(spark, sf_dir):
+    return tuple(_cut(side(spark, sf_dir).withColumn("lang", _lang())) for side in (targets, sources))
+
+
+SQL_LANG_TOPK = SQL_SIDES + f""",
+ln AS (SELECT idx, (ARRAY{LANG_OF})[CAST(idx % {len(LANG_OF)} AS INTEGER) + 1] AS lang FROM x),
+xl AS (SELECT x.idx, x.vec, ln.lang FROM x JOIN ln USING (idx)),
+yl AS (SELECT y.idx, y.vec, ln.lang FROM y JOIN ln USING (idx)),
+d AS (SELECT yl.lang, yl.idx AS query_idx, xl.idx AS neighbour_idx, {sql_l2_distance('yl.vec', 'xl.vec')} AS dist
+      FROM yl JOIN xl ON yl.lang = xl.lang),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_idx ORDER BY round(dist, 9), neighbour_idx) AS rank FROM d)"""
+
+
+def q_retrieval_acc_lang(spark, sf_dir):
+    y, x = lang_sides(spark, sf_dir)
+    return retrieval_acc(topk_neighbours(y, x, K, group_cols=["lang"]), y, group_cols=["lang"])
+
+
+register("retrieval_acc_lang", f"""
+WITH {SQL_LANG_TOPK},
+h AS (SELECT query_idx, min(rank) AS gold_rank FROM r WHERE rank <= {K} AND query_idx = neighbour_idx
+      GROUP BY query_idx)
+SELECT yl.lang, round(avg(CASE WHEN gold_rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS acc1,
+       round(avg(CASE WHEN gold_rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS acc5,
+       round(avg(CASE WHEN gold_rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS acc10, count(*) AS n_queries
+FROM yl LEFT JOIN h ON yl.idx = h.query_idx GROUP BY yl.lang""")(q_retrieval_acc_lang)
+
+
+def q_predictions(spark, sf_dir):
+    """Neighbour lists of every language through the prediction store."""
+    y, x = lang_sides(spark, sf_dir)
+    nn = topk_neighbours(y, x, K, group_cols=["lang"])
+    lists = nn.groupBy("lang", "query_idx").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour_idx"))), lambda s: s["neighbour_idx"])
+        .alias("neighbours"))
+    path = os.path.join(checkpoint_dir(spark), "tables", f"predictions-{uuid.uuid4().hex[:12]}")
+    write_predictions(lists, path)
+    return spark.read.parquet(path).select("lang", "query_idx", "neighbours")
+
+
+register("predictions", f"""
+WITH {SQL_LANG_TOPK}
+SELECT lang, query_idx, list(neighbour_idx ORDER BY rank) AS neighbours FROM r WHERE rank <= {K}
+GROUP BY lang, query_idx""")(q_predictions)

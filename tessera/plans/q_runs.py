@@ -18,7 +18,7 @@ from tessera.functions.draws import sql_key, sql_uniform, uniform
 from tessera.operators.report import metric_report
 from tessera.operators.runs import (best_run, dev_summary, early_stop, epoch_stats, pending_runs, read_langs,
                                     resolve_parallel, run_matrix, run_name, running_best, select_checkpoints,
-                                    sequence_numbers)
+                                    sequence_numbers, training_run_name)
 from tessera.plans.registry import register, table
 
 LO, HI = 0, 50000
@@ -139,10 +139,21 @@ h AS (SELECT event_type AS run, row_number() OVER (PARTITION BY event_type ORDER
              floor(value) / 100 AS f1, value, ts FROM events),
 hs AS (SELECT *, eval_no * 100 AS global_step FROM h)"""
 
-register("best_checkpoint", f"""WITH {SQL_HIST},
-pos AS (SELECT * FROM hs WHERE f1 > 0)
-SELECT run, arg_max(global_step, (f1, -eval_no)) AS best_global_step, max(f1) AS best_f1 FROM pos GROUP BY run""")(
-    lambda spark, sf: best_run(history(spark, sf), "run", "eval_no", "f1", "global_step", 0.0))
+# The run SILENT never scores above the start value: it keeps the default step.
+SILENT, DEFAULT_STEP = "error", -1
+
+
+def silenced(spark, sf):
+    return history(spark, sf).withColumn("f1", F.when(F.col("run") == SILENT, F.lit(0.0)).otherwise(F.col("f1")))
+
+
+SQL_BEST = SQL_HIST + f""",
+hz AS (SELECT * REPLACE (CASE WHEN run = '{SILENT}' THEN 0.0 ELSE f1 END AS f1) FROM hs),
+b AS (SELECT run, coalesce(arg_max(global_step, (f1, -eval_no)) FILTER (f1 > 0), {DEFAULT_STEP}) AS best_global_step,
+             coalesce(max(f1) FILTER (f1 > 0), 0.0) AS best_f1 FROM hz GROUP BY run)"""
+
+register("best_checkpoint", f"WITH {SQL_BEST} SELECT run, best_global_step, best_f1 FROM b")(
+    lambda spark, sf: best_run(silenced(spark, sf), "run", "eval_no", "f1", "global_step", 0.0, DEFAULT_STEP))
 
 
 _SQL_FLAGS = """
@@ -179,16 +190,17 @@ FROM hs GROUP BY run, CAST(ts AS DATE)""")(q_epoch_stats)
 
 
 def q_dev_summary(spark, sf):
-    h = history(spark, sf)
-    best = best_run(h, "run", "eval_no", "f1", "global_step", 0.0).select("run", "best_global_step")
+    h = silenced(spark, sf)
+    best = best_run(h, "run", "eval_no", "f1", "global_step", 0.0, DEFAULT_STEP) \
+        .withColumnRenamed("best_global_step", "best_checkpoint")
     return dev_summary(h, "run", "global_step", ["f1", "value"], best)
 
 
-register("dev_summary", f"""WITH {SQL_HIST},
-b AS (SELECT run, arg_max(global_step, (f1, -eval_no)) AS best_global_step FROM hs WHERE f1 > 0 GROUP BY run)
-SELECT run, CAST(global_step AS VARCHAR) || '_f1' AS key, CAST(f1 AS DOUBLE) AS value FROM hs
-UNION ALL SELECT run, CAST(global_step AS VARCHAR) || '_value', CAST(value AS DOUBLE) FROM hs
-UNION ALL SELECT run, 'best_checkpoint', CAST(best_global_step AS DOUBLE) FROM b""")(q_dev_summary)
+register("dev_summary", f"""WITH {SQL_BEST}
+SELECT run, CAST(global_step AS VARCHAR) || '_f1' AS key, CAST(f1 AS DOUBLE) AS value FROM hz
+UNION ALL SELECT run, CAST(global_step AS VARCHAR) || '_value', CAST(value AS DOUBLE) FROM hz
+UNION ALL SELECT run, 'best_checkpoint', CAST(best_global_step AS DOUBLE) FROM b
+UNION ALL SELECT run, 'best_f1', CAST(best_f1 AS DOUBLE) FROM b""")(q_dev_summary)
 
 
 def q_metric_report(spark, sf):
@@ -209,3 +221,37 @@ l AS (SELECT lang, 'max_f1' AS metric, printf('%.4f', max_f1) AS value FROM m
 SELECT lang, '=====================' || chr(10) || 'language=' || lang || chr(10)
              || string_agg(metric || ' = ' || value, chr(10) ORDER BY metric) AS report
 FROM l GROUP BY lang""")(q_metric_report)
+
+
+# Training parameters: one row per part, every switch read from a bit of its key.
+def _bit(i):
+    return F.shiftright("p_partkey", i).bitwiseAND(F.lit(1)) == 1
+
+
+def q_run_name(spark, sf):
+    p = table(spark, sf, "part")
+    file = F.concat(F.lit("corpus/"), F.lower("p_brand"), F.when(_bit(8), F.lit("_with")).otherwise(F.lit("")),
+                    F.lit("/pairs/train.csv"))
+    name = training_run_name(
+        F.lit("out/run"), file, F.when(_bit(0), F.lit("TCM")).otherwise(F.lit("TLM")), ~_bit(1), _bit(2), _bit(3), _bit(4),
+        (F.col("p_size") % 10) / 4, _bit(5), (F.col("p_size") % 7 + 1) / 8, _bit(6), _bit(7))
+    return p.select("p_partkey", name.alias("run_name"))
+
+
+def _sql_bit(i):
+    return f"(p_partkey >> {i}) & 1 = 1"
+
+
+register("run_name", f"""
+WITH f AS (SELECT *, 'corpus/' || lower(p_brand) || CASE WHEN {_sql_bit(8)} THEN '_with' ELSE '' END || '/pairs/train.csv' AS file,
+                  CASE WHEN {_sql_bit(0)} THEN 'TCM' ELSE 'TLM' END AS loss FROM part)
+SELECT p_partkey, 'out/run_' || split_part(file, '/', -3) || '_' || loss
+       || CASE WHEN contains(file, 'with') THEN '_with_latn' ELSE '' END
+       || CASE WHEN loss <> 'TCM' THEN '' WHEN {_sql_bit(2)} THEN
+            CASE WHEN {_sql_bit(4)} THEN '_cls' ELSE '_pool' END || '_weight_' || CAST((p_size % 10) / 4 AS VARCHAR)
+          ELSE '_no_contrast' END
+       || CASE WHEN {_sql_bit(1)} THEN '_no_lm' ELSE '' END || CASE WHEN {_sql_bit(3)} THEN '_tlm' ELSE '' END
+       || CASE WHEN {_sql_bit(5)} THEN '_cosine_' || CAST((p_size % 7 + 1) / 8 AS VARCHAR) ELSE '' END
+       || CASE WHEN {_sql_bit(6)} THEN '_smoothed' ELSE '' END
+       || CASE WHEN {_sql_bit(7)} THEN '_reset_pos' ELSE '' END AS run_name
+FROM f""")(q_run_name)
