@@ -8,9 +8,9 @@ length, over its one, two and five strongest words and over the whole text. A lo
 language models did not see turns these into the score.
 
 Training uses a bounded sample of labelled rows outside the held-out fold:
-about ``rows_per_class`` of each class (whole texts), at most
-``words_per_class`` distinct words of each; all documents are scored by whole
-text and by nothing else.
+about ``rows_per_class`` of each class (whole texts), with every word and
+letter n-gram in them; all documents are scored by whole text and by nothing
+else.
 
 Defined cases: null and empty texts get the score of no evidence; ids that
 ``labels`` repeats with both values train both classes; without rows of both
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.llm.class_words import class_word_counts
+from tessera.llm.class_words import class_ngrams, class_word_counts
 from tessera.llm.common import held_out, sampled_rows
 from tessera.llm.ngrams import Letters, Lookup, segment_sum, slices, split_words
 
@@ -41,18 +41,8 @@ class Model:
     """Differences of the two log-likelihoods: ``ratio`` of every known n-gram
     and ``backoff`` of every known context."""
 
-    def __init__(self, words, counts: np.ndarray):
-        letters = Letters(words)
-        of = np.repeat(np.arange(len(words)), np.diff(letters.starts))
-        orders, below = [], None
-        for k, grams in enumerate(letters.ngrams(TOP), 1):
-            ok = np.flatnonzero(letters.inside >= max(1, k - 1))
-            keys, first, inv = np.unique(grams[ok], return_index=True, return_inverse=True)
-            raw = np.stack([np.bincount(inv, weights=counts[of[ok], c], minlength=len(keys)) for c in (0, 1)], axis=1)
-            at = ok[first]
-            orders.append({"keys": keys, "raw": raw, "begins": letters.inside[at] == k - 1,
-                           "tail": below[at] if k > 1 else None, "head": below[at - 1] if k > 1 else None})
-            below = grams
+    def __init__(self, orders: list):
+        """``orders`` of ``class_ngrams``, classes ordinary and toxic."""
         for k in range(1, TOP):  # adjusted counts: distinct letters before, unless the n-gram begins a word
             low, high = orders[k - 1], orders[k]
             into = np.searchsorted(low["keys"], high["tail"])
@@ -163,18 +153,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -35, 35)))
 
 
-def train(docs: DataFrame, marks: DataFrame, rows_per_class: int = 4000, words_per_class: int = 100_000,
-          seed: int = 2) -> Model | None:
+def train(docs: DataFrame, marks: DataFrame, rows_per_class: int = 4000, seed: int = 2) -> Model | None:
     """Model from the labelled rows outside the held-out fold: two thirds of
     the sample train the language models, one third the logistic curve."""
     mine = marks.select("doc_id", "toxic").filter(~held_out() & F.col("toxic").isin(0, 1)).distinct()
     chosen = sampled_rows(mine, "toxic", rows_per_class, seed)
     curve = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(3)) == 0
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # bounded by the sample
-    words, classes, counts = class_word_counts(texts.filter(~curve), "toxic", words_per_class)
-    if list(classes) != [0, 1]:
+    classes, orders = class_ngrams(class_word_counts(texts.filter(~curve), "toxic"), TOP)
+    if classes != [0, 1]:
         return None
-    model = Model(words, counts)
+    model = Model(orders)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):

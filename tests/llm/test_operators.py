@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from conftest import clashing
 from pyspark.sql import functions as F
@@ -151,6 +152,20 @@ def test_toxicity_finds_rare_expressions_by_shared_stems(spark, odd, empty):
     assert toxicity.with_toxicity(odd, None).agg(F.max("score")).first()[0] == 0
 
 
+def test_rare_words_of_a_large_vocabulary_count(spark):
+    """Letters that only words seen once have, in a class with more distinct
+    words than 100,000."""
+    many = " ".join(f"w{i:x}" for i in range(101_000))
+    rare = [f"ψω{a}ψω{b}" for a in "αβγδε" for b in "αβγδε"]
+    rows = [(i, f"{many} {r}", "b", 1) for i, r in enumerate(rare)] + [(100 + i, many, "a", 0) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    bad = toxicity.train(df, df.select("doc_id", "toxic"))
+    seen, unseen = bad.word_ratios(pa.array(["ψωηψωη", "ξζηξζη"]))
+    assert seen > unseen + 0.5
+    new = spark.createDataFrame([(1000, "ψωηψωη")], "doc_id long, text string")
+    assert langid.with_language(new, langid.train(df)).first()["lang_pred"] == "b"
+
+
 # --- operator 4 -------------------------------------------------------------
 
 def check_shards(rows, out, shards=40):
