@@ -464,6 +464,17 @@ def test_line_dedup_finds_edited_lines(spark):
     assert sorted(got(L.matched_lines(df), *COLS3)) == plain_lines(rows)
 
 
+def test_line_components_follow_every_link(spark):
+    from tessera.llm import lines as L
+    words = [f"v{i}" for i in range(12)]
+    chain = [" ".join(words[i:i + 10]) for i in range(3)]     # neighbours share 9 of 11 words, the ends 8 of 12
+    rows = [(1, "one line\nx"), (3, "another line\ny"), (5, "one line\nanother line"),
+            (11, chain[0]), (12, chain[1]), (13, chain[2]), (20, "alone"), (None, "z z1\nalone too"), (None, "z z1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = Counter((r["doc_id"], r["component_id"]) for r in L.matched_lines(df).collect())
+    assert out == Counter([(1, 1), (3, 1), (5, 1), (11, 11), (12, 11), (13, 11), (20, 20), (None, None), (None, None)])
+
+
 def test_line_dedup_odd_rows(spark, odd, empty):
     from tessera.llm import lines as L
     out = L.matched_lines(clashing(odd))
