@@ -3,10 +3,13 @@
 The rollup is a folder of committed batches. A batch of signed changes
 (``+1`` insert, ``-1`` delete; a revised count is both) is aggregated to one
 row per (source, lang, tokenizer) before it is written under its own batch
-name, and becomes visible by the writer's success mark alone. Totals are the
-sums over the committed batches. Committing a batch name again changes
-nothing, whether the first try succeeded (skipped) or died half-way (written
-anew). ``compact`` folds committed batches into one.
+name, entered in the log, and becomes visible by the mark that is written
+last. Totals are the sums over the committed batches. Committing a batch name
+again changes nothing, whether the first try succeeded (skipped) or died
+half-way (written anew). ``compact`` folds committed batches into one of
+another rollup, whose log keeps their names, so they cannot be committed there
+again. A batch name stands for the same changes in all rollups that are folded
+into one.
 
 Defined cases: null source or language is a group of its own; null and empty
 texts are documents with no token; repeated rows count each; deletes may come
@@ -16,6 +19,9 @@ are all zero are left out.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +32,7 @@ from tessera.llm.ngrams import slices
 from tessera.llm.tokens import default_tokenizer, tokenizer
 
 KEYS = ["source", "lang", "tokenizer"]
+LOG = "batch string, folds array<string>"
 TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -72,30 +79,52 @@ class Rollup:
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply signed changes (``KEYS``, ``tokens``, ``sign``); False if the
         batch was committed before."""
+        log = self._log()
         if self._exists(batch):
+            if batch not in log:        # marked by a version that wrote the log last
+                self._register(batch)
+            return False
+        if any(batch in folds and self._exists(b) for b, folds in log.items()):
             return False
-        folder = f"{self.path}/batch={batch}"
         delta = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"),
                                            F.sum(F.col("sign") * F.coalesce("tokens", F.lit(0))).cast("long").alias("n_tokens"))
+        self._write(batch, delta)
+        return True
+
+    def _write(self, batch: str, delta: DataFrame, folds: list[str] | None = None):
+        """The mark comes last: a try that dies before it counts nothing, and
+        every marked batch is in the log."""
+        folder = f"{self.path}/batch={batch}"
         delta.write.mode("overwrite").parquet(f"{folder}/delta")
+        self._register(batch, folds)
         self.spark.range(1).write.mode("overwrite").parquet(f"{folder}/_done")
-        self._register(batch)
-        return True
 
-    def _register(self, batch: str):
-        self.spark.createDataFrame([(batch,)], "batch string").write.mode("append").json(f"{self.path}/log")
+    def _register(self, batch: str, folds: list[str] | None = None):
+        self.spark.createDataFrame([(batch, folds)], LOG).write.mode("append").json(f"{self.path}/log")
 
-    def batches(self) -> list[str]:
-        """Committed batches; the log names the tries, the mark decides."""
+    def _log(self) -> dict[str, set[str]]:
+        """Every batch tried, with the names of the batches folded into it."""
         from pyspark.errors import AnalysisException
         try:
-            rows = self.spark.read.schema("batch string").json(f"{self.path}/log").distinct().collect()
+            rows = self.spark.read.schema(LOG).json(f"{self.path}/log").distinct().collect()
         except AnalysisException:
-            return []
-        return sorted(r[0] for r in rows if self._exists(r[0]))
+            return {}
+        log: dict[str, set[str]] = {}
+        for batch, folds in rows:
+            log.setdefault(batch, set()).update(folds or ())
+        return log
+
+    def _committed(self) -> dict[str, set[str]]:
+        return {b: folds for b, folds in self._log().items() if self._exists(b)}
+
+    def batches(self) -> list[str]:
+        """Committed batches; the log names the tries, the mark decides."""
+        return sorted(self._committed())
 
     def totals(self) -> DataFrame:
-        names = self.batches()
+        return self._sums(self.batches())
+
+    def _sums(self, names: list[str]) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], TOTALS)
         deltas = self.spark.read.schema(TOTALS).parquet(*[f"{self.path}/batch={b}/delta" for b in names])
@@ -103,13 +132,18 @@ class Rollup:
                      .filter("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self, into: "Rollup") -> bool:
-        """Fold everything committed here into one batch of another rollup."""
-        name = "compacted"
-        if into._exists(name):
+        """Fold everything committed here that another rollup does not hold yet
+        into one batch of it, named by what it holds; False if there is nothing."""
+        mine, theirs = self._committed(), into._committed()
+        held = set(theirs).union(*theirs.values())
+        new = sorted(set(mine) - held)
+        if not new:
             return False
-        self.totals().write.mode("overwrite").parquet(f"{into.path}/batch={name}/delta")
-        into.spark.range(1).write.mode("overwrite").parquet(f"{into.path}/batch={name}/_done")
-        into._register(name)
+        folds = sorted(set(new).union(*(mine[b] for b in new)))
+        twice = held.intersection(folds)
+        if twice:
+            raise ValueError(f"batches {sorted(twice)} are in the target and cannot be taken out of a compacted batch")
+        into._write(f"compacted-{hashlib.sha1(json.dumps(folds).encode()).hexdigest()}", self._sums(new), folds)
         return True
 
 

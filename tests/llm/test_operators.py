@@ -338,6 +338,33 @@ def test_rollup(spark, odd, empty, tmp_path):
         token_counts.load(token_counts.Rollup(spark, f"file://{tmp_path}/{df.count()}"), clashing(df)).collect()
 
 
+def test_rollup_survives_dying_replay_and_second_compaction(spark, tmp_path, monkeypatch):
+    rows = token_counts.inserts(spark.createDataFrame([("a", "en", "t1", 5)], "source string, lang string, tokenizer string, tokens long"))
+    first, folded = (token_counts.Rollup(spark, f"file://{tmp_path}/{name}") for name in "rc")
+    first.commit("1", rows)
+
+    def sums(rollup):
+        return got(rollup.totals(), "n_docs", "n_tokens")
+
+    # the driver dies where the name is entered: the batch is whole or can be committed again
+    with monkeypatch.context() as m:
+        m.setattr(token_counts.Rollup, "_register", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            first.commit("2", rows)
+    first.commit("2", rows)
+    assert sums(first) == [(2, 10)]
+    assert first.compact(folded) and not folded.commit("1", rows) and sums(folded) == [(2, 10)]
+    first.commit("3", rows)
+    assert first.compact(folded) and not first.compact(folded) and sums(folded) == sums(first) == [(3, 15)]
+    # folded names go along, and a batch that is already there is not counted twice
+    other = token_counts.Rollup(spark, f"file://{tmp_path}/o")
+    assert folded.compact(other) and not other.commit("2", rows) and sums(other) == [(3, 15)]
+    clash = token_counts.Rollup(spark, f"file://{tmp_path}/x")
+    clash.commit("2", rows)
+    with pytest.raises(ValueError):
+        folded.compact(clash)
+
+
 def test_token_counts(spark, small):
     from tokenizers import Tokenizer
 
