@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, fingerprints, langid, lines, mixing, packing, sharding, simhash, token_counts, toxicity
+from tessera.llm import exact_dedup, fingerprints, langid, lines, mixing, packing, sharding, simhash, spelling, token_counts, toxicity
 from tessera.llm.common import documents, held_out, labels
 from tessera.session import checkpoint_dir
 
@@ -92,6 +92,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@_register
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 @_register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
