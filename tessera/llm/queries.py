@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, fingerprints, langid, lines, mixing, packing, sharding, simhash, spelling, token_counts, toxicity
+from tessera.llm import exact_dedup, fingerprints, langid, lines, mixing, packing, setsketch, sharding, simhash, spelling, token_counts, toxicity
 from tessera.llm.common import documents, held_out, labels
 from tessera.session import checkpoint_dir
 
@@ -92,6 +92,35 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@_register
+def op12_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_classes(documents(spark, sf_dir))
+
+
+ORACLE["op12_setsketch_neardup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []
+           WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+           ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh
+  FROM w),
+t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+r(node, reach) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.reach),
+c AS (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN c ON s.doc_id = c.doc_id
+"""
+
+
 @_register
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
