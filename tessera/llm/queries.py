@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, fingerprints, langid, lines, mixing, packing, setsketch, sharding, simhash, spelling, token_counts, toxicity
+from tessera.llm import collocations, exact_dedup, fingerprints, langid, lines, mixing, packing, setsketch, sharding, simhash, spelling, token_counts, toxicity
 from tessera.llm.common import documents, held_out, labels
 from tessera.session import checkpoint_dir
 
@@ -92,6 +92,39 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@_register
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+ORACLE["op11_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g
+  FROM w, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k >= 2 AND f >= 30),
+s AS (
+  SELECT c.lang, c.g, c.k, c.f AS a, x.f AS l, y.f AS r, (2000000 * c.f::HUGEINT) // (x.f::HUGEINT + y.f::HUGEINT) AS score,
+         row_number() OVER (PARTITION BY c.lang, c.g ORDER BY (2000000 * c.f::HUGEINT) // (x.f::HUGEINT + y.f::HUGEINT), cut.i) AS place
+  FROM c JOIN (VALUES (1), (2), (3)) AS cut(i) ON cut.i < c.k
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1:cut.i] JOIN f y ON y.lang = c.lang AND y.g = c.g[cut.i + 1:c.k]),
+inside AS (
+  SELECT c.lang, c.g[i.i:i.i + m.m - 1] AS g, max(c.f) AS longer
+  FROM c, (VALUES (1), (2), (3)) AS i(i), (VALUES (2), (3)) AS m(m) WHERE m.m < c.k AND i.i + m.m - 1 <= c.k GROUP BY ALL),
+kept AS (
+  SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM s LEFT JOIN inside ON inside.lang = s.lang AND inside.g = s.g
+  WHERE s.place = 1 AND (longer IS NULL OR 100 * longer < 80 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
 @_register
 def op12_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_classes(documents(spark, sf_dir))
