@@ -18,9 +18,10 @@ texts of one row of each set.
 No bucket emits all its pairs. First every member is compared with the
 bucket's smallest member, and verified links become components. Buckets with
 one component left are done, since any further link would add nothing. In the
-others, members of different components are compared, in tiles of bounded
-size, and only pairs that pass the likelihood leave a task. Components of all
-verified links are the classes.
+others, members of different components are compared, in tiles of bounded size:
+once by the likelihood, which tells the members that have a plausible partner,
+and for these again with their sets, which gives at most one link per member.
+Components of all verified links are the classes.
 
 Defined cases: a null text is an empty one; texts without a word have no
 shingle and stand alone; fewer words than a shingle give one shingle; a null id
@@ -49,7 +50,7 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 BASE, SHIFT = 1.2, 20        # register = floor(SHIFT - log_BASE(point)), 0 to 255
 EVIDENCE = 10.0
-TILE = 2048                  # members of a bucket compared by one task are two tiles at most
+TILE = 1 << 20               # shingles; the members of a bucket that a task holds at once have about two tiles of them
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([0xD1342543DE82EF95, 0x2545F4914F6CDD1D, 0xAF251AF3B0F025B5, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F, 0x91E10DA5C79E7B1D,
                    0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -184,15 +185,20 @@ def _verified(percent: int):
     return run
 
 
-def _across(percent: int):
-    """Pairs of different components within each ``(key, tile)``, which come one
-    after another; the two halves of a tile are compared with each other, or a
-    single half with itself."""
-    def compare(rows):
-        sid, root, n, side, marks = rows
-        out = []
-        both = side.any()
-        left = np.flatnonzero(side == 0)
+def _across(percent: int, verified: bool):
+    """Within each ``(key, tile)``, whose rows come one after another, compare
+    the two halves of the tile (a single half: with itself), members of
+    different components only. Without the sets, give the members that have a
+    plausible partner; with them, verified links, of which those between
+    members that are connected already are left out. A pair is looked at under
+    the first band it shares, and under one size class."""
+    def pairs_of(rows):
+        sid, root, n, side, pos, marks = rows
+        band = int(pos[0]) // 2
+        bands = np.zeros((len(sid), BANDS, 8), np.uint8)
+        bands[:, :, :ROWS] = marks.reshape(len(sid), BANDS, ROWS)
+        bands = bands.reshape(len(sid), -1).view("<u8")[:, :band]
+        left, both = np.flatnonzero(side == 0), side.any()
         right = np.flatnonzero(side == 1) if both else left
         order = right[np.argsort(n[right], kind="stable")]
         sizes = n[order]
@@ -200,12 +206,41 @@ def _across(percent: int):
             low = np.searchsorted(sizes, -(-percent * n[i] // 100))            # the other set is at least so large
             high = np.searchsorted(sizes, 100 * n[i] // percent, side="right")
             them = order[low:high]
-            them = them[(root[them] != root[i]) & ((sid[them] > sid[i]) | both)]
+            them = them[(root[them] != root[i]) & ((pos[them] % 2 == 0) | (pos[i] % 2 == 0)) & ((sid[them] > sid[i]) | both)]
+            them = them[~(bands[them] == bands[i]).any(axis=1)]
             if len(them):
                 mine = np.broadcast_to(marks[i], (len(them), marks.shape[1]))
-                ok = them[plausible(mine, marks[them], np.full(len(them), n[i]), n[them], percent)]
-                out.append(np.stack([np.minimum(sid[i], sid[ok]), np.maximum(sid[i], sid[ok])]))
-        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+                them = them[plausible(mine, marks[them], np.full(len(them), n[i]), n[them], percent)]
+                if len(them):
+                    yield i, them
+
+    def flagged(group, rows):
+        seen = np.zeros(len(rows[0]), bool)
+        for i, them in pairs_of(rows):
+            seen[i] = seen[them] = True
+        return pa.RecordBatch.from_arrays([group["key"].chunk(0).filter(pa.array(seen)), pa.array(rows[0][seen])], ["key", "sid"])
+
+    def linked(group, rows):
+        sid, root = rows[0], rows[1].copy()
+        rows = [sid, root, *rows[2:]]                       # root changes as links are found
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["shingles"].chunk(0).cast(pa.binary())]
+        u, v = [], []
+        for i, them in pairs_of(rows):
+            others = np.concatenate([sets[j] for j in them])
+            at = np.minimum(np.searchsorted(sets[i], others), len(sets[i]) - 1)
+            size = np.array([len(sets[j]) for j in them])
+            both = np.add.reduceat((sets[i][at] == others).astype(np.int64), np.cumsum(size) - size)
+            for j in them[100 * both >= percent * (len(sets[i]) + size - both)]:
+                if root[j] != root[i]:
+                    u.append(min(sid[i], sid[j]))
+                    v.append(max(sid[i], sid[j]))
+                    root[root == root[j]] = root[i]
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def emit(group):
+        group = group.combine_chunks()
+        rows = [group[c].to_numpy() for c in ("sid", "root", "n", "side", "pos")] + [_rows(group["marks"].chunk(0))]
+        return (linked if verified else flagged)(group, rows)
 
     def run(batches):
         held = None
@@ -217,31 +252,34 @@ def _across(percent: int):
             key, tile = held["key"].to_numpy(), held["tile"].to_numpy()
             edges = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
             for a, b in zip(np.concatenate([[0], edges[:-1]]), edges):
-                yield from emit(held.slice(a, b - a))
+                yield emit(held.slice(a, b - a))
             held = held.slice(edges[-1] if len(edges) else 0).combine_chunks()
         if held is not None and len(held):
-            yield from emit(held)
-
-    def emit(group):
-        group = group.combine_chunks()
-        pairs = compare([group[c].to_numpy() for c in ("sid", "root", "n", "side")] + [_rows(group["marks"].chunk(0))])
-        if pairs.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+            yield emit(held)
     return run
 
 
 # --- the join ---------------------------------------------------------------
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, filtered: bool) -> DataFrame:
+def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` whose full sets are similar enough."""
-    def side(table, columns, name):
-        return table.select(F.col("sid").alias(name), *(F.col(c).alias(f"{'n' if c == 'n_shingles' else c}_{name}") for c in columns))
-    if not filtered:
-        marks = ["n_shingles", "marks"]
-        pairs = pairs.join(side(sketches, marks, "u"), "u").join(side(sketches, marks, "v"), "v") \
-                     .select("u", "v", "n_u", "n_v", "marks_u", "marks_v").mapInArrow(_likely(percent), "u long, v long")
-    return pairs.join(side(sets, ["shingles"], "u"), "u").join(side(sets, ["shingles"], "v"), "v") \
-                .select("u", "v", "shingles_u", "shingles_v").mapInArrow(_verified(percent), "u long, v long")
+    def side(table, name, **columns):
+        return table.select(F.col("sid").alias(name), *(F.col(c).alias(f"{a}_{name}") for a, c in columns.items()))
+    marks = {"n": "n_shingles", "marks": "marks"}
+    likely = pairs.join(side(sketches, "u", **marks), "u").join(side(sketches, "v", **marks), "v") \
+                  .select("u", "v", "n_u", "n_v", "marks_u", "marks_v").mapInArrow(_likely(percent), "u long, v long")
+    return likely.join(side(sets, "u", shingles="shingles"), "u").join(side(sets, "v", shingles="shingles"), "v") \
+                 .select("u", "v", "shingles_u", "shingles_v").mapInArrow(_verified(percent), "u long, v long")
+
+
+def _tiles(members: DataFrame, tile: int) -> DataFrame:
+    """Members ``(key, sid, root, pos, n)`` once per tile of their bucket: a
+    tile is two parts of about ``tile`` shingles, or one part by itself."""
+    parts = members.groupBy("key").agg(F.ceil(F.sum("n") / tile).alias("parts"))
+    return members.join(parts, "key").withColumn("mine", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("parts"))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))) \
+        .select("key", "sid", "root", "pos", "n", (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("tile"),
+                (F.col("mine") > F.col("other")).cast("long").alias("side"))
 
 
 def links(docs: DataFrame, sketches: DataFrame, width: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
@@ -249,7 +287,8 @@ def links(docs: DataFrame, sketches: DataFrame, width: int = SHINGLE, percent: i
     connect every two sets that are similar enough and share a bucket."""
     size = F.floor(F.log("n_shingles") / F.lit(-math.log(percent / 100 - 0.001))).cast("int")
     band = [F.xxhash64(F.lit(i), F.substring("marks", i * ROWS + 1, ROWS), kind) for i in range(BANDS) for kind in (F.col("kind"), F.col("kind") + 1)]
-    keyed = sketches.filter(F.octet_length("marks") > 0).withColumn("kind", size).select("sid", F.explode(F.array(*band)).alias("key"))
+    keyed = sketches.filter(F.octet_length("marks") > 0).withColumn("kind", size) \
+                    .select("sid", F.col("n_shingles").alias("n"), F.posexplode(F.array(*band)).alias("pos", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("sid").alias("lead")).filter("members > 1")
     members = stage(keyed.join(shared, "key"), "setsketch-members")
     wanted = members.select("sid").distinct().join(sketches.select("sid", "at"), "sid") \
@@ -259,21 +298,21 @@ def links(docs: DataFrame, sketches: DataFrame, width: int = SHINGLE, percent: i
     sets = stage(texts.select("sid", "text").dropDuplicates(["sid"]).mapInArrow(_sets(width), "sid long, shingles binary"), "setsketch-sets")
 
     first = members.filter("sid <> lead").select(F.col("lead").alias("u"), F.col("sid").alias("v")).distinct()
-    led = stage(_confirmed(first, sketches, sets, percent, False), "setsketch-links")
-    root = connected_components(led).withColumnsRenamed({"node": "sid"})
-    placed = members.join(root, "sid", "left").select("key", "sid", "members", F.coalesce("root", "sid").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    parts = F.ceil(F.col("members") / tile)
-    mine = F.pmod(F.xxhash64("sid", F.lit(3)), F.col("parts"))
-    tiled = placed.join(open_keys, "key").withColumn("parts", parts).withColumn("mine", mine) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))) \
-        .select("key", "sid", "root", (F.least("mine", "other") * F.col("parts") + F.greatest("mine", "other")).alias("tile"),
-                (F.col("mine") > F.col("other")).cast("long").alias("side"))
-    tiled = tiled.join(sketches.select("sid", F.col("n_shingles").alias("n"), "marks"), "sid")
-    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = tiled.repartition(slots, "key", "tile").sortWithinPartitions("key", "tile", "sid").select("key", "tile", "sid", "root", "n", "side", "marks") \
-                  .mapInArrow(_across(percent), "u long, v long").distinct()
-    return led.union(stage(_confirmed(across, sketches, sets, percent, True), "setsketch-links"))
+    led = stage(_confirmed(first, sketches, sets, percent), "setsketch-links")
+    root = connected_components(led).withColumnRenamed("node", "sid")
+    placed = members.join(root, "sid", "left").select("key", "sid", "pos", "n", F.coalesce("root", "sid").alias("root"))
+    unsettled = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    unsettled = stage(placed.join(unsettled, "key"), "setsketch-unsettled")
+
+    def compared(rows, verified, schema, *tables):
+        rows = _tiles(rows, tile)
+        for table in tables:
+            rows = rows.join(table, "sid")
+        slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(slots, "key", "tile").sortWithinPartitions("key", "tile", "sid").mapInArrow(_across(percent, verified), schema).distinct()
+    marks = sketches.select("sid", "marks")
+    partnered = stage(compared(unsettled, False, "key long, sid long", marks), "setsketch-partnered")
+    return led.union(stage(compared(unsettled.join(partnered, ["key", "sid"]), True, "u long, v long", marks, sets), "setsketch-links"))
 
 
 def near_classes(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:

@@ -41,7 +41,7 @@ def got(df):
     return sorted(tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
 
 
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("sf", ["sf0.01"])
 def test_collocations_equal_plain_counts(spark, sf):
     rows = [(r["lang"], r["text"]) for r in read(f"/root/testdata/{sf}/documents.parquet")]
     assert got(QUERIES["op11_phrase_collocations"](spark, f"/root/testdata/{sf}")) == plain_collocations(rows)
