@@ -102,26 +102,33 @@ WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
 g AS (
-  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g
-  FROM w, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(ws) >= k),
-f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+  SELECT lang, 1 AS k, unnest(ws) AS g FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w WHERE len(ws) >= 2
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w WHERE len(ws) >= 3
+  UNION ALL SELECT lang, 4, unnest(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]))
+    FROM w WHERE len(ws) >= 4),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE k >= 2 AND f >= 30),
+often AS MATERIALIZED (SELECT lang, g, f FROM f WHERE f >= 30),
+c AS MATERIALIZED (SELECT lang, k, g, f, string_split(g, ' ') AS ws FROM f WHERE k >= 2 AND f >= 30),
+cut AS MATERIALIZED (
+  SELECT lang, g, f AS a, i, array_to_string(ws[1:i], ' ') AS lk, array_to_string(ws[i + 1:k], ' ') AS rk
+  FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
 s AS (
-  SELECT c.lang, c.g, c.k, c.f AS a, x.f AS l, y.f AS r, (2000000 * c.f::HUGEINT) // (x.f::HUGEINT + y.f::HUGEINT) AS score,
-         row_number() OVER (PARTITION BY c.lang, c.g ORDER BY (2000000 * c.f::HUGEINT) // (x.f::HUGEINT + y.f::HUGEINT), cut.i) AS place
-  FROM c JOIN (VALUES (1), (2), (3)) AS cut(i) ON cut.i < c.k
-  JOIN f x ON x.lang = c.lang AND x.g = c.g[1:cut.i] JOIN f y ON y.lang = c.lang AND y.g = c.g[cut.i + 1:c.k]),
-inside AS (
-  SELECT c.lang, c.g[i.i:i.i + m.m - 1] AS g, max(c.f) AS longer
-  FROM c, (VALUES (1), (2), (3)) AS i(i), (VALUES (2), (3)) AS m(m) WHERE m.m < c.k AND i.i + m.m - 1 <= c.k GROUP BY ALL),
+  SELECT cut.lang, cut.g, i, a, x.f AS l, y.f AS r, (2000000 * a::HUGEINT) // (x.f::HUGEINT + y.f::HUGEINT) AS score
+  FROM cut JOIN often x ON x.lang = cut.lang AND x.g = lk JOIN often y ON y.lang = cut.lang AND y.g = rk),
+least_cut AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, i) AS place FROM s),
+part AS (
+  SELECT lang, f, array_to_string(ws[i:i + m - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2))),
+inside AS (SELECT lang, g, max(f) AS longer FROM part GROUP BY lang, g),
 kept AS (
-  SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM s LEFT JOIN inside ON inside.lang = s.lang AND inside.g = s.g
-  WHERE s.place = 1 AND (longer IS NULL OR 100 * longer < 80 * a)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
-SELECT ranked.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+  SELECT s.* FROM least_cut s LEFT JOIN inside ON inside.lang = s.lang AND inside.g = s.g
+  WHERE place = 1 AND (longer IS NULL OR 100 * longer < 80 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT ranked.lang, rank, g AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
 """
 
 
@@ -159,6 +166,39 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+ORACLE["op13_spelling_variants"] = r"""
+WITH RECURSIVE
+tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+o AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents),
+d AS (SELECT doc_id, run, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS code FROM o GROUP BY doc_id, run),
+h AS (
+  SELECT run, c, xor(4294967295, list_reduce([4294967295] || list_transform(range(0, len(code) // 2), lambda i: ('0x' || substr(code, 2 * i + 1, 2))::BIGINT),
+           lambda v, b: xor(t[(xor(v, b) & 255) + 1], v >> 8))) AS draw
+  FROM d, tab),
+e AS (
+  SELECT CASE WHEN draw % 97 = 0 THEN left(run, draw % length(run)) || substr(run, draw % length(run) + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+x AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM w a JOIN x b ON b.cut = a.word
+  UNION SELECT b.word, a.word, a.n FROM w a JOIN x b ON b.cut = a.word),
+best AS (
+  SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS place FROM near),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM w LEFT JOIN best ON best.word = w.word AND place = 1),
+chain(word, node) AS (SELECT word, word FROM f UNION SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.node WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, chain.node AS root, f.n, f.n_near, f.form_n
+FROM f JOIN chain ON chain.word = f.word JOIN f stop ON stop.word = chain.node AND stop.form IS NULL
+"""
+
+
 @_register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
