@@ -89,11 +89,16 @@ def rank_mean(losses: DataFrame, keys: list[str], value: str = "value") -> DataF
 def log_interval_losses(step_losses: DataFrame, keys: list[str], step: str, value: str, every: int) -> DataFrame:
     """Per logging interval of ``every`` steps: the sum since the last log
     divided by the steps since the last log (steps without a row count too),
-    rounded to 4 places. The last interval is logged at the last step of all."""
+    rounded to 4 places. The last interval is logged at the last step of all.
+
+    Values are summed as whole billionths and the quotient is rounded in whole
+    numbers (half away from zero), so neither the order of the rows nor the
+    partitioning decides a tie at the last place."""
     iv = F.floor((F.col(step) - 1) / every).cast("long")
     last = step_losses.agg(F.max(step)).scalar()
-    sums = step_losses.groupBy(*keys, iv.alias("interval")).agg(F.sum(value).alias("__sum"))
-    logged = F.least((F.col("interval") + 1) * every, last)
-    return sums.withColumn("logged_at_step", logged) \
-        .withColumn("loss", F.round(F.col("__sum") / (F.col("logged_at_step") - F.col("interval") * every), 4)).drop("__sum")
-
+    units = F.round(F.col(value) * 1e9).cast("decimal(38,0)")
+    sums = step_losses.groupBy(*keys, iv.alias("interval")).agg(F.sum(units).alias("__sum"))
+    sums = sums.withColumn("logged_at_step", F.least((F.col("interval") + 1) * every, last)) \
+               .withColumn("__part", ((F.col("logged_at_step") - F.col("interval") * every) * 100000).cast("decimal(38,0)"))
+    whole = F.expr("sign(__sum) * ((2 * abs(__sum) + __part) div (2 * __part))")
+    return sums.withColumn("loss", whole.cast("double") / 10000).drop("__sum", "__part")

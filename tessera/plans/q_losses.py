@@ -143,7 +143,8 @@ def q_log_intervals(spark, sf):
 
 
 register("log_intervals", f"""WITH {SQL_LOG}
-, s AS (SELECT component, CAST(floor((step - 1) / {LOG_EVERY}) AS BIGINT) AS interval, sum(mean_value) AS total
+, s AS (SELECT component, CAST(floor((step - 1) / {LOG_EVERY}) AS BIGINT) AS interval, sum(CAST(round(mean_value * 1e9) AS HUGEINT))::HUGEINT AS total
        FROM rm GROUP BY ALL),
-l AS (SELECT *, least((interval + 1) * {LOG_EVERY}, (SELECT max(step) FROM rm)) AS logged_at_step FROM s)
-SELECT component, interval, logged_at_step, round(total / (logged_at_step - interval * {LOG_EVERY}), 4) AS loss FROM l""")(q_log_intervals)
+l AS (SELECT *, least((interval + 1) * {LOG_EVERY}, (SELECT max(step) FROM rm)) AS logged_at_step FROM s),
+p AS (SELECT *, 100000::HUGEINT * (logged_at_step - interval * {LOG_EVERY}) AS part FROM l)
+SELECT component, interval, logged_at_step, CAST(sign(total) * ((2 * abs(total) + part) // (2 * part)) AS DOUBLE) / 10000 AS loss FROM p""")(q_log_intervals)
