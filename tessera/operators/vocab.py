@@ -3,14 +3,14 @@
 The trained sub-word model of the original is not available offline, so
 the default tokenizer is a deterministic piece rule: a word (Python
 ``str.split`` unit) is cut into chunks of ``piece_len`` characters, the
-first chunk marked with ``▁`` like sentence-piece word starts. A trained
+first chunk marked with ``▁`` like sentence-piece word starts; longest match
+against the vocabulary is in :mod:`tessera.operators.subword`. A trained
 model plugs in through :func:`tokenize_with` (an Arrow-batched pandas
 function, loaded once per Python worker).
 
 The vocabulary is the special pieces followed by the ``vocab_size`` most
 frequent pieces of a corpus (ties by piece): a partial aggregate over the
-pieces, then a bounded top-k. Its size is therefore a parameter, which is
-what makes broadcasting it safe.
+pieces, then a bounded top-k. It is a table and is joined per distinct word.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ BOS, PAD, EOS, UNK, MASK = "<s>", "<pad>", "</s>", "<unk>", "<mask>"
 SPECIALS = [BOS, PAD, EOS, UNK, MASK]
 BOS_ID, PAD_ID, EOS_ID, UNK_ID, MASK_ID = range(5)
 WORD_START = "▁"
-VOCAB_BROADCAST_LIMIT = 2_000_000
 
 
 def word_pieces(word: Column, piece_len: int) -> Column:
@@ -53,14 +52,6 @@ def piece_count(word: Column, piece_len: int) -> Column:
     return F.when(F.length(word) == 0, F.lit(0)).when(word == UNK, F.lit(1)).otherwise(F.ceil(F.length(word) / piece_len)).cast("int")
 
 
-def py_pieces(word: str, piece_len: int) -> list[str]:
-    """Python twin of :func:`word_pieces` for the Arrow-batch encoder."""
-    if word == UNK:
-        return [UNK]
-    n = max(-(-len(word) // piece_len), 1)
-    return [(WORD_START if i == 0 else "") + word[i * piece_len:(i + 1) * piece_len] for i in range(n)]
-
-
 def word_counts(texts: DataFrame, cols: list[str]) -> DataFrame:
     """``(word, n)`` over whitespace-split words of the text columns.
 
@@ -112,120 +103,25 @@ def build_vocab(texts: DataFrame, text_col: str | list[str], vocab_size: int, pi
     return specials.unionByName(ranked)
 
 
-def _vocab_broadcast(vocab: DataFrame):
-    spark = vocab.sparkSession
-    rows = vocab.select("piece", "piece_id").limit(VOCAB_BROADCAST_LIMIT + 1).collect()
-    if len(rows) > VOCAB_BROADCAST_LIMIT:
-        raise ValueError("vocabulary is above the broadcast limit")
-    return spark.sparkContext.broadcast({r["piece"]: int(r["piece_id"]) for r in rows})
-
-
 def encode_texts(df: DataFrame, vocab: DataFrame, cols: dict[str, str], piece_len: int) -> DataFrame:
-    """Text columns → id arrays (``cols``: output column → text column) in one
-    narrow pass over Arrow batches: whitespace split, piece cut and id
-    lookup, with a per-batch memo of word → ids (words repeat heavily). The
-    vocabulary travels once per executor as a size-checked broadcast."""
-    import pyarrow as pa
-
-    bc = _vocab_broadcast(vocab)
-    src = set(cols.values())
-    fields = [f for f in df.schema.fields if f.name not in src]
-    schema = T.StructType(fields + [T.StructField(o, T.ArrayType(T.IntegerType()), True) for o in cols])
-    keep = [f.name for f in fields]
-
-    def fn(batches):
-        m = bc.value
-        for b in batches:
-            memo: dict[str, list[int]] = {}
-            arrays = [b.column(k) for k in keep]
-            for o, c in cols.items():
-                res = []
-                for text in b.column(c).to_pylist():
-                    if text is None:
-                        res.append(None)
-                        continue
-                    ids: list[int] = []
-                    for w in text.split():
-                        e = memo.get(w)
-                        if e is None:
-                            e = [m.get(p, UNK_ID) for p in py_pieces(w, piece_len)]
-                            memo[w] = e
-                        ids.extend(e)
-                    res.append(ids)
-                arrays.append(pa.array(res, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, keep + list(cols))
-    return df.mapInArrow(fn, schema)
+    """Text columns → id arrays (``cols``: output column → text column):
+    whitespace split, piece cut and id, worked out once per distinct word
+    (:mod:`tessera.operators.subword`)."""
+    from tessera.operators.subword import encode_by_words, piece_ids
+    return encode_by_words(df, lambda words: piece_ids(words, vocab, piece_len), cols)
 
 
 def encode_word_arrays(df: DataFrame, vocab: DataFrame, cols: dict[str, str], piece_len: int) -> DataFrame:
     """Word-array columns → flattened piece-id arrays (``cols``: output →
-    input), one narrow Arrow pass like :func:`encode_texts`; the input
-    column is kept."""
-    import pyarrow as pa
-
-    bc = _vocab_broadcast(vocab)
-    schema = T.StructType(df.schema.fields + [T.StructField(o, T.ArrayType(T.IntegerType()), True) for o in cols])
-
-    def fn(batches):
-        m = bc.value
-        for b in batches:
-            memo: dict[str, list[int]] = {}
-            arrays = [b.column(i) for i in range(b.num_columns)]
-            names = list(b.schema.names)
-            for o, c in cols.items():
-                res = []
-                for words in b.column(c).to_pylist():
-                    if words is None:
-                        res.append(None)
-                        continue
-                    ids: list[int] = []
-                    for w in words:
-                        e = memo.get(w)
-                        if e is None:
-                            e = [m.get(p, UNK_ID) for p in py_pieces(w, piece_len)]
-                            memo[w] = e
-                        ids.extend(e)
-                    res.append(ids)
-                arrays.append(pa.array(res, pa.list_(pa.int32())))
-                names.append(o)
-            yield pa.RecordBatch.from_arrays(arrays, names)
-    return df.mapInArrow(fn, schema)
+    input), like :func:`encode_texts`; the input column is kept."""
+    from tessera.operators.subword import encode_by_words, piece_ids
+    return encode_by_words(df, lambda words: piece_ids(words, vocab, piece_len), cols, keep_input=True)
 
 
 def encode_ids(pieces: DataFrame, vocab: DataFrame, piece_col: str = "piece") -> DataFrame:
-    """Join a piece column with the vocabulary; unknown pieces get the unk
-    id. The vocabulary is broadcast when within the limit (it is bounded by
-    ``vocab_size``), otherwise a shuffle join is used."""
+    """Join a piece column with the vocabulary; unknown pieces get the unk id."""
     v = vocab.select(F.col("piece").alias(piece_col), F.col("piece_id"))
-    if vocab.count() <= VOCAB_BROADCAST_LIMIT:
-        v = F.broadcast(v)
-    j = pieces.join(v, on=piece_col, how="left")
-    return j.withColumn("piece_id", F.coalesce(F.col("piece_id"), F.lit(UNK_ID)))
-
-
-def add_ids(df: DataFrame, vocab: DataFrame, cols: dict[str, str]) -> DataFrame:
-    """Replace piece-array columns by id-array columns (``cols``: output id
-    column → input piece column).
-
-    The vocabulary (size-checked: bounded by ``vocab_size``) is shipped once
-    as a broadcast variable and looked up inside Arrow batches by
-    ``mapInPandas``: encoding stays a narrow stage — no explode, no join, no
-    regroup shuffle of the token stream.
-    """
-    bc = _vocab_broadcast(vocab)
-    src = set(cols.values())
-    fields = [f for f in df.schema.fields if f.name not in src]
-    schema = T.StructType(fields + [T.StructField(o, T.ArrayType(T.IntegerType()), True) for o in cols])
-    keep = [f.name for f in fields]
-
-    def fn(it):
-        m = bc.value
-        for pdf in it:
-            out = pdf[keep].copy()
-            for o, c in cols.items():
-                out[o] = [None if a is None else [m.get(p, UNK_ID) for p in a] for a in pdf[c]]
-            yield out
-    return df.mapInPandas(fn, schema)
+    return pieces.join(v, on=piece_col, how="left").withColumn("piece_id", F.coalesce(F.col("piece_id"), F.lit(UNK_ID)))
 
 
 def tokenize_with(fn: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:

@@ -16,6 +16,8 @@ from tessera.operators.pairs import valid_pairs
 from tessera.operators.vocab import (EOS_ID, MASK_ID, PAD_ID, UNK_ID, BOS_ID, build_vocab, encode_ids,
                                      encode_texts, sql_text_pieces, sql_vocab, text_pieces)
 from tessera.functions.arrays import pad_fixed
+from tessera.functions.text import sql_split_ws
+from tessera.operators.subword import sql_longest_match, tokenize
 from tessera.plans.q_corpus import SQL_VALID, pairs
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir
@@ -100,6 +102,23 @@ register("token_ids", f"""WITH {SQL_IDS}
 SELECT DISTINCT spx.piece, coalesce(vocab.piece_id, {UNK_ID}) AS piece_id
 FROM spx LEFT JOIN vocab ON spx.piece = vocab.piece""")(q_token_ids)
 
+
+def q_tokenize(spark, sf):
+    v = valid(spark, sf, cut=True)
+    return tokenize(v, vocab(spark, sf, v), {"tokens_1": "text", "tokens_2": "transliteration"})
+
+
+_tok = " UNION ALL ".join(
+    f"SELECT doc_id, line_no, {s} AS side, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM (SELECT *, {sql_split_ws(c)} AS ws FROM vp)"
+    for s, c in ((1, "text"), (2, "transliteration")))
+register("tokenize", f"""WITH RECURSIVE {SQL_VOCAB.lstrip()},
+tw AS MATERIALIZED ({_tok}),
+{sql_longest_match("tw")},
+ti AS (SELECT doc_id, line_no, side, flatten(list(wid.ids ORDER BY pos)) AS ids FROM tw JOIN wid ON wid.word = tw.word GROUP BY ALL)
+SELECT vp.doc_id, vp.line_no, coalesce(a.ids, []::INTEGER[]) AS tokens_1, coalesce(b.ids, []::INTEGER[]) AS tokens_2
+FROM vp LEFT JOIN ti a ON a.doc_id = vp.doc_id AND a.line_no = vp.line_no AND a.side = 1
+        LEFT JOIN ti b ON b.doc_id = vp.doc_id AND b.line_no = vp.line_no AND b.side = 2""")(q_tokenize)
+
 register("pair_encode", f"WITH {SQL_ENC} SELECT * FROM enc")(encoded)
 
 

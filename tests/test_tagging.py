@@ -86,12 +86,11 @@ def test_unknown_token_is_one_piece_with_its_own_id(spark):
     """A word no sequence can hold: one piece everywhere, so the fragment it
     was booked in holds it and keeps every later token's prediction."""
     from tessera.operators.tagging import realign
-    from tessera.operators.vocab import UNK, UNK_ID, build_vocab, encode_word_arrays, py_pieces, word_pieces
+    from tessera.operators.vocab import UNK, UNK_ID, build_vocab, encode_word_arrays, word_pieces
     words = ["x" * 60, "abcd", "y" * 60, "efgh", "z" * 60]
     df = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)], "s int, line_no int, token string")
     u = unk_tokens(df, 16, 4, 3)
     assert [r["n_pieces"] for r in u.orderBy("line_no").collect()] == [1] * 5
-    assert py_pieces(UNK, 4) == [UNK]
     assert u.select(word_pieces(F.col("token"), 4).alias("p")).filter(F.col("p")[0] == UNK).distinct().collect()[0]["p"] == [UNK]
     vocab = build_vocab(u.select("token"), "token", 10, 4, pre_split=True)
     assert vocab.filter(F.col("piece") == UNK).count() == 1
