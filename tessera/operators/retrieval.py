@@ -72,7 +72,7 @@ def _local_topk_fn(k: int, group_cols: list[str]):
         ys = pdf[pdf["side"] == 1]
         cols = group_cols + ["query_idx", "neighbour_idx", "dist", "dist9"]
         if len(xs) == 0 or len(ys) == 0:
-            return pd.DataFrame({c: [] for c in cols})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in cols})
         X = np.stack(xs["vec"].to_numpy()).astype(np.float64)
         Y = np.stack(ys["vec"].to_numpy()).astype(np.float64)
         xid = xs["idx"].to_numpy(dtype=np.int64)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.arrays import l2_normalize, sql_l2_distance, sql_l2_normalize
 from tessera.functions.draws import sql_key, sql_uniform, uniform
+from tessera.operators.pivots import topk_pruned
 from tessera.operators.pooling import cls_pool, mean_pool
 from tessera.operators.retrieval import (gold_distance, layer_select, retrieval_acc,
                                          topk_neighbours)
@@ -88,6 +89,14 @@ def q_retrieval_topk(spark, sf_dir):
 register("retrieval_topk", SQL_TOPK)(q_retrieval_topk)
 
 
+def q_retrieval_pruned(spark, sf_dir):
+    """The same neighbours by pivots and the triangle inequality."""
+    return topk_pruned(_cut(targets(spark, sf_dir)), _cut(sources(spark, sf_dir)), K, block_rows=256)
+
+
+register("retrieval_pruned", SQL_TOPK)(q_retrieval_pruned)
+
+
 def q_retrieval_acc(spark, sf_dir):
     y = _cut(targets(spark, sf_dir))
     nn = topk_neighbours(y, _cut(sources(spark, sf_dir)), K)
