@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stage
 
 LEAST, COVER, TOP = 30, 80, 2000
-CHUNK = 8 << 20             # bytes of text in a chunk
+CHUNK = 3 << 20             # bytes of text in a chunk
 SHARD = 1 << 20             # words that share a shard, on average
 QUOTIENT = 18               # bits
 NONE = -1
@@ -68,18 +68,20 @@ def _split(texts: pa.Array):
 
 def _chunked(batches):
     for batch in batches:
-        langs, texts = batch.column(0), pc.fill_null(batch.column(1), "")
-        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        langs, texts = batch.column(0), batch.column(1)
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         lot = np.concatenate([[0], size[:-1]]) // CHUNK if len(size) else size
         for part in np.unique(lot):
             rows = np.flatnonzero(lot == part)
-            mine, said = texts.take(pa.array(rows)), langs.take(pa.array(rows))
+            first, count = int(rows[0]), len(rows)                             # a lot is a run of rows
+            mine, said = pc.fill_null(texts.slice(first, count), ""), langs.slice(first, count)
             for lang in said.unique():
                 words, counts, tokens = _split(mine.filter(pc.equal(said, lang)))
                 if len(words):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang.as_py()]), pa.array([words.to_pylist()], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())),
                          pa.array([tokens.tobytes()], pa.binary())], ["lang", "words", "counts", "tokens"])
+            pa.default_memory_pool().release_unused()
 
 
 def _coded(batches):
@@ -87,7 +89,7 @@ def _coded(batches):
         out = []
         for i in range(len(batch)):
             tokens = np.frombuffer(batch["tokens"][i].as_buffer(), np.int32)
-            ids = np.full(int(tokens.max(initial=0)) + 2, NONE, np.int64)          # the last one stands for a piece end
+            ids = np.full(int(tokens.max(initial=0)) + 2, NONE, np.int32)          # the last one stands for a piece end
             at = batch["ids"][i].values
             ids[at.field("at").to_numpy()] = at.field("id").to_numpy()
             out.append(ids[tokens].tobytes())
@@ -211,9 +213,10 @@ def _two_words(layout: Layout):
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                _, high, low, count, _ = _pairs(np.frombuffer(batch["ids"][i].as_buffer(), np.int64), layout.half)
+                _, high, low, count, _ = _pairs(np.frombuffer(batch["ids"][i].as_buffer(), np.int32), layout.half)
                 if len(high):
                     yield _slices(batch["chunk"][i].as_py(), high, low, count, layout)
+                pa.default_memory_pool().release_unused()
     return run
 
 
@@ -222,7 +225,7 @@ def _more_words(layout: Layout, longer: Layout, width: int):
     def run(batches):
         for batch in batches:
             for i in range(len(batch)):
-                ids = np.frombuffer(batch["ids"][i].as_buffer(), np.int64)
+                ids = np.frombuffer(batch["ids"][i].as_buffer(), np.int32)
                 at, high, _, _, place = _pairs(ids, layout.half)
                 shard, often = layout.shard(high), np.zeros(len(high), bool)
                 for answer in batch["answers"][i].as_py():
@@ -235,9 +238,9 @@ def _more_words(layout: Layout, longer: Layout, width: int):
                 none = (1 << width) - 1
                 start = np.concatenate([three, four])
                 last = np.concatenate([np.full(len(three), none), ids[four + 3]])
-                high = ids[start] << width | ids[start + 1]
-                low = ids[start + 2] << width | last
-                high, low = permuted(high.astype(np.uint64), low.astype(np.uint64), longer.half)
+                first, second, third, last = (x.astype(np.uint64) for x in (ids[start], ids[start + 1], ids[start + 2], last))
+                shift = np.uint64(width)
+                high, low = permuted(first << shift | second, third << shift | last, longer.half)
                 high, low, count, _ = tally(high, low)
                 if len(high):
                     yield _slices(batch["chunk"][i].as_py(), high, low, count, longer)
@@ -291,7 +294,7 @@ def phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame,
     ids = said.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("ids"))
     coded = stage(chunks.select("chunk", "tokens").join(ids, "chunk").select("chunk", "tokens", "ids").mapInArrow(_coded, "chunk long, ids binary"), "phrase-ids")
 
-    known, size = words.count(), coded.agg(F.sum(F.octet_length("ids") / 8)).first()[0] or 1
+    known, size = words.count(), coded.agg(F.sum(F.octet_length("ids") / 4)).first()[0] or 1
     width = max(1, int(known + 1).bit_length())
     shards = max(0, int(np.ceil(np.log2(max(1.0, size / SHARD)))))
     two, more = Layout(width, shards), Layout(2 * width, shards)
