@@ -261,18 +261,43 @@ def union_langs(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def read_tokenized(lines: DataFrame, lang: str | Column, file_cols: list[str]) -> DataFrame:
+def sentence_order(lines: DataFrame, file_cols: list[str], is_break: Column, block_col: str = "block",
+                   order_col: str = "line_no", out: str = "sent_no") -> DataFrame:
+    """1-based number, within its file, of the sentence that a line belongs to:
+    sentences are runs of lines between breaks.
+
+    Windows span one scan block at most. A block tells how many sentences start
+    inside it, whether its first line is a token and whether its last line is a
+    break; over this table of blocks an open sentence is carried from one block
+    to the next, and the starts are summed."""
+    rows = lines.withColumn("__brk", is_break)
+    w = Window.partitionBy(*file_cols, block_col).orderBy(order_col)
+    before = F.lag("__brk").over(w)
+    rows = rows.withColumn("__head", before.isNull()).withColumn("__start", (~F.col("__brk") & F.coalesce(before, F.lit(False))).cast("long"))
+    blocks = rows.groupBy(*file_cols, block_col).agg(
+        F.sum("__start").alias("starts"), F.max(F.col("__head") & ~F.col("__brk")).alias("token_first"),
+        F.max_by("__brk", order_col).alias("ends"))
+    wf = Window.partitionBy(*file_cols).orderBy(block_col)
+    opens = (F.col("token_first") & F.coalesce(F.lag("ends").over(wf), F.lit(True))).cast("long")
+    blocks = blocks.withColumn("opens", opens)
+    earlier = F.coalesce(F.sum(F.col("starts") + F.col("opens")).over(wf.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(*file_cols, block_col, (earlier + F.col("opens")).alias("__base"))
+    running = F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__run", running).join(blocks, [*file_cols, block_col]) \
+               .withColumn(out, (F.col("__base") + F.col("__run")).cast("long")).drop("__head", "__start", "__run", "__base")
+
+
+def read_tokenized(lines: DataFrame, lang: str | Column, file_cols: list[str], block_col: str = "block") -> DataFrame:
     """Preprocessed tag file: tab-split, first field word, last field label
     (``O`` when missing); blank or ``-DOCSTART-`` lines end a sentence.
-    Returns one row per non-empty sentence: ``guid, words, labels``."""
-    t = lines.withColumn("__brk", (F.col("text") == "") | F.col("text").startswith("-DOCSTART-"))
-    t = sentence_ids(t, file_cols, blank_col="__brk")
+    Returns one row per non-empty sentence: ``guid, words, labels``; without a
+    ``block_col`` a file counts as one block."""
+    if block_col not in lines.columns:
+        lines = lines.withColumn(block_col, F.lit(0))
+    t = sentence_order(lines, file_cols, (F.col("text") == "") | F.col("text").startswith("-DOCSTART-"), block_col)
     parts = F.split("text", "\t", -1)
     tok = t.filter(~F.col("__brk")).select(
         *file_cols, "line_no", "sent_no", parts[0].alias("word"),
         F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(F.lit("O")).alias("label"))
     s = assemble_sentences(tok, file_cols + ["sent_no"], "line_no", {"words": "word", "labels": "label"})
-    lc = lang if isinstance(lang, Column) else F.lit(lang)
-    w = Window.partitionBy(*file_cols).orderBy("sent_no")
-    return s.withColumn("guid", guid(lc, F.row_number().over(w)))
-
+    return s.withColumn("guid", guid(lang if isinstance(lang, Column) else F.lit(lang), F.col("sent_no")))

@@ -18,7 +18,7 @@ from tessera.operators.pairs import (assign_split, doc_pairs, pair_by_line, pair
                                      pair_line_counts, split_counts, valid_pairs)
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir
-from tessera.sources.lines import lines_of
+from tessera.sources.lines import file_value, lines_of, read_lines, read_parallel, write_line_files
 from tessera.sources.pairs import read_pairs, write_pairs
 
 SPLIT_SEED = 7
@@ -51,10 +51,53 @@ vp AS (SELECT * FROM pr WHERE text IS NOT NULL AND length(text) > 0
                           AND transliteration IS NOT NULL AND length(transliteration) > 0)"""
 
 
-register("lines_scan", f"""WITH {SQL_LINES}
+register("doc_lines", f"""WITH {SQL_LINES}
 SELECT source, doc_id, line_no, text FROM dl""")(
     lambda spark, sf: doc_lines(spark, sf).select("source", "doc_id", "line_no", "text"))
 
+# Text files made from the tables hold 100 documents each and are read in
+# blocks of 64 KiB, so that a file has several blocks at every scale.
+FILE_DOCS, FILE_BLOCK = 100, 64 << 10
+
+
+def _file_no():
+    return F.floor(F.col("doc_id") / FILE_DOCS).cast("long")
+
+
+def _files(spark):
+    return os.path.join(checkpoint_dir(spark), "tables", f"lines-{uuid.uuid4().hex[:12]}")
+
+
+def q_lines_scan(spark, sf_dir):
+    """Documents written to text files, one after another, and read again as lines."""
+    path = _files(spark)
+    write_line_files(table(spark, sf_dir, "documents").withColumn("file_no", _file_no()), path, "file_no", ["doc_id"])
+    lines = read_lines(spark, path, unicode_breaks=True, block_bytes=FILE_BLOCK)
+    return lines.select(file_value("file_no").cast("long").alias("file_no"), "line_no", "text")
+
+
+register("lines_scan", f"""WITH d AS (
+  SELECT doc_id, doc_id // {FILE_DOCS} AS file_no, {sql_split_lines("(coalesce(text, '') || chr(10))")} AS arr FROM documents),
+o AS (SELECT *, CAST(sum(len(arr)) OVER (PARTITION BY file_no ORDER BY doc_id) - len(arr) AS BIGINT) AS before FROM d)
+SELECT file_no, before + CAST(unnest(range(len(arr))) AS BIGINT) AS line_no, unnest(arr) AS text FROM o""")(q_lines_scan)
+
+
+def q_parallel_scan(spark, sf_dir):
+    """Valid pairs written as two parallel sets of files and paired again by
+    file and line."""
+    v = valid_pairs(pairs(spark, sf_dir)).withColumn("file_no", _file_no())
+    sides = []
+    for c in ("text", "transliteration"):
+        path = _files(spark)
+        write_line_files(v, path, "file_no", ["doc_id", "line_no"], c)
+        sides.append(read_parallel(spark, path, FILE_BLOCK).select(file_value("file_no").cast("long").alias("file_no"), "idx", F.col("text").alias(c)))
+    return sides[0].join(sides[1], ["file_no", "idx"], "full_outer")
+
+
+register("parallel_scan", f"""WITH {SQL_VALID}
+SELECT doc_id // {FILE_DOCS} AS file_no, row_number() OVER (PARTITION BY doc_id // {FILE_DOCS} ORDER BY doc_id, line_no) - 1 AS idx,
+       {sql_py_strip('text')} AS text, {sql_py_strip('transliteration')} AS transliteration FROM vp""")(q_parallel_scan)
+
 register("romanize", f"""WITH {SQL_PAIRS}
 SELECT doc_id, line_no, lang, transliteration FROM pr""")(
     lambda spark, sf: pairs(spark, sf).select("doc_id", "line_no", "lang", "transliteration"))

@@ -29,12 +29,13 @@ from tessera.operators.tag_metrics import span_prf, spans
 from tessera.operators.tagging import (IGNORE, align_labels, assemble_sentences, decode_predictions,
                                        feature_labels,
                                        few_shot, guid, id_map, label_map, label_vocab, lang_ids,
-                                       pack_fragments, read_tagged, realign, sentence_ids, tag_features,
+                                       pack_fragments, read_tagged, read_tokenized, realign, sentence_ids, tag_features,
                                        unk_tokens, union_langs)
 from tessera.operators.vocab import (BOS_ID, EOS_ID, PAD_ID, UNK, UNK_ID, build_vocab, encode_word_arrays,
                                      sql_piece_count, sql_vocab, sql_word_pieces)
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir
+from tessera.sources.lines import file_value, read_lines, write_line_files
 
 TAG_MAX_LEN, PIECE_LEN, SPECIAL = 256, 4, 3
 BUDGET = TAG_MAX_LEN - SPECIAL
@@ -200,6 +201,30 @@ register("tag_sentences", f"""WITH RECURSIVE {SQL_SENT}
 SELECT guid, doc_id, sent_no, frag, words, labels FROM sg""")(
     lambda spark, sf: sentences(spark, sf).select("guid", "doc_id", "sent_no", "frag", "words", "labels"))
 
+FILE_DOCS, FILE_BLOCK = 100, 64 << 10
+
+
+def q_tag_files(spark, sf):
+    """Tag lines of the documents, each behind a document mark, written to text
+    files and read as preprocessed tag files in several blocks."""
+    path = os.path.join(checkpoint_dir(spark), "tables", f"tags-{uuid.uuid4().hex[:12]}")
+    lines = tag_lines(spark, sf).select("doc_id", "line_no", "text")
+    marks = table(spark, sf, "documents").select("doc_id", F.lit(-1).cast("long").alias("line_no"), F.lit("-DOCSTART- -X- O").alias("text"))
+    rows = lines.union(marks).withColumn("file_no", F.floor(F.col("doc_id") / FILE_DOCS).cast("long"))
+    write_line_files(rows, path, "file_no", ["doc_id", "line_no"])
+    read = read_tokenized(read_lines(spark, path, with_block=True, block_bytes=FILE_BLOCK), "xx", ["file"])
+    return read.select(file_value("file_no").cast("long").alias("file_no"), "guid", "words", "labels")
+
+
+register("tag_files", f"""WITH {SQL_TOK},
+fl AS (SELECT doc_id // {FILE_DOCS} AS file_no, doc_id, line_no, text, text = '' AS brk FROM tl
+       UNION ALL SELECT doc_id // {FILE_DOCS}, doc_id, -1, '-DOCSTART- -X- O', true FROM documents),
+fs AS (SELECT *, sum(CAST(brk AS BIGINT)) OVER (PARTITION BY file_no ORDER BY doc_id, line_no) AS sn FROM fl),
+fw AS (SELECT file_no, sn, list(string_split(text, chr(9))[1] ORDER BY doc_id, line_no) AS words,
+              list(CASE WHEN len(string_split(text, chr(9))) > 1 THEN string_split(text, chr(9))[-1] ELSE 'O' END ORDER BY doc_id, line_no) AS labels
+       FROM fs WHERE NOT brk GROUP BY file_no, sn)
+SELECT file_no, 'xx-' || row_number() OVER (PARTITION BY file_no ORDER BY sn) AS guid, words, labels FROM fw""")(q_tag_files)
+
 register("label_vocab", f"""WITH {SQL_TOK},
 lv0 AS (SELECT DISTINCT label FROM tok WHERE label <> 'O')
 SELECT 'O' AS label, 0 AS label_id UNION ALL

@@ -1,38 +1,50 @@
 """Ordered line scans with distributed line numbers.
 
-``spark.read.text`` splits files into ~128 MiB blocks read by independent
-tasks, so "line i of the file" is not known to any single task. Numbering
-without a single-partition window (the §7.3 design):
-
-1. on the scan, key every physical line by ``(file, block start)`` and take
-   ``monotonically_increasing_id()`` (contiguous inside a task);
-2. count logical lines per ``(file, block)`` — a partial aggregate with one
-   row per block, tiny even at 100 TB (one row per 128 MiB);
-3. running sum over that block table per file gives each block's offset;
-4. join the offsets back (broadcast: the block table is bounded by
-   input bytes / block size) and add the in-block position.
-
-For file-iteration breaks a physical line is one logical line and the
-in-block position is ``id - min(id)``. For ``unicode_breaks`` (the
-``str.splitlines`` behaviour of the corpus reader) a physical line may hold
-several logical lines; the in-block position is then a running count that
-a pandas batch iterator computes over the scan partitioning (no shuffle).
+``spark.read.text`` splits files into blocks read by independent tasks, so
+"line i of the file" is not known to any single task. The files are scanned
+once:
+
+1. every physical line gets ``(file, block start)`` and its position in the
+   block, and the rows are written as a staged table. For ``unicode_breaks``
+   (the ``str.splitlines`` behaviour of the corpus reader) a physical line may
+   hold several logical lines; the position is then a running count over the
+   rows of the task, which reads a block in order;
+2. the number of logical lines per block is an aggregate over two narrow
+   columns of the staged table: one row per block, which a running sum per file
+   turns into offsets;
+3. the offsets are joined back and give the line number.
+
+No window spans a file, and nothing depends on the number of blocks.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import py_strip
+from tessera.session import stage_table
 
 # The breaks str.splitlines() honours beyond those of the text reader.
 EXTRA_BREAKS_RE = r"[\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]"
+SPLIT_CONF = "spark.sql.files.maxPartitionBytes"
+
 
-BLOCK_TABLE_BROADCAST_LIMIT = 2_000_000
+@contextmanager
+def split_bytes(spark: SparkSession, size: int | None):
+    """Largest block of the scans that run inside, in bytes (None: as set)."""
+    before = spark.conf.get(SPLIT_CONF)
+    if size is not None:
+        spark.conf.set(SPLIT_CONF, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(SPLIT_CONF, before)
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
@@ -43,51 +55,67 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
                     F.col("value").alias("text")))
 
 
-def _attach_offsets(df: DataFrame, n_col: str) -> DataFrame:
-    blocks = df.groupBy("file", "block").agg(F.sum(n_col).alias("n"), F.min("mid").alias("min_mid"))
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file", "block", "min_mid",
-                           F.coalesce(F.sum("n").over(w), F.lit(0)).alias("block_off"))
-    nb = blocks.count()
-    if nb <= BLOCK_TABLE_BROADCAST_LIMIT:
-        blocks = F.broadcast(blocks)
-    return df.join(blocks, on=["file", "block"], how="inner")
-
-
-def read_lines(spark: SparkSession, path: str, unicode_breaks: bool = False) -> DataFrame:
-    """``(file, line_no, text)`` with 0-based line numbers in file order."""
+def _counted(batches):
+    """Adds to every row the number of logical lines before it in its block;
+    a block's rows follow one another."""
+    last, carried = None, 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        n = batch["n"].to_numpy().astype(np.int64)
+        block, file = batch["block"].to_numpy(), batch["file"].dictionary_encode().indices.to_numpy()
+        first = np.concatenate([[True], (block[1:] != block[:-1]) | (file[1:] != file[:-1])])
+        before = np.cumsum(n) - n
+        run = np.cumsum(first) - 1
+        before = before - before[first][run]
+        if (batch["file"][0].as_py(), int(block[0])) == last:
+            before[run == 0] += carried
+        last, carried = (batch["file"][len(n) - 1].as_py(), int(block[-1])), int(before[-1] + n[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], [*batch.schema.names, "before"])
+
+
+def read_lines(spark: SparkSession, path: str, unicode_breaks: bool = False, with_block: bool = False,
+               block_bytes: int | None = None) -> DataFrame:
+    """``(file, line_no, text)`` with 0-based line numbers in file order;
+    ``with_block`` adds ``block``, the start of the scan block in the file,
+    which bounds windows over neighbouring lines."""
     scan = _scan(spark, path)
-    if not unicode_breaks:
-        j = _attach_offsets(scan.withColumn("n", F.lit(1).cast("long")), "n")
-        return j.select("file", (F.col("block_off") + F.col("mid") - F.col("min_mid")).alias("line_no"),
-                        "text")
-    parts = scan.withColumn("parts", F.split("text", EXTRA_BREAKS_RE, -1)) \
-                .withColumn("n", F.size("parts").cast("long"))
-    schema = T.StructType(parts.schema.fields + [T.StructField("local_off", T.LongType())])
-    # Each batch carries the running count across batches of the same task
-    # through the block offsets: blocks never straddle tasks, and a block's
-    # rows arrive in order, so a per-batch carry is kept per (file, block).
-    def fn(it):
-        carry: dict[str, int] = {}
-        for pdf in it:
-            n = pdf["n"].to_numpy(dtype=np.int64)
-            key = (pdf["file"].astype(str) + "\x00" + pdf["block"].astype(str)).to_numpy()
-            loc = pd.Series(n).groupby(key).cumsum().to_numpy() - n
-            base = np.array([carry.get(k, 0) for k in key], dtype=np.int64)
-            pdf["local_off"] = loc + base
-            for k, tot in pd.Series(n).groupby(key).sum().items():
-                carry[k] = carry.get(k, 0) + int(tot)
-            yield pdf
-    numbered = parts.mapInPandas(fn, schema)
-    j = _attach_offsets(numbered, "n")
-    return j.select("file", "block_off", "local_off", F.posexplode("parts").alias("sub", "text")) \
-            .select("file", (F.col("block_off") + F.col("local_off") + F.col("sub")).alias("line_no"), "text")
-
-
-def read_parallel(spark: SparkSession, path: str) -> DataFrame:
+    if unicode_breaks:
+        parts = F.split("text", EXTRA_BREAKS_RE, -1)
+        scan = scan.select("file", "block", parts.alias("parts"), F.size(parts).cast("long").alias("n"))
+        scan = scan.mapInArrow(_counted, T.StructType(scan.schema.fields + [T.StructField("before", T.LongType())]))
+    with split_bytes(spark, block_bytes):
+        rows = stage_table(scan, "lines")
+    if unicode_breaks:
+        sizes = rows.groupBy("file", "block").agg(F.sum("n").alias("n"))
+        rows = rows.select("file", "block", "before", F.posexplode("parts").alias("sub", "text"))
+        at = F.col("before") + F.col("sub")
+    else:
+        sizes = rows.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first"))
+        at = F.col("mid") - F.col("first")
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    return rows.join(offsets, ["file", "block"]).select(
+        "file", *(["block"] if with_block else []), (F.col("offset") + at).cast("long").alias("line_no"), "text")
+
+
+def write_line_files(df: DataFrame, path: str, file_col: str, order: list[str], text: str = "text") -> None:
+    """One text file per ``file_col`` value (folder ``file_col=value``), a line
+    per row in the given order; a null is an empty line."""
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(slots, file_col).sortWithinPartitions(file_col, *order)
+    rows.select(F.col(file_col), F.coalesce(F.col(text), F.lit("")).alias("value")).write.partitionBy(file_col).text(path)
+
+
+def file_value(file_col: str):
+    """The value of ``file_col`` that :func:`write_line_files` put in the path."""
+    return F.regexp_extract("file", f"/{file_col}=([^/]+)/", 1)
+
+
+def read_parallel(spark: SparkSession, path: str, block_bytes: int | None = None) -> DataFrame:
     """Parallel sentence file: stripped lines, row number = gold key."""
-    return read_lines(spark, path).select("file", F.col("line_no").alias("idx"),
-                                          py_strip("text").alias("text"))
+    return read_lines(spark, path, block_bytes=block_bytes).select("file", F.col("line_no").alias("idx"),
+                                                                   py_strip("text").alias("text"))
 
 
 def lines_of(df: DataFrame, text_col: str, keys: list[str], unicode_breaks: bool = True) -> DataFrame:
