@@ -1,9 +1,8 @@
 """Sequence-tagging data preparation and prediction handling.
 
 Token rows are keyed ``(file, line_no)``; a sentence is a run of token lines
-between blank lines (W1). Per-sentence sequential logic (greedy packing)
-runs as an array fold inside one row per sentence, so the only shuffle is
-the regroup by sentence, and a sentence is bounded by its text.
+between blank lines (W1). Greedy packing of sentences is in
+:mod:`tessera.operators.fragments`.
 """
 
 from __future__ import annotations
@@ -69,49 +68,6 @@ def unk_tokens(df: DataFrame, max_len: int, piece_len: int, special_count: int =
             .drop("__n", "__bad"))
 
 
-def pack_fragments(df: DataFrame, sent_keys: list[str], budget: int, order_col: str = "line_no",
-                   n_col: str = "n_pieces", carry: list[str] | None = None) -> DataFrame:
-    """Greedy packing: running piece count per sentence; when adding the next
-    token would exceed ``budget`` a new fragment starts and the counter
-    restarts at that token's size. Adds ``frag`` and ``pos`` (0-based).
-
-    The regroup by sentence is a Spark ``groupBy``; the sequential fold
-    itself runs once per sentence over its piece counts in Arrow batches
-    (linear in the sentence length), and the rows are exploded back."""
-    import pyarrow as pa
-
-    carry = list(carry or [])
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(n_col).alias("n"),
-                                                *[F.col(c) for c in carry])))
-    g = df.groupBy(*sent_keys).agg(rows.alias("__rows")).withColumn("__ns", F.transform("__rows", lambda r: r["n"]))
-    out_type = T.ArrayType(T.StructType([T.StructField("frag", T.IntegerType()),
-                                         T.StructField("pos", T.IntegerType())]))
-    schema = T.StructType(g.schema.fields + [T.StructField("__fp", out_type)])
-    item = pa.struct([("frag", pa.int32()), ("pos", pa.int32())])
-
-    def fn(batches):
-        for b in batches:
-            res = []
-            for ns in b.column("__ns").to_pylist():
-                cnt, frag, pos, out = 0, 0, -1, []
-                for n in ns:
-                    if pos >= 0 and cnt + n > budget:
-                        frag, pos, cnt = frag + 1, 0, n
-                    else:
-                        pos, cnt = pos + 1, cnt + n
-                    out.append({"frag": frag, "pos": pos})
-                res.append(out)
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns)]
-                                             + [pa.array(res, pa.list_(item))],
-                                             list(b.schema.names) + ["__fp"])
-    packed = g.mapInArrow(fn, schema)
-    z = packed.select(*sent_keys, F.explode(F.arrays_zip(F.col("__rows").alias("r"), F.col("__fp").alias("f")))
-                      .alias("z"))
-    return z.select(*sent_keys, F.col("z.r.o").alias(order_col), F.col("z.r.n").alias(n_col),
-                    *[F.col(f"z.r.{c}").alias(c) for c in carry],
-                    F.col("z.f.frag").alias("frag"), F.col("z.f.pos").alias("pos"))
-
-
 def assemble_sentences(df: DataFrame, keys: list[str], order_col: str, cols: dict[str, str]) -> DataFrame:
     """Ordered arrays per sentence (``cols``: output array → row column)."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"),

@@ -26,10 +26,11 @@ from tessera.functions.text import split_lines, sql_split_lines, sql_split_ws
 from tessera.operators.batching import row_numbers
 from tessera.operators.pairs import assign_split
 from tessera.operators.tag_metrics import span_prf, spans
+from tessera.operators.fragments import pack_fragments
 from tessera.operators.tagging import (IGNORE, align_labels, assemble_sentences, decode_predictions,
                                        feature_labels,
                                        few_shot, guid, id_map, label_map, label_vocab, lang_ids,
-                                       pack_fragments, read_tagged, read_tokenized, realign, sentence_ids, tag_features,
+                                       read_tagged, read_tokenized, realign, sentence_ids, tag_features,
                                        unk_tokens, union_langs)
 from tessera.operators.vocab import (BOS_ID, EOS_ID, PAD_ID, UNK, UNK_ID, build_vocab, encode_word_arrays,
                                      sql_piece_count, sql_vocab, sql_word_pieces)

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from tessera.operators.tag_metrics import span_prf, spans
-from tessera.operators.tagging import (pack_fragments, read_tagged, read_tokenized, realign, sentence_ids,
+from tessera.operators.fragments import pack_fragments
+from tessera.operators.tagging import (read_tagged, read_tokenized, realign, sentence_ids,
                                        tag_features, unk_tokens)
 
 
