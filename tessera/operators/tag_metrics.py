@@ -13,14 +13,127 @@ previous token (``O``/``_`` before the first):
   ``O``/``.`` and the type changes.
 
 A sentinel ``O`` closes every sentence; spans never cross sentences. The
-rule is pure window arithmetic (``lag`` + a running max of start
-positions), partitioned by sentence.
+rule looks at neighbouring tokens only, so it runs as a finite-state pass over
+label arrays, all sentences of an Arrow batch at once: :func:`array_spans`
+gives the spans of a column, :func:`span_counts` those of gold and prediction
+together, counted where they are, so that only one row per batch and group is
+shuffled. :func:`spans` and :func:`span_prf` are the same rule over token rows,
+as window arithmetic.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+
+
+CONLL, STRICT = "conll", "strict_bio"
+
+
+def _split_label(label: str | None) -> tuple[str, str]:
+    """Prefix and type of a tag; a null tag is outside."""
+    rest = (label or "O")[1:]
+    return (label or "O")[:1], rest.split("-", 1)[-1] or "_"
+
+
+def find_spans(labels: pa.Array, mode: str = CONLL):
+    """``(row, type, start, end, types)`` of all spans in an array of label
+    arrays: positions are inclusive, ``type`` indexes ``types``.
+
+    ``strict_bio`` keeps spans that open with ``B`` and go on with ``I`` of the
+    same type only."""
+    lists = labels.flatten().dictionary_encode()
+    size = np.diff(labels.offsets.to_numpy().astype(np.int64))
+    size = np.where(labels.is_null().to_numpy(zero_copy_only=False), 0, size)
+    said = lists.dictionary.to_pylist() + ["O"]
+    known = [_split_label(x) for x in said]
+    types = sorted({t for _, t in known})
+    prefix = np.array([ord(p) if p else 0 for p, _ in known], np.int64)
+    kind = np.array([types.index(t) for _, t in known], np.int64)
+    outside = len(known) - 1
+    code = lists.indices.fill_null(outside).to_numpy(zero_copy_only=False).astype(np.int64)
+    # every row gets a sentinel outside tag behind its last token
+    row = np.repeat(np.arange(len(size)), size + 1)
+    first = np.cumsum(size + 1) - (size + 1)
+    at = np.arange(len(row)) - first[row]
+    tags = np.full(len(row), outside)
+    tags[at < size[row]] = code
+    tag, typ = prefix[tags], kind[tags]
+    before = np.concatenate([[outside], tags[:-1]])
+    before[at == 0] = outside
+    was, had = prefix[before], kind[before]
+
+    def one_of(x, letters):
+        return np.isin(x, [ord(c) for c in letters])
+    changed = had != typ
+    ends = one_of(was, "ES") | (one_of(was, "BI") & one_of(tag, "BSO")) | (~one_of(was, "O.") & changed)
+    begins = one_of(tag, "BS") | (one_of(was, "ESO") & one_of(tag, "EI")) | (~one_of(tag, "O.") & changed)
+    where = np.arange(len(row))
+    latest = np.maximum.accumulate(np.where(begins, where, -1)) if len(row) else where
+    latest = np.concatenate([[-1], latest[:-1]])
+    last = np.flatnonzero(ends)
+    start = np.maximum(latest[last], first[row[last]])
+    if mode == STRICT:
+        opens, goes_on = (np.array([x == f"{letter}-{t}" for x, (_, t) in zip(said, known)])[tags] for letter in "BI")
+        inside = np.concatenate([[0], np.cumsum(goes_on)])
+        ok = opens[start] & (typ[start] == had[last]) & (inside[last] - inside[start + 1] == last - 1 - start)
+        last, start = last[ok], start[ok]
+    return row[last], had[last], at[start], at[last] - 1, types
+
+
+def array_spans(labels, mode: str = CONLL):
+    """Column function: ``array<struct<span_type,start,end>>`` of a label array."""
+    @arrow_udf("array<struct<span_type:string,start:long,end:long>>")
+    def of(column: pa.Array) -> pa.Array:
+        row, kind, start, end, types = find_spans(column, mode)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)))])
+        names = pa.array(types, pa.string()).take(pa.array(kind))
+        items = pa.StructArray.from_arrays([names, pa.array(start), pa.array(end)], ["span_type", "start", "end"])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), items)
+    return of(labels)
+
+
+def _span_counts(groups: int, mode: str):
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            sides = [find_spans(batch.column(groups + i), mode) for i in (0, 1)]
+            width = 1 + max((int(s[3].max(initial=0)) for s in sides))
+            keys = [s[0] * width + s[3] for s in sides]          # a side has one span at most that ends here
+            _, g, p = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+            gold, pred = sides
+            names = [np.array(s[4], dtype=object) for s in sides]
+            hit = g[(names[0][gold[1][g]] == names[1][pred[1][p]]) & (gold[2][g] == pred[2][p])]
+            by = [[c.as_py() for c in batch.column(i)] for i in range(groups)]
+            group = list(zip(*by)) if groups else [()] * len(batch)
+            order = {k: i for i, k in enumerate(dict.fromkeys(group))}
+            at = np.array([order[k] for k in group])
+            counts = [np.bincount(at[rows], minlength=len(order)) for rows in (gold[0], pred[0], gold[0][hit])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[i] for k in order], batch.schema.field(i).type) for i in range(groups)] + [pa.array(c.astype(np.int64)) for c in counts],
+                names=[batch.schema.field(i).name for i in range(groups)] + ["n_gold", "n_pred", "tp"])
+    return run
+
+
+def span_counts(df: DataFrame, gold: str, pred: str, by: list[str] | None = None, mode: str = CONLL) -> DataFrame:
+    """``by + (n_gold, n_pred, tp)`` over rows with a gold and a predicted label
+    array per sentence; a group without a span has zeros."""
+    by = list(by or [])
+    kinds = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by] + ["n_gold long", "n_pred long", "tp long"])
+    part = df.select(*by, gold, pred).mapInArrow(_span_counts(len(by), mode), kinds)
+    return part.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n_gold", "n_pred", "tp")])
+
+
+def prf(counts: DataFrame) -> DataFrame:
+    """Adds ``precision``, ``recall`` and ``f1``; 0/0 counts as 0."""
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    out = counts.withColumn("precision", share("tp", "n_pred")).withColumn("recall", share("tp", "n_gold"))
+    total = F.col("precision") + F.col("recall")
+    return out.withColumn("f1", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0))
 
 
 def _prefix_type(label):
@@ -34,8 +147,8 @@ def spans(tokens: DataFrame, sent_keys: list[str], pos_col: str = "pos", label_c
           mode: str = "conll") -> DataFrame:
     """``sent_keys + (span_type, start, end)`` (inclusive token positions).
 
-    ``mode='strict_bio'`` keeps only spans that open with ``B`` and continue
-    with ``I`` of the same type."""
+    ``mode='strict_bio'`` keeps only spans that open with ``B``; tags other than
+    ``B``, ``I`` and ``O`` are for :func:`find_spans`."""
     base = tokens.select(*sent_keys, F.col(pos_col).cast("long").alias("pos"), F.col(label_col).alias("label"))
     sentinel = base.groupBy(*sent_keys).agg((F.max("pos") + 1).alias("pos")).withColumn("label", F.lit("O"))
     t = base.unionByName(sentinel)
@@ -76,9 +189,4 @@ def span_prf(gold: DataFrame, pred: DataFrame, keys: list[str], by: list[str] |
     j = g.join(p, on=k, how="full_outer")
     agg = j.groupBy(*by).agg(F.count("g").alias("n_gold"), F.count("p").alias("n_pred"),
                              F.count(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1)).alias("tp"))
-    prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
-    rec = F.when(F.col("n_gold") > 0, F.col("tp") / F.col("n_gold")).otherwise(F.lit(0.0))
-    out = agg.withColumn("precision", prec).withColumn("recall", rec)
-    f1 = F.when(F.col("precision") + F.col("recall") > 0,
-                2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
-    return out.withColumn("f1", f1)
+    return prf(agg)

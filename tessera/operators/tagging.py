@@ -177,17 +177,20 @@ def decode_predictions(pred_ids: Column, gold_ids: Column, id_to_label: Column)
 
 
 def realign(frag_preds: DataFrame, packed: DataFrame, keys: list[str]) -> DataFrame:
-    """Fragment-level predictions back to original sentences: predictions
-    (``keys + frag``, array ``preds``) are exploded by position, joined to
-    the packed token table on ``keys + (frag, pos)`` and re-collected per
-    original sentence in (frag, pos) order. Every token stays: one without a
-    prediction gets null."""
-    p = frag_preds.select(*keys, "frag", F.posexplode("preds").alias("pos", "pred"))
-    j = packed.select(*keys, "frag", "pos", "token").join(p, on=keys + ["frag", "pos"], how="left")
-    rows = F.array_sort(F.collect_list(F.struct("frag", "pos", "token", "pred")))
-    return j.groupBy(*keys).agg(rows.alias("__r")).select(
-        *keys, F.transform("__r", lambda r: r["token"]).alias("tokens"),
-        F.transform("__r", lambda r: r["pred"]).alias("preds"))
+    """Fragment-level predictions back to original sentences: the tokens of a
+    fragment are an array, joined with its predictions (``keys + frag``, array
+    ``preds``) one row per fragment and zipped by position; the fragments of a
+    sentence are then put in order. Every token stays: one without a prediction
+    gets null; predictions beyond the tokens are dropped."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    frags = packed.groupBy(*keys, "frag").agg(rows.alias("__r")).select(*keys, "frag", F.transform("__r", lambda r: r["token"]).alias("__t"))
+    j = frags.join(frag_preds.select(*keys, "frag", "preds"), on=keys + ["frag"], how="left")
+    size = F.size("__t")
+    mine = F.slice(F.coalesce("preds", F.array().cast("array<string>")), 1, size)
+    full = F.concat(mine, F.array_repeat(F.lit(None).cast("string"), size - F.size(mine)))
+    sents = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("frag", F.col("__t").alias("t"), full.alias("p")))).alias("__f"))
+    return sents.select(*keys, F.flatten(F.transform("__f", lambda f: f["t"])).alias("tokens"),
+                        F.flatten(F.transform("__f", lambda f: f["p"])).alias("preds"))
 
 
 def lang_ids(df: DataFrame, lang2id: DataFrame | None, lang_col: str = "lang",

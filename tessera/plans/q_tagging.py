@@ -25,7 +25,7 @@ from tessera.functions.draws import sql_key, sql_uniform, uniform
 from tessera.functions.text import split_lines, sql_split_lines, sql_split_ws
 from tessera.operators.batching import row_numbers
 from tessera.operators.pairs import assign_split
-from tessera.operators.tag_metrics import span_prf, spans
+from tessera.operators.tag_metrics import STRICT, array_spans, prf, span_counts, spans
 from tessera.operators.fragments import pack_fragments
 from tessera.operators.tagging import (IGNORE, align_labels, assemble_sentences, decode_predictions,
                                        feature_labels,
@@ -394,13 +394,8 @@ register("tag_spans", f"""WITH {SQL_TOK},
 SELECT doc_id, sent_no, span_type, start, "end" FROM sp""")(q_tag_spans)
 
 
-def q_tag_span_f1(spark, sf):
-    # gold and prediction branches both read the decoded table: cut it once
-    d = decoded(spark, sf).checkpoint(eager=True)
-    g = d.select("guid", "lang", F.posexplode("gold_labels").alias("pos", "label"))
-    p = d.select("guid", "lang", F.posexplode("pred_labels").alias("pos", "label"))
-    sg, sp = spans(g, ["guid", "lang"]), spans(p, ["guid", "lang"])
-    per = span_prf(sg, sp, ["guid", "lang"], by=["lang"])
+def _span_report(spark, sf, mode):
+    per = prf(span_counts(decoded(spark, sf), "gold_labels", "pred_labels", ["lang"], mode))
     langs = spark.createDataFrame([(x,) for x in REPORT_LANGS], "lang string")
     j = langs.join(per, on="lang", how="left")
     # an empty evaluation reports every metric as 0
@@ -408,15 +403,35 @@ def q_tag_span_f1(spark, sf):
                     *[F.round(F.coalesce(F.col(c), F.lit(0.0)), 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def q_tag_span_f1(spark, sf):
+    return _span_report(spark, sf, "conll")
+
+
+def q_tag_span_strict(spark, sf):
+    return _span_report(spark, sf, STRICT)
+
+
 _RL = " UNION ALL ".join(f"SELECT '{x}' AS lang" for x in REPORT_LANGS)
-register("tag_span_f1", f"""WITH RECURSIVE {SQL_DEC},
+_SPAN_SIDES = f"""
 gx AS (SELECT guid, lang, unnest(range(len(gold_labels))) AS pos, unnest(gold_labels) AS label FROM dec),
 px AS (SELECT guid, lang, unnest(range(len(pred_labels))) AS pos, unnest(pred_labels) AS label FROM dec),
 {_sql_spans('gx', ['guid', 'lang'], 'pos', 'label', 'gsp')},
-{_sql_spans('px', ['guid', 'lang'], 'pos', 'label', 'psp')},
-j AS (SELECT coalesce(gsp.lang, psp.lang) AS lang, gsp.guid AS g, psp.guid AS p
-      FROM gsp FULL OUTER JOIN psp ON gsp.guid = psp.guid AND gsp.span_type = psp.span_type
-                                 AND gsp.start = psp.start AND gsp."end" = psp."end"),
+{_sql_spans('px', ['guid', 'lang'], 'pos', 'label', 'psp')}"""
+
+
+def _sql_strict(src, spans_cte, out):
+    """Spans that open with B and go on with I of their type."""
+    return f"""
+{out} AS (SELECT s.guid, s.lang, s.span_type, s.start, s."end" FROM {spans_cte} s
+          JOIN {src} x ON x.guid = s.guid AND x.pos BETWEEN s.start AND s."end" GROUP BY ALL
+          HAVING bool_and(x.label = CASE WHEN x.pos = s.start THEN 'B-' ELSE 'I-' END || s.span_type))"""
+
+
+def _sql_span_report(gold, pred):
+    return f"""
+j AS (SELECT coalesce(g.lang, p.lang) AS lang, g.guid AS g, p.guid AS p
+      FROM {gold} g FULL OUTER JOIN {pred} p ON g.guid = p.guid AND g.span_type = p.span_type
+                                 AND g.start = p.start AND g."end" = p."end"),
 a AS (SELECT lang, count(g) AS n_gold, count(p) AS n_pred, count(CASE WHEN g IS NOT NULL AND p IS NOT NULL THEN 1 END) AS tp
       FROM j GROUP BY lang),
 m AS (SELECT *, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
@@ -426,19 +441,42 @@ SELECT rl.lang, coalesce(n_gold, 0) AS n_gold, coalesce(n_pred, 0) AS n_pred, co
        round(coalesce(precision, 0.0), 6) AS precision, round(coalesce(recall, 0.0), 6) AS recall,
        round(coalesce(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END,
                       0.0), 6) AS f1
-FROM rl LEFT JOIN m ON rl.lang = m.lang""")(q_tag_span_f1)
+FROM rl LEFT JOIN m ON rl.lang = m.lang"""
+
+
+register("tag_span_f1", f"""WITH RECURSIVE {SQL_DEC},{_SPAN_SIDES},{_sql_span_report("gsp", "psp")}""")(q_tag_span_f1)
+register("tag_span_strict", f"""WITH RECURSIVE {SQL_DEC},{_SPAN_SIDES},{_sql_strict("gx", "gsp", "gst")},{_sql_strict("px", "psp", "pst")},
+{_sql_span_report("gst", "pst")}""")(q_tag_span_strict)
+
+
+def q_tag_span_arrays(spark, sf):
+    """The spans of :func:`q_tag_spans`, numbered by token, from label arrays."""
+    s = assemble_sentences(tag_tokens(spark, sf), ["doc_id", "sent_no"], "line_no", {"labels": "label"})
+    found = s.select("doc_id", "sent_no", F.explode(array_spans(F.col("labels"))).alias("s"))
+    return found.select("doc_id", "sent_no", "s.span_type", "s.start", "s.end")
+
+
+register("tag_span_arrays", f"""WITH {SQL_TOK},
+tq AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY line_no) - 1 AS pos FROM tok),
+{_sql_spans('tq', ['doc_id', 'sent_no'], 'pos', 'label', 'sp')}
+SELECT doc_id, sent_no, span_type, start, "end" FROM sp""")(q_tag_span_arrays)
 
 
 def q_tag_realign(spark, sf):
+    """Every fragment with an even number of tokens lacks its last prediction,
+    as a model that truncates leaves it."""
     ctx = Ctx(spark, sf)
-    d = decoded(spark, sf, ctx).select("doc_id", "sent_no", "frag", F.col("pred_labels").alias("preds"))
+    n = F.size("pred_labels")
+    preds = F.slice("pred_labels", 1, F.when(n % 2 == 0, n - 1).otherwise(n))
+    d = decoded(spark, sf, ctx).select("doc_id", "sent_no", "frag", preds.alias("preds"))
     return realign(d, packed(spark, sf, ctx), ["doc_id", "sent_no"])
 
 
 register("tag_realign", f"""WITH RECURSIVE {SQL_DEC},
-dx AS (SELECT doc_id, sent_no, frag, unnest(range(len(pred_labels))) AS pos, unnest(pred_labels) AS pred FROM dec),
+dx AS (SELECT doc_id, sent_no, frag, unnest(range(len(pl))) AS pos, unnest(pl) AS pred
+       FROM (SELECT *, pred_labels[1:CASE WHEN len(pred_labels) % 2 = 0 THEN len(pred_labels) - 1 ELSE len(pred_labels) END] AS pl FROM dec)),
 jj AS (SELECT pk.doc_id, pk.sent_no, pk.frag, pk.pos, pk.token, dx.pred FROM pk
-       JOIN dx ON pk.doc_id = dx.doc_id AND pk.sent_no = dx.sent_no AND pk.frag = dx.frag AND pk.pos = dx.pos)
+       LEFT JOIN dx ON pk.doc_id = dx.doc_id AND pk.sent_no = dx.sent_no AND pk.frag = dx.frag AND pk.pos = dx.pos)
 SELECT doc_id, sent_no, list(token ORDER BY frag, pos) AS tokens, list(pred ORDER BY frag, pos) AS preds
 FROM jj GROUP BY doc_id, sent_no""")(q_tag_realign)
 
