@@ -8,6 +8,7 @@ their lower-case letters plus that mark, many per call; all others one by one.
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +36,8 @@ class WordTokenizer:
     the end of a word."""
 
     def __init__(self, path: str):
+        # one thread: Spark deals the work over cores, and the library's own threads only add to it
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.inner = Tokenizer.from_file(path)
         vocabulary = self.inner.get_vocab()
@@ -97,13 +100,20 @@ class WordTokenizer:
         lengths[rest] = size_other
         return np.concatenate([*flat, flat_other]), starts, lengths
 
-    def encode(self, texts: pa.Array):
-        """``(offsets, ids)``: the ids of text ``i`` are ``ids[offsets[i]:offsets[i + 1]]``."""
+    def encode(self, texts: pa.Array, with_words: bool = False):
+        """``(offsets, ids)``: the ids of text ``i`` are ``ids[offsets[i]:offsets[i + 1]]``.
+        ``with_words`` adds, per id, which white-space word of its text it is in."""
         offsets, index, words = split_words(texts, normal=False)
         flat, starts, lengths = self.words(words)
         ids = gather(flat, starts[index], lengths[index])
         ends = np.concatenate([[0], np.cumsum(lengths[index])])
-        return ends[offsets], ids
+        if not with_words:
+            return ends[offsets], ids
+        full = pc.binary_length(words).to_numpy(zero_copy_only=False)[index] > 0          # white space at either end splits off an empty word
+        number = np.cumsum(full) - 1
+        before = np.concatenate([[0], np.cumsum(full)])[offsets[:-1]]
+        number = number - np.repeat(before, np.diff(offsets))
+        return ends[offsets], ids, np.repeat(number, lengths[index])
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         offsets, index, words = split_words(texts, normal=False)

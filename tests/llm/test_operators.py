@@ -509,3 +509,46 @@ def test_line_dedup_odd_rows(spark, odd, empty):
     assert L.matched_lines(empty).count() == 0
     two = spark.createDataFrame([(1, "a b c d e\nkeep me\r\n\n"), (2, "E d c B a\nother"), (2, "E d c B a\nother")], "doc_id long, text string")
     assert sorted(r["text"] for r in L.dedup_lines(two).collect()) == ["a b c d e\nkeep me\r\n\n", "other", "other"]
+
+
+@pytest.mark.parametrize("masked", [0.0, 0.5, 1.0])
+def test_sequences_take_the_largest_dot_product(masked):
+    rng, limits = np.random.default_rng(8), np.array([100.0, 6.0, 55.0])
+    packer, waiting = packing.Packer(limits, cut=False, pool=500), []
+    for i in range(200):
+        n = int(rng.integers(1, 50))
+        loss = rng.random(n) < 0.4 if rng.random() < masked else None
+        assert not list(packer.put(i, np.arange(n, dtype=np.uint32), loss))
+        waiting.append([i, np.array([n, 1.0, n if loss is None else loss.sum()])])
+    vectors = {i: v for i, v in waiting}
+    waiting = [(i, v) for i, v in waiting]
+    while packer.waiting():
+        pieces, _ = packer.fill()
+        room, got = limits.copy(), []
+        for key, _, _ in pieces:
+            fits = [(v / limits) @ (room / limits) for _, v in waiting if (v <= room).all()]
+            assert np.isclose((vectors[key] / limits) @ (room / limits), max(fits))
+            waiting = [w for w in waiting if w[0] != key]
+            room, got = room - vectors[key], got + [key]
+        assert not [1 for _, v in waiting if (v <= room).all()] or room[1] < 1
+    assert not waiting
+
+
+def test_prompts_bear_no_loss(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"word{rng.integers(0, 50)}" for _ in range(int(rng.integers(1, 40)))), int(rng.integers(0, 30)) if i % 3 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(99, None, 4), (98, "  a b", 1)], "doc_id long, text string, prompt int")
+    out = packing.pack_documents(docs, capacity=256, loss_tokens=64, prompt_words="prompt", with_ids=True).collect()
+    from tessera.llm.tokens import default_tokenizer, tokenizer
+    coder, marks, total = tokenizer(default_tokenizer()), {}, {}
+    for r in docs.collect():
+        words = (r["text"] or "").split()
+        sizes = [len(coder.inner.encode(w, add_special_tokens=False).ids) for w in words]
+        marks[r["doc_id"]] = [k >= (r["prompt"] or 0) for k, n in enumerate(sizes) for _ in range(n)] + [True]
+        total[r["doc_id"]] = sum(sizes) + 1
+    held, length, seen = Counter(), Counter(), Counter()
+    for r in out:
+        held[r["sequence_id"]] += sum(marks[r["doc_id"]][r["start"]:r["start"] + r["length"]])
+        length[r["sequence_id"]] += r["length"]
+        seen[r["doc_id"]] += r["length"]
+    assert max(held.values()) <= 64 and max(length.values()) <= 256 and max(length.values()) > 64 and seen == Counter(total)
