@@ -71,8 +71,8 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after an insert of word counts, an insert of tokenizer counts,
-    its replay, and the deletion of documents without a token."""
+    """Totals after an insert of word counts, an insert of estimated tokenizer
+    counts, its replay, and the revision of the estimates."""
     docs = documents(spark, sf_dir)
     import uuid
     rollup = token_counts.Rollup(spark, f"{checkpoint_dir(spark)}/llm/rollup-{uuid.uuid4().hex[:12]}")

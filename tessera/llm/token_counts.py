@@ -48,6 +48,22 @@ def token_count(path: str | None = None):
     return count
 
 
+def counted_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``source, lang, words, pieces`` of every document: white-space words and
+    tokens under the tokenizer file, in one pass over slices of bounded size."""
+    path = path or default_tokenizer()
+
+    def run(batches):
+        for batch in batches:
+            for start, part in slices(batch.column(2), 3 << 20):
+                words, pieces = tokenizer(path).word_and_token_counts(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), batch.column(1).slice(start, len(part)),
+                                                  pa.array(words), pa.array(pieces)], ["source", "lang", "words", "pieces"])
+
+    return docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), "text").mapInArrow(
+        run, "source string, lang string, words long, pieces long")
+
+
 def inserts(counted: DataFrame) -> DataFrame:
     return counted.withColumn("sign", F.lit(1))
 
@@ -149,19 +165,19 @@ class Rollup:
 
 def load(rollup: Rollup, docs: DataFrame, path: str | None = None) -> DataFrame:
     """Count all documents into ``rollup`` under two tokenizer versions and
-    return its totals: white-space words, then the tokenizer file (committed
-    twice, which counts once), then the documents without a token leave."""
-    from tessera.llm.common import stage, word_count
+    return its totals: white-space words; then the tokenizer file, entered with
+    the word counts as estimates (committed twice, which counts once) and
+    revised to its own counts. The totals hold every document."""
+    from tessera.llm.common import stage
 
-    text = F.coalesce("text", F.lit(""))
-    counted = stage(docs.select("source", "lang", word_count(F.col("text")).alias("words"), token_count(path)(text).alias("pieces")), "counts")
+    counted = stage(counted_documents(docs, path), "counts")
 
     def version(name: str, column: str) -> DataFrame:
         return counted.select("source", "lang", F.lit(name).alias("tokenizer"), F.col(column).alias("tokens"))
 
-    words, pieces = version("words", "words"), version("word_bpe_49k", "pieces")
-    rollup.commit("1-words", inserts(words))
-    rollup.commit("2-pieces", inserts(pieces))
-    rollup.commit("2-pieces", inserts(pieces))
-    rollup.commit("3-no-tokens", deletes(words.filter("tokens = 0").unionByName(pieces.filter("tokens = 0"))))
+    estimates = version("word_bpe_49k", "words")
+    rollup.commit("1-words", inserts(version("words", "words")))
+    rollup.commit("2-estimates", inserts(estimates))
+    rollup.commit("2-estimates", inserts(estimates))
+    rollup.commit("3-counts", revisions(estimates, version("word_bpe_49k", "pieces")))
     return rollup.totals()

@@ -115,6 +115,12 @@ class WordTokenizer:
         number = number - np.repeat(before, np.diff(offsets))
         return ends[offsets], ids, np.repeat(number, lengths[index])
 
+    def word_and_token_counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        offsets, index, words = split_words(texts, normal=False)
+        _, _, lengths = self.words(words)
+        full = (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)[index]
+        return tuple(segment_sum(x, offsets).astype(np.int64) for x in (full, lengths[index]))
+
     def counts(self, texts: pa.Array) -> np.ndarray:
         offsets, index, words = split_words(texts, normal=False)
         _, _, lengths = self.words(words)

@@ -335,7 +335,14 @@ def test_rollup(spark, odd, empty, tmp_path):
     assert rollup.compact(other) and not rollup.compact(other)
     assert got(other.totals(), *token_counts.KEYS, "n_docs", "n_tokens") == got(rollup.totals(), *token_counts.KEYS, "n_docs", "n_tokens")
     for df in (odd, empty):
-        token_counts.load(token_counts.Rollup(spark, f"file://{tmp_path}/{df.count()}"), clashing(df)).collect()
+        out = token_counts.load(token_counts.Rollup(spark, f"file://{tmp_path}/{df.count()}"), clashing(df)).collect()
+        want = Counter()
+        for r in df.collect():
+            for name in ("words", "word_bpe_49k"):
+                want[r["source"], r["lang"], name] += 1
+            want[r["source"], r["lang"]] += plain.words(r["text"])
+        assert {(r["source"], r["lang"], r["tokenizer"]): r["n_docs"] for r in out} == {k: n for k, n in want.items() if len(k) == 3}
+        assert all(r["n_tokens"] == want[r["source"], r["lang"]] for r in out if r["tokenizer"] == "words")
 
 
 def test_rollup_survives_dying_replay_and_second_compaction(spark, tmp_path, monkeypatch):
@@ -373,9 +380,8 @@ def test_token_counts(spark, small):
     want = defaultdict(lambda: [0, 0])
     for r in small:
         for name, n in (("words", plain.words(r["text"])), ("word_bpe_49k", len(coder.encode(r["text"] or "", add_special_tokens=False).ids))):
-            if n:
-                want[r["source"], r["lang"], name][0] += 1
-                want[r["source"], r["lang"], name][1] += n
+            want[r["source"], r["lang"], name][0] += 1
+            want[r["source"], r["lang"], name][1] += n
     out = {(r["source"], r["lang"], r["tokenizer"]): [r["n_docs"], r["n_tokens"]] for r in QUERIES["op8_token_counts"](spark, SF).collect()}
     assert out == dict(want)
 
