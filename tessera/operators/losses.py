@@ -3,11 +3,14 @@ logits / vectors / logged values (the model itself is not run here)."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import dot, l2_normalize, logsumexp
-from tessera.functions.draws import normal
+from tessera.functions.arrays import logsumexp
 
 IGNORE = -100
 
@@ -32,39 +35,55 @@ def interleave(pairs: DataFrame, batch: str, pos: str, v1: str, v2: str) -> Data
 
 
 def contrastive_loss(vectors: DataFrame, temperature: float, cosine: bool = False, batch: str = "batch_id",
-                     negatives: DataFrame | None = None) -> DataFrame:
-    """In-batch contrastive loss per batch: for each of the 2N vectors the
-    NLL of its partner (``i XOR 1``) among the 2N−1 others, mean × 0.5.
-
-    The self-join is on the batch key, so it is bounded by the batch size
-    (a training parameter), never by the data. ``negatives`` (rows
-    ``(batch, vec)``) are appended to every softmax denominator."""
-    v = vectors.withColumn("vec", l2_normalize("vec") if cosine else F.col("vec").cast("array<double>"))
-    a = v.select(batch, F.col("i"), F.col("vec").alias("va"))
-    b = v.select(batch, F.col("i").alias("j"), F.col("vec").alias("vb"))
-    sims = a.join(b, on=batch).filter(F.col("i") != F.col("j")) \
-            .select(batch, "i", "j", (dot("va", "vb") / temperature).alias("s"))
-    if negatives is not None:
-        n = negatives.withColumn("vn", l2_normalize("vec") if cosine else F.col("vec").cast("array<double>"))
-        extra = a.join(n.select(batch, "vn"), on=batch).select(batch, "i", F.lit(-1).alias("j"),
-                                                                (dot("va", "vn") / temperature).alias("s"))
-        sims = sims.unionByName(extra)
-    per_row = sims.groupBy(batch, "i").agg(
-        F.max("s").alias("m"),
-        F.collect_list("s").alias("ss"),
-        F.max(F.when(F.col("j") == F.col("i").bitwiseXOR(F.lit(1)), F.col("s"))).alias("sp"))
-    lse = F.col("m") + F.log(F.aggregate("ss", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("m"))))
-    row_loss = per_row.select(batch, (lse - F.col("sp")).alias("nll"))
-    return row_loss.groupBy(batch).agg((F.avg("nll") * 0.5).alias("loss"), F.count(F.lit(1)).alias("n_vectors"))
-
-
-def random_negatives(batches: DataFrame, batch: str, n_col: str, dim: int, seed: int) -> DataFrame:
-    """``n_col`` standard-normal vectors per batch row (seeded md5 draws,
-    Box-Muller), as rows ``(batch, vec)``."""
-    t = batches.select(batch, F.explode(F.sequence(F.lit(0), F.col(n_col) - 1)).alias("k"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda d: normal(F.lit(seed), F.col(batch), F.col("k"), d))
-    return t.select(batch, vec.alias("vec"))
+                     negatives: float = 0.0, seed: int = 0) -> DataFrame:
+    """In-batch contrastive loss per batch: for each of the 2N vectors ``(batch,
+    i, vec)`` the NLL of its partner (``i XOR 1``) among the 2N−1 others, mean × 0.5.
+
+    One Gram matrix per batch gives all similarities and their log-sum-exp by
+    row, so a batch (a training parameter, not the data, bounds it) is shuffled
+    once and no pair is a row. ``negatives`` random vectors per vector join every
+    denominator; they are drawn again from ``seed`` where they are needed. A
+    vector that is null, or zero under ``cosine``, or has no partner gives no NLL;
+    a batch in which nothing is compared gives no row."""
+    fields = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    rows = vectors.select(batch, F.col(batch).cast("string").alias("name"), F.col("i").cast("long").alias("i"), F.col("vec").cast("array<double>").alias("vec"))
+
+    def loss(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        group = group.sort_by("i")
+        given = [v for v in group["vec"].to_pylist()]
+        norm = [None if v is None or None in v else 1.0 if not cosine else float(np.sqrt(np.square(v).sum())) for v in given]
+        usable = np.array([bool(n) for n in norm], bool)
+        out = {"key": [], "loss": [], "n": []}
+        extra = int(len(given) * negatives)
+        if len(given) > 1 or extra and len(given):
+            name, i = group["name"][0].as_py(), group["i"].to_numpy()[usable]
+            x = np.array([np.asarray(v) / n for v, n in zip(given, norm) if n], float)
+            nll = np.zeros(0)
+            if len(x):
+                sims = x @ x.T / temperature
+                np.fill_diagonal(sims, -np.inf)
+                if extra:
+                    drawn = normal_vectors(seed, name, extra, x.shape[1])
+                    drawn = drawn / np.sqrt(np.square(drawn).sum(axis=1, keepdims=True)) if cosine else drawn
+                    sims = np.hstack([sims, x @ drawn.T / temperature])
+                top = sims.max(axis=1)
+                at = np.minimum(np.searchsorted(i, i ^ 1), len(i) - 1)
+                paired = (i[at] == i ^ 1) & np.isfinite(top)
+                with np.errstate(invalid="ignore"):
+                    nll = (top + np.log(np.exp(sims - top[:, None]).sum(axis=1)) - sims[np.arange(len(i)), at])[paired]
+            out = {"key": [key[0].as_py()], "loss": [float(nll.mean() * 0.5) if len(nll) else None], "n": [len(given)]}
+        return pa.table([pa.array(out["key"], key[0].type), pa.array(out["loss"], pa.float64()), pa.array(out["n"], pa.int64())], names=[batch, "loss", "n_vectors"])
+
+    return rows.groupBy(batch).applyInArrow(loss, f"`{batch}` {fields[batch]}, loss double, n_vectors long")
+
+
+def normal_vectors(seed: int, name: str, count: int, dim: int) -> np.ndarray:
+    """Standard-normal vectors of a batch (md5 draws keyed by seed, batch,
+    number and dimension; Box-Muller): the numbers of :func:`draws.normal`."""
+    def draws(tag):
+        return np.array([int(hashlib.md5(f"{seed}:{name}:{k}:{d}:{tag}".encode()).hexdigest()[:8], 16)
+                         for k in range(count) for d in range(dim)], float).reshape(count, dim) / 2.0 ** 32
+    return np.sqrt(-2.0 * np.log(1.0 - draws("n1"))) * np.cos(2 * np.pi * draws("n2"))
 
 
 def total_loss(steps: DataFrame, use_lm: bool = True, use_contrastive: bool = True, use_tlm: bool = True,

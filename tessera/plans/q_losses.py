@@ -12,15 +12,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.arrays import sql_dot
+from tessera.functions.arrays import sql_dot, sql_l2_normalize
 from tessera.functions.draws import sql_key, sql_uniform, uniform
 from tessera.operators.losses import (contrastive_loss, interleave, log_interval_losses, masked_nll,
-                                      random_negatives, rank_mean, total_loss)
+                                      rank_mean, total_loss)
 from tessera.plans.q_retrieval import SQL_SIDES, sources, targets
 from tessera.plans.registry import register, table
 
 MLM_SEED, MASK_P, N_POS, VOCAB = 23, 0.15, 8, 8
-PAIRS_PER_BATCH, TEMPERATURE, NEG_SEED = 10, 0.1, 29
+PAIRS_PER_BATCH, TEMPERATURE, NEG_SEED, NEGATIVES = 10, 0.1, 29, 1.5
 EPOCH0 = 1704067200  # 2024-01-01T00:00:00Z
 RANKS, LOG_EVERY, TCM_WEIGHT = 4, 24, 0.5
 # Event type → loss component of the training log derivation.
@@ -67,31 +67,45 @@ def q_contrastive(spark, sf):
     return r.select("batch_id", F.round("loss", 6).alias("loss"), "n_vectors")
 
 
-register("contrastive_loss", f"""
-WITH {SQL_SIDES},
+_SQL_PV = f"""{SQL_SIDES},
 pv AS (SELECT CAST(x.idx // {PAIRS_PER_BATCH} AS BIGINT) AS batch_id, 2 * (x.idx % {PAIRS_PER_BATCH}) AS i, x.vec
        FROM x JOIN y ON x.idx = y.idx
        UNION ALL
        SELECT CAST(y.idx // {PAIRS_PER_BATCH} AS BIGINT), 2 * (y.idx % {PAIRS_PER_BATCH}) + 1, y.vec
-       FROM y JOIN x ON x.idx = y.idx),
-sim AS (SELECT a.batch_id, a.i, b.i AS j, {sql_dot('a.vec', 'b.vec')} / {TEMPERATURE} AS s
-      FROM pv a JOIN pv b ON a.batch_id = b.batch_id AND a.i <> b.i),
-r AS (SELECT batch_id, i, max(s) AS m, max(CASE WHEN j = xor(i, 1) THEN s END) AS sp, list(s) AS ss
+       FROM y JOIN x ON x.idx = y.idx)"""
+_SQL_LOSS = """r AS (SELECT batch_id, i, max(s) AS m, max(CASE WHEN j = xor(i, 1) THEN s END) AS sp, list(s) AS ss
       FROM sim GROUP BY batch_id, i),
 l AS (SELECT batch_id, m + ln(list_sum(list_transform(ss, lambda v: exp(v - m)))) - sp AS nll FROM r)
-SELECT batch_id, round(avg(nll) * 0.5, 6) AS loss, count(*) AS n_vectors FROM l GROUP BY batch_id""")(q_contrastive)
+SELECT batch_id, round(avg(nll) * 0.5, 6) AS loss, count(*) AS n_vectors FROM l GROUP BY batch_id"""
+
+register("contrastive_loss", f"""
+WITH {_SQL_PV},
+sim AS (SELECT a.batch_id, a.i, b.i AS j, {sql_dot('a.vec', 'b.vec')} / {TEMPERATURE} AS s
+      FROM pv a JOIN pv b ON a.batch_id = b.batch_id AND a.i <> b.i),
+{_SQL_LOSS}""")(q_contrastive)
 
 
 def q_contrastive_smooth(spark, sf):
-    v = contrastive_vectors(spark, sf)
-    b = v.groupBy("batch_id").agg((F.count(F.lit(1)) / 2 * 3).cast("int").alias("n_neg"))
-    dim = len(table(spark, sf, "embeddings").select("embedding").first()[0])
-    neg = random_negatives(b, "batch_id", "n_neg", dim, NEG_SEED)
-    r = contrastive_loss(v, TEMPERATURE, cosine=True, negatives=neg)
+    r = contrastive_loss(contrastive_vectors(spark, sf), TEMPERATURE, cosine=True, negatives=NEGATIVES, seed=NEG_SEED)
     return r.select("batch_id", F.round("loss", 6).alias("loss"), "n_vectors")
 
 
-register("contrastive_smooth")(q_contrastive_smooth)
+def _sql_normal():
+    u1, u2 = (sql_uniform(sql_key(str(NEG_SEED), "batch_id", "k", "d", repr(t))) for t in ("n1", "n2"))
+    return f"sqrt(-2.0 * ln(1.0 - {u1})) * cos(2 * pi() * {u2})"
+
+
+register("contrastive_smooth", f"""
+WITH {_SQL_PV},
+pn AS MATERIALIZED (SELECT batch_id, i, {sql_l2_normalize('vec')} AS vec FROM pv),
+nb AS (SELECT batch_id, CAST(floor(count(*) * {NEGATIVES}) AS BIGINT) AS n, any_value(len(vec)) AS dim FROM pn GROUP BY batch_id),
+nk AS (SELECT batch_id, dim, unnest(range(n)) AS k FROM nb),
+nv AS (SELECT batch_id, k, list_transform(range(dim), lambda d: {_sql_normal()}) AS raw FROM nk),
+ng AS MATERIALIZED (SELECT batch_id, k, {sql_l2_normalize('raw')} AS vec FROM nv),
+sim AS (SELECT a.batch_id, a.i, b.i AS j, {sql_dot('a.vec', 'b.vec')} / {TEMPERATURE} AS s
+        FROM pn a JOIN pn b ON a.batch_id = b.batch_id AND a.i <> b.i
+        UNION ALL SELECT a.batch_id, a.i, -1, {sql_dot('a.vec', 'b.vec')} / {TEMPERATURE} FROM pn a JOIN ng b ON a.batch_id = b.batch_id),
+{_SQL_LOSS}""")(q_contrastive_smooth)
 
 
 def loss_log(spark, sf):
