@@ -29,6 +29,7 @@ memory is therefore bounded whatever the input size.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -168,6 +169,39 @@ def topk_neighbours(queries: DataFrame, sources: DataFrame, k: int = 10, *,
                     "neighbour_idx", F.round("dist", 6).alias("distance")))
 
 
+def write_source_index(sources: DataFrame, path: str, *, key: str = "idx", vec: str = "vec", block_rows: int = 4096) -> DataFrame:
+    """Sources written once as a table bucketed by block (``block, idx, vec``;
+    about ``block_rows`` rows per block), which later searches read without an
+    exchange. ``path`` is a folder in shared storage; vectors that are null are
+    left out."""
+    spark = sources.sparkSession
+    rows = sources.filter(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("idx"), F.col(vec).cast("array<double>").alias("vec"))
+    blocks = max(1, math.ceil(rows.count() / block_rows))          # ids 0 to blocks - 1
+    name = "source_index_" + uuid.uuid4().hex[:12]
+    rows.withColumn("block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int")).repartition(blocks, "block") \
+        .write.bucketBy(blocks, "block").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def topk_indexed(queries: DataFrame, index: DataFrame, k: int = 10, *, key: str = "idx", vec: str = "vec") -> DataFrame:
+    """The rows of :func:`topk_neighbours` (without groups) against a source
+    index: queries are copied to the blocks, the sources stay where they are.
+    The caller bounds the queries of one call (a micro-batch)."""
+    last = index.agg(F.max("block")).first()[0]
+    asked = queries.filter(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("idx"), F.col(vec).cast("array<double>").alias("vec"))
+    spread = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last or 0))))
+    search = _local_topk_fn(k, [])
+
+    def met(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        return search(pd.concat([mine.assign(side=0), theirs.assign(side=1)], ignore_index=True))
+
+    local = index.groupBy("block").cogroup(spread.groupBy("block")).applyInPandas(
+        met, "query_idx long, neighbour_idx long, dist double, dist9 double")
+    w = Window.partitionBy("query_idx").orderBy("dist9", "neighbour_idx")
+    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
+                .select("query_idx", F.col("rank").cast("int").alias("rank"), "neighbour_idx", F.round("dist", 6).alias("distance"))
+
+
 def topk_neighbours_sql(queries: DataFrame, sources: DataFrame, k: int = 10, *,
                         key: str = "idx", vec: str = "vec",
                         group_cols: list[str] | None = None) -> DataFrame:

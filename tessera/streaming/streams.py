@@ -11,8 +11,8 @@ and stream compute the same thing:
   order, whatever the arrival order within the watermark
   (``applyInPandasWithState``: state = best, misses, evaluations seen and
   the evaluations the watermark has not passed yet);
-* :func:`start_topk_stream` — new queries scored against a static source
-  table in every micro-batch with the batch top-k;
+* :func:`start_topk_stream` — new queries scored against a source index,
+  written once, in every micro-batch;
 * :func:`dedup_stream` — exact-duplicate suppression within the watermark.
 
 Sinks are files under the shared checkpoint folder (never the driver's
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.operators.pairs import make_pairs, valid_pairs
-from tessera.operators.retrieval import topk_neighbours
+from tessera.operators.retrieval import topk_indexed, write_source_index
 from tessera.session import checkpoint_dir
 from tessera.sources.lines import lines_of
 
@@ -119,15 +119,16 @@ def run_to_files(stream: DataFrame, out: str, mode: str = "append") -> str:
     return out
 
 
-def start_topk_stream(queries: DataFrame, sources: DataFrame, k: int, out: str, **kw) -> str:
+def start_topk_stream(queries: DataFrame, sources: DataFrame, k: int, out: str, block_rows: int = 4096) -> str:
     """Score every micro-batch of new queries against the static sources with
-    the exact batch top-k. Each micro-batch overwrites its own
-    ``batch_id=<n>`` folder, so a retried batch replaces rather than
-    duplicates its output (idempotent sink)."""
+    the exact top-k. The sources are indexed once, before the first
+    micro-batch, and every micro-batch reads the index by block. Each
+    micro-batch overwrites its own ``batch_id=<n>`` folder, so a retried batch
+    replaces rather than duplicates its output (idempotent sink)."""
+    index = write_source_index(sources, out + "-index", block_rows=block_rows)
+
     def each(batch: DataFrame, batch_id: int):
-        if batch.isEmpty():
-            return
-        topk_neighbours(batch, sources, k, **kw).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        topk_indexed(batch, index, k).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (queries.writeStream.foreachBatch(each).option("checkpointLocation", out + "-ckpt")
          .trigger(availableNow=True).start())
