@@ -37,6 +37,7 @@ from tessera.operators.vocab import (BOS_ID, EOS_ID, PAD_ID, UNK, UNK_ID, build_
 from tessera.plans.registry import register, table
 from tessera.session import checkpoint_dir
 from tessera.sources.lines import file_value, read_lines, write_line_files
+from tessera.sources.stores import cached_features
 
 TAG_MAX_LEN, PIECE_LEN, SPECIAL = 256, 4, 3
 BUDGET = TAG_MAX_LEN - SPECIAL
@@ -508,14 +509,21 @@ WHERE lang IN ({", ".join(repr(x) for x in UNION_LANGS)}) GROUP BY lang""")(q_la
 
 
 def q_feature_cache(spark, sf):
-    """Features written partitioned by (mode, lang) with dynamic partition
-    overwrite, then read back with partition pruning on one language."""
-    f = features(spark, sf).withColumn("mode", F.lit("test"))
+    """Features cached by (mode, lang, model, max_len): the first request builds
+    one language, the second all others, the third reads what lies there."""
     path = os.path.join(checkpoint_dir(spark), "tables", f"features-{uuid.uuid4().hex[:12]}")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    f.write.mode("overwrite").partitionBy("mode", "lang").parquet(path)
-    back = spark.read.parquet(path)
-    return back.filter((F.col("mode") == "test") & (F.col("lang") == "en")).select("guid", "input_ids", "label_ids")
+    langs = table(spark, sf, "documents").select("lang").distinct()
+    wanted = langs.select(F.lit("test").alias("mode"), "lang", F.lit("pieces-4").alias("model"), F.lit(TAG_MAX_LEN).alias("max_len"))
+
+    def build(keys):
+        f = features(spark, sf)
+        keys = keys.withColumnRenamed("lang", "wanted_lang")
+        return f.join(keys, f["lang"].eqNullSafe(keys["wanted_lang"])).drop("wanted_lang")
+
+    english = wanted.filter(F.col("lang") == "en")
+    for some in (english, wanted):
+        cached_features(spark, path, some, build)
+    return cached_features(spark, path, english, build).select("guid", "input_ids", "label_ids")
 
 
 register("feature_cache", f"""WITH RECURSIVE {SQL_FEAT}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.retrieval import topk_neighbours
 from tessera.operators.runs import best_run, training_run_name
-from tessera.sources.stores import (cached_tokens, layers_complete, read_layer, store_exists, write_layers,
+from tessera.sources.stores import (cached_features, cached_tokens, layers_complete, read_layer, store_exists, write_layers,
                                     write_predictions)
 
 
@@ -72,3 +72,30 @@ def test_training_run_name(spark):
     got = [r[0] for r in df.select(training_run_name(F.lit("out"), *[F.col(c) for c in cols])).collect()]
     assert got == ["out_pairs_with_latin_TCM_with_latn_cls_weight_0.5_cosine_0.25",
                    "out_plain_TLM_no_lm_tlm_smoothed_reset_pos", "out_plain_TCM_no_contrast"]
+
+
+def test_feature_cache_builds_only_missing_partitions(spark, tmp_path):
+    path, built = str(tmp_path / "features"), []
+
+    def keys(*langs, max_len=8):
+        return spark.createDataFrame([("test", lang, "m", max_len) for lang in langs], "mode string, lang string, model string, max_len int")
+
+    def build(missing):
+        built.append(sorted((r["lang"] or "", r["max_len"]) for r in missing.collect()))
+        rows = missing.filter("lang is null or lang <> 'none'")
+        return rows.withColumn("ids", F.array(F.lit(len(built)), F.length(F.coalesce("lang", F.lit("")))))
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "features" / "data").rglob("*.parquet")}
+
+    def read(wanted, **kw):
+        return sorted((r["lang"] or "", r["max_len"], list(r["ids"])) for r in cached_features(spark, path, wanted, build, **kw).collect())
+
+    assert read(keys("en", "de", None)) == [("", 8, [1, 0]), ("de", 8, [1, 2]), ("en", 8, [1, 2])]
+    first = files()
+    assert read(keys("en", None)) == [("", 8, [1, 0]), ("en", 8, [1, 2])] and files() == first and len(built) == 1
+    assert read(keys("en", "fr")) == [("en", 8, [1, 2]), ("fr", 8, [2, 2])] and built[1] == [("fr", 8)]
+    added = set(files()) - set(first)
+    assert all("lang=fr" in str(p) for p in added) and {p: t for p, t in files().items() if p in first} == first
+    assert read(keys("en", max_len=16)) == [("en", 16, [3, 2])] and read(keys("none")) == [] and read(keys("none")) == [] and len(built) == 4
+    assert read(keys("en"), overwrite=True) == [("en", 8, [5, 2])] and read(keys("de")) == [("de", 8, [1, 2])]
