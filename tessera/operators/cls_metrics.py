@@ -42,15 +42,15 @@ def parse_topics_header(lines: DataFrame, file_cols: list[str], header_col: str
     parts = F.split(F.col(text_col), "\t", -1)
     hdr = lines.filter(F.col(header_col)).select(*file_cols, parts.alias("__h"))
     rows = lines.filter(~F.col(header_col)).select(*file_cols, parts.alias("__p"))
-    j = rows.join(F.broadcast(hdr), on=file_cols)
+    j = rows.join(hdr, on=file_cols)
     return j.select(*file_cols, *[F.get(F.col("__p"), F.array_position("__h", w).cast("int") - 1).alias(w)
                                   for w in wanted])
 
 
 def map_labels(df: DataFrame, mapping: DataFrame, label_col: str = "label") -> DataFrame:
-    """Topic name → class id by the (small, broadcast) value map; unmapped
+    """Topic name → class id by the value map; unmapped
     names pass through with a null id and ``mapped = false``."""
-    m = F.broadcast(mapping.select(F.col("label").alias("__l"), F.col("label_id")))
+    m = mapping.select(F.col("label").alias("__l"), F.col("label_id"))
     j = df.join(m, df[label_col] == m["__l"], "left").drop("__l")
     return j.withColumn("mapped", F.col("label_id").isNotNull())
 

@@ -81,7 +81,7 @@ def resolve_parallel(langs: DataFrame, files: DataFrame, task: str, tgt: str,
     r = langs.filter(F.col("lang") != F.lit(tgt)).select(
         F.col("lang").alias("src_lang"), F.lit(tgt).alias("tgt_lang"), src_file.alias("src_file"),
         tgt_file.alias("tgt_file"))
-    f = F.broadcast(files.select(F.col("file_name")).distinct())
+    f = files.select(F.col("file_name")).distinct()
     r = r.join(f.withColumnRenamed("file_name", "src_file"), on="src_file", how="left_semi")
     return r.join(f.withColumnRenamed("file_name", "tgt_file"), on="tgt_file", how="left_semi")
 
@@ -119,7 +119,7 @@ def running_max(df: DataFrame, part: str, order: str, value, out: str, inclusive
     blocks = blocks.select(part, "__b", F.max("__bm").over(wb).alias("__prev"))
     wi = Window.partitionBy(part, "__b").orderBy(order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    j = d.join(F.broadcast(blocks), on=[part, "__b"], how="left")
+    j = d.join(blocks, on=[part, "__b"], how="left")
     inner = F.max("__v").over(wi)
     res = F.when(F.col("__prev").isNull(), inner).when(inner.isNull(), F.col("__prev")) \
            .otherwise(F.greatest(F.col("__prev"), inner))
@@ -129,11 +129,11 @@ def running_max(df: DataFrame, part: str, order: str, value, out: str, inclusive
 def sequence_numbers(df: DataFrame, part: str, order: list, out: str = "eval_no") -> DataFrame:
     """1-based position within ``part`` in ``order`` without a per-key
     window: global row numbers (range-partitioned sort) minus each key's
-    first row number (a partial aggregate over keys, broadcast back)."""
+    first row number (a partial aggregate over keys, joined back)."""
     from tessera.operators.batching import row_numbers
     r = row_numbers(df, [F.col(part)] + list(order), out="__rn")
     first = r.groupBy(part).agg(F.min("__rn").alias("__first"))
-    return r.join(F.broadcast(first), on=part).withColumn(out, (F.col("__rn") - F.col("__first") + 1)) \
+    return r.join(first, on=part).withColumn(out, (F.col("__rn") - F.col("__first") + 1)) \
             .drop("__rn", "__first")
 
 

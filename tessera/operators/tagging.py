@@ -50,7 +50,7 @@ def sentence_ids(df: DataFrame, file_cols: list[str], order_col: str = "line_no"
     wb = Window.partitionBy(*file_cols).orderBy(block_col).rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select(*file_cols, block_col, F.coalesce(F.sum("__b").over(wb), F.lit(0)).alias("__off"))
     w = Window.partitionBy(*file_cols, block_col).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return (df.join(F.broadcast(offs), on=file_cols + [block_col])
+    return (df.join(offs, on=file_cols + [block_col])
             .withColumn(out, (F.col("__off") + F.sum(flag).over(w) - flag).cast("long")).drop("__off"))
 
 
@@ -196,10 +196,10 @@ def realign(frag_preds: DataFrame, packed: DataFrame, keys: list[str]) -> DataFr
 def lang_ids(df: DataFrame, lang2id: DataFrame | None, lang_col: str = "lang",
              default_lang: str = "en") -> DataFrame:
     """Language id with the default language's id as fallback; 0 when no
-    map is given. The map is a small dimension table (broadcast)."""
+    map is given."""
     if lang2id is None:
         return df.withColumn("lang_id", F.lit(0))
-    m = F.broadcast(lang2id.select(F.col("lang").alias("__l"), F.col("lang_id").alias("__id")))
+    m = lang2id.select(F.col("lang").alias("__l"), F.col("lang_id").alias("__id"))
     d = lang2id.filter(F.col("lang") == default_lang).select("lang_id").first()
     dflt = F.lit(int(d[0]) if d is not None else 0)
     j = df.join(m, df[lang_col] == m["__l"], "left")

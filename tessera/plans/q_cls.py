@@ -8,14 +8,18 @@ files the topic tasks read (see :func:`topic_lines6` / :func:`topic_lines7`).
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import argmax, sql_argmax
-from tessera.functions.text import prefix_before
 from tessera.operators.cls_metrics import (TOPICS_6, TOPICS_7, accuracy, batch_macro_f1, batch_mean_loss,
                                            macro_f1, map_labels, parse_topics_header, parse_topics_headerless,
                                            topic_map)
 from tessera.plans.registry import register, table
+from tessera.session import checkpoint_dir
+from tessera.sources.lines import discover_langs, file_value, list_files, write_line_files
 
 N_CLASSES, CLS_BATCH = 64, 32    # every dimension is a class
 
@@ -133,10 +137,14 @@ SELECT source, {_T7}[doc_id % 7 + 1] AS category, unnest(string_split(text, chr(
 
 
 def q_discover_langs(spark, sf):
-    d = table(spark, sf, "documents")
-    files = d.select(F.concat(F.col("lang"), F.lit("_"), F.col("source"), F.lit(".tsv")).alias("file_name"))
-    return files.select(prefix_before("file_name", "_").alias("lang")).distinct()
+    """Documents written as one text file per language and source; the languages
+    come from the paths of the files that are there."""
+    d = table(spark, sf, "documents").withColumn("file_name", F.concat(F.col("lang"), F.lit("_"), F.col("source")))
+    path = os.path.join(checkpoint_dir(spark), "tables", f"topics-{uuid.uuid4().hex[:12]}")
+    write_line_files(d, path, "file_name", ["doc_id"])
+    files = list_files(spark, path, "*.txt")
+    return discover_langs(files.withColumn("file_name", file_value("file_name")))
 
 
 register("discover_langs", """
-SELECT DISTINCT split_part(lang || '_' || source || '.tsv', '_', 1) AS lang FROM documents""")(q_discover_langs)
+SELECT DISTINCT split_part(lang || '_' || source, '_', 1) AS lang FROM documents""")(q_discover_langs)

@@ -31,7 +31,7 @@ from tessera.operators.tagging import (IGNORE, align_labels, assemble_sentences,
                                        feature_labels,
                                        few_shot, guid, id_map, label_map, label_vocab, lang_ids,
                                        read_tagged, read_tokenized, realign, sentence_ids, tag_features,
-                                       unk_tokens, union_langs)
+                                       unk_tokens)
 from tessera.operators.vocab import (BOS_ID, EOS_ID, PAD_ID, UNK, UNK_ID, build_vocab, encode_word_arrays,
                                      sql_piece_count, sql_vocab, sql_word_pieces)
 from tessera.plans.registry import register, table
@@ -46,7 +46,6 @@ VOCAB_SIZE = 2000
 FLIP_P, PRED_SEED, SPLIT_SEED, FEW_SHOT_N = 0.2, 17, 19, 50
 LANG2ID = [("de", 0), ("en", 1), ("es", 2)]
 REPORT_LANGS = ["de", "en", "es", "fr", "xx"]
-UNION_LANGS = ["de", "en", "es", "fr"]
 
 
 def _gold(w):
@@ -78,8 +77,8 @@ def tag_lines(spark, sf):
             .withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def tag_tokens(spark, sf):
-    t = sentence_ids(read_tagged(tag_lines(spark, sf), "O"), ["doc_id"])
+def tag_tokens(spark, sf, default="O"):
+    t = sentence_ids(read_tagged(tag_lines(spark, sf), default), ["doc_id"])
     return t.filter(~F.col("is_blank")).select("doc_id", "lang", "line_no", "sent_no", "token", "label")
 
 
@@ -91,10 +90,10 @@ class Ctx:
     the shared folder, and the label and piece vocabularies are derived
     from it, so driver-side lookups never re-run the text pipeline."""
 
-    def __init__(self, spark, sf):
+    def __init__(self, spark, sf, default="O"):
         checkpoint_dir(spark)
         self.spark, self.sf = spark, sf
-        t = tag_tokens(spark, sf).withColumn("orig_token", F.col("token"))
+        t = tag_tokens(spark, sf, default).withColumn("orig_token", F.col("token"))
         u = unk_tokens(t, TAG_MAX_LEN, PIECE_LEN, SPECIAL)
         self.packed = pack_fragments(u, ["doc_id", "lang", "sent_no"], BUDGET,
                                      carry=["token", "label", "orig_token"]).checkpoint(eager=True)
@@ -270,7 +269,7 @@ SELECT guid, label_ids, piece_labels FROM al2""")(
     lambda spark, sf: aligned(spark, sf).select("guid", "label_ids", "piece_labels"))
 
 
-def features(spark, sf, ctx=None):
+def features(spark, sf, ctx=None, **layout):
     ctx = ctx or Ctx(spark, sf)
     a = aligned(spark, sf, ctx)
     vocab = build_vocab(ctx.tokens.select("token"), "token", VOCAB_SIZE, PIECE_LEN, pre_split=True)
@@ -278,7 +277,7 @@ def features(spark, sf, ctx=None):
     m = spark.createDataFrame(LANG2ID, "lang string, lang_id int")
     pcs = lang_ids(pcs, m)
     return pcs.select("guid", "doc_id", "lang", "sent_no", "frag", "words", "labels",
-                      *tag_features(F.col("piece_ids"), F.col("piece_labels"), F.col("lang_id"), TAG_MAX_LEN))
+                      *tag_features(F.col("piece_ids"), F.col("piece_labels"), F.col("lang_id"), TAG_MAX_LEN, **layout))
 
 
 _WP = sql_word_pieces("w", PIECE_LEN)
@@ -312,6 +311,28 @@ SELECT guid, input_ids, input_mask, segment_ids, label_ids, langs FROM feat""")(
                                                  "langs"))
 
 
+def q_tag_features_pos(spark, sf):
+    """Part-of-speech tagging: a missing label is ``X``; one separator, the start
+    token last, padding on the left."""
+    f = features(spark, sf, Ctx(spark, sf, "X"), sep_token_extra=False, cls_at_end=True, pad_on_left=True)
+    return f.select("guid", "input_ids", "input_mask", "segment_ids", "label_ids", "langs")
+
+
+def _sql_left(a, v):
+    return f"list_concat(list_transform(range(greatest({TAG_MAX_LEN} - len({a}), 0)), lambda q: {v}), {a})"
+
+
+_POS = SQL_FEAT.replace("WHEN len(items) > 0 THEN 'O' END AS label", "WHEN len(items) > 0 THEN 'X' END AS label")
+register("tag_features_pos", f"""WITH RECURSIVE {_POS},
+fy AS (SELECT guid, lang_id, list_concat(piece_ids[1:{TAG_MAX_LEN - 2}], [{EOS_ID}, {BOS_ID}]) AS ids,
+              list_concat(piece_labels[1:{TAG_MAX_LEN - 2}], [{IGNORE}, {IGNORE}]) AS labs FROM fx)
+SELECT guid, {_sql_left('ids', PAD_ID)} AS input_ids,
+       {_sql_left('list_transform(ids, lambda q: 1)', 0)} AS input_mask,
+       {_sql_left('list_transform(ids, lambda q: 0)', 0)} AS segment_ids,
+       {_sql_left('labs', IGNORE)} AS label_ids, list_transform(range({TAG_MAX_LEN}), lambda q: lang_id) AS langs
+FROM fy""")(q_tag_features_pos)
+
+
 # ----- predictions, decoding, spans, realignment ----------------------------
 def decoded(spark, sf, ctx=None):
     ctx = ctx or Ctx(spark, sf)
@@ -497,15 +518,13 @@ SELECT guid, ord FROM tr WHERE ord < {FEW_SHOT_N}""")(q_few_shot)
 
 
 def q_lang_union(spark, sf):
-    s = sentences(spark, sf)
-    u = union_langs({lg: s.filter(F.col("lang") == lg).drop("lang") for lg in UNION_LANGS})
-    return u.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sentences"),
-                                 F.sum(F.size("words")).alias("n_tokens"))
+    """All languages that the data have, read once; a null language is kept."""
+    return sentences(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n_sentences"),
+                                                    F.sum(F.size("words")).alias("n_tokens"))
 
 
 register("lang_union", f"""WITH RECURSIVE {SQL_SENT}
-SELECT lang, count(*) AS n_sentences, sum(len(words)) AS n_tokens FROM sg
-WHERE lang IN ({", ".join(repr(x) for x in UNION_LANGS)}) GROUP BY lang""")(q_lang_union)
+SELECT lang, count(*) AS n_sentences, sum(len(words)) AS n_tokens FROM sg GROUP BY lang""")(q_lang_union)
 
 
 def q_feature_cache(spark, sf):

@@ -41,19 +41,22 @@ def get_spark(master: str | None = None, app: str = "tessera",
     return spark
 
 
+_OWN: dict[str, str] = {}        # folders of local sessions that name none, by application
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting must point at shared storage and is required;
-    only a local session (one machine, as in tests) gets a folder of our own.
+    only a local session without it (one machine, as in tests) gets a folder of
+    our own, which is not written to the session's settings.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d and not spark.sparkContext.master.startswith("local"):
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(sc.applicationId)
+    if not d and not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
-        d = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    sc = spark.sparkContext
+        d = _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="tessera-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d

@@ -107,6 +107,20 @@ def write_line_files(df: DataFrame, path: str, file_col: str, order: list[str],
     rows.select(F.col(file_col), F.coalesce(F.col(text), F.lit("")).alias("value")).write.partitionBy(file_col).text(path)
 
 
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``(file, file_name, length)`` of all files below ``path`` whose name
+    matches the glob ``pattern``, on any file system Spark reads: a metadata scan
+    that opens no file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select(F.col("path").alias("file"), F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"), "length")
+
+
+def discover_langs(files: DataFrame) -> DataFrame:
+    """Distinct language codes of listed files: the part of a name before its
+    first ``_``."""
+    return files.select(F.substring_index("file_name", "_", 1).alias("lang")).distinct()
+
+
 def file_value(file_col: str):
     """The value of ``file_col`` that :func:`write_line_files` put in the path."""
     return F.regexp_extract("file", f"/{file_col}=([^/]+)/", 1)

@@ -5,7 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tessera.operators.tagging import read_tokenized
-from tessera.sources.lines import read_lines, read_parallel, write_line_files
+from tessera.sources.lines import discover_langs, list_files, read_lines, read_parallel, write_line_files
 
 
 def test_unicode_breaks_across_blocks_equal_splitlines(spark):
@@ -60,3 +60,16 @@ def test_empty_folder_of_lines(spark):
     d = tempfile.mkdtemp()
     open(os.path.join(d, "e.txt"), "w").close()
     assert read_lines(spark, d).count() == 0 and read_lines(spark, d, unicode_breaks=True).count() == 0
+
+
+def test_discovery_lists_files_and_names_each_language_once(spark):
+    d = tempfile.mkdtemp()
+    os.mkdir(os.path.join(d, "deep"))
+    names = ["en_a.tsv", "en_b.tsv", "deu_Latn_a.tsv", "deep/fr_x.tsv", "en_notes.md"]
+    for i, name in enumerate(names):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("x" * (i + 1))
+    files = list_files(spark, d, "*.tsv")
+    assert {(r["file_name"], r["length"]) for r in files.collect()} == {(os.path.basename(n), i + 1) for i, n in enumerate(names[:4])}
+    assert sorted(r["lang"] for r in discover_langs(files).collect()) == ["deu", "en", "fr"]
+    assert "content" not in files._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]

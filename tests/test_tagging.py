@@ -103,3 +103,11 @@ def test_unknown_token_is_one_piece_with_its_own_id(spark):
     short = spark.createDataFrame([(1, 0, ["O", "O", "B"])], "s int, frag int, preds array<string>")
     row = realign(short, packed, ["s"]).collect()[0]
     assert row["tokens"] == [UNK, "abcd", UNK, "efgh", UNK] and row["preds"] == ["O", "O", "B", None, None]
+
+
+def test_union_of_language_tables_by_name(spark):
+    from tessera.operators.tagging import union_langs
+    a = spark.createDataFrame([(1, "x")], "k int, w string")
+    b = spark.createDataFrame([("y", 2, None)], "w string, k int, lang string")
+    got = sorted(map(str, (tuple(r) for r in union_langs({"en": a, "de": b}).select("lang", "k", "w").collect())))
+    assert got == ["('en', 1, 'x')", "(None, 2, 'y')"]
