@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import pad_fixed
 from tessera.functions.draws import coin, uniform
 from tessera.operators.vocab import BOS_ID, EOS_ID, MASK_ID, PAD_ID
 
@@ -40,6 +41,19 @@ def pair_encode(df: DataFrame, keys: list[str], ids_1: Column, ids_2: Column, ma
     return df.select(*keys, *encode_side(ids_1, max_len, "1"), *encode_side(ids_2, max_len, "2"))
 
 
+def as_text(text: Column) -> Column:
+    """Text as the topic tasks read it: a missing value is the text ``nan``."""
+    return F.coalesce(text, F.lit("nan"))
+
+
+def topic_encode(ids: Column, length: int) -> list[Column]:
+    """Model inputs of a topic row, exactly ``length`` long: special tokens,
+    truncation, padding on the right, and the attention mask."""
+    full = add_special(ids, length)
+    return [pad_fixed(full, length, PAD_ID).alias(f"input_ids_{length}"),
+            pad_fixed(F.array_repeat(F.lit(1), F.size(full)), length, 0).alias(f"attention_mask_{length}")]
+
+
 def tlm_concat(df: DataFrame, keys: list[str], max_len: int, seed: int,
                reset_position_ids: bool = False) -> DataFrame:
     """Translation-LM input: per pair a coin picks the order; the second

@@ -17,8 +17,11 @@ from tessera.functions.arrays import argmax, sql_argmax
 from tessera.operators.cls_metrics import (TOPICS_6, TOPICS_7, accuracy, batch_macro_f1, batch_mean_loss,
                                            macro_f1, map_labels, parse_topics_header, parse_topics_headerless,
                                            topic_map)
+from tessera.operators.encode import as_text, topic_encode
+from tessera.operators.vocab import BOS_ID, EOS_ID, PAD_ID, UNK_ID, build_vocab, encode_texts, sql_text_pieces, sql_vocab
+from tessera.plans.q_encode import PIECE_LEN, VOCAB_SIZE
 from tessera.plans.registry import register, table
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, stage_table
 from tessera.sources.lines import discover_langs, file_value, list_files, write_line_files
 
 N_CLASSES, CLS_BATCH = 64, 32    # every dimension is a class
@@ -117,6 +120,34 @@ SELECT id, label, m.label_id, m.label_id IS NOT NULL AS mapped FROM t6 LEFT JOIN
     .select("id", "label", "label_id", "mapped"))
 
 
+TOPIC_LENGTHS = (100, 160)
+
+
+def q_topic_encode(spark, sf):
+    """Verses encoded to both fixed lengths of the topic tasks, with the class id;
+    the vocabulary is that of the verses."""
+    t = parse_topics_headerless(topic_lines6(spark, sf)).select("id", "label", as_text(F.col("verse")).alias("verse"))
+    t = stage_table(map_labels(t, topic_map(spark, TOPICS_6)).select("id", "label_id", "verse"), "topics")
+    e = encode_texts(t, build_vocab(t, "verse", VOCAB_SIZE, PIECE_LEN), {"ids": "verse"}, PIECE_LEN)
+    return e.select("id", "label_id", *[c for n in TOPIC_LENGTHS for c in topic_encode(F.col("ids"), n)])
+
+
+def _sql_topic(n):
+    full = f"list_concat([{BOS_ID}], ids[1:{n - 2}], [{EOS_ID}])"
+    pad = lambda a, v: f"list_concat({a}, list_transform(range(greatest({n} - len({a}), 0)), lambda z: {v}))"
+    ones = f"list_transform({full}, lambda x: 1)"
+    return f"{pad(full, PAD_ID)} AS input_ids_{n}, {pad(ones, 0)} AS attention_mask_{n}"
+
+
+register("topic_encode", f"""WITH {SQL_T6}, m AS ({_M6}),
+{sql_vocab("t6", "verse", VOCAB_SIZE, PIECE_LEN).lstrip()},
+tr AS MATERIALIZED (SELECT *, row_number() OVER () AS rn FROM t6),
+tx AS (SELECT rn, unnest(range(len(pc))) AS pos, unnest(pc) AS piece FROM (SELECT rn, {sql_text_pieces('verse', PIECE_LEN)} AS pc FROM tr)),
+ti AS (SELECT rn, list(coalesce(vocab.piece_id, {UNK_ID}) ORDER BY pos) AS ids FROM tx LEFT JOIN vocab ON vocab.piece = tx.piece GROUP BY rn),
+te AS (SELECT tr.id, m.label_id, coalesce(ti.ids, []::INTEGER[]) AS ids FROM tr LEFT JOIN m ON tr.label = m.l LEFT JOIN ti ON ti.rn = tr.rn)
+SELECT id, label_id, {", ".join(_sql_topic(n) for n in TOPIC_LENGTHS)} FROM te""")(q_topic_encode)
+
+
 def topic_lines7(spark, sf):
     """One TSV file per source: a header ``index, category, text`` then one
     row per line of its documents."""

@@ -138,13 +138,13 @@ def start_topk_stream(queries: DataFrame, sources: DataFrame, k: int, out: str,
 
 def stage_files(df: DataFrame, split_col: str, out: str) -> str:
     """Write ``df`` group by group (distinct ``split_col`` values in order) so a
-    file stream sees the groups as successive arrivals. Each group is
-    written with its own parallelism; only the group values (days, buckets:
+    file stream sees the groups as successive arrivals (rows without a value
+    come first). Each group is written with its own parallelism; only the group values (days, buckets:
     a small, checked number) reach the driver. A simulation aid for the
     driver tables: a production stream comes from its upstream source."""
     vals = [r[0] for r in df.select(split_col).distinct().orderBy(split_col).limit(10_001).collect()]
     if len(vals) > 10_000:
         raise ValueError("too many arrival groups")
     for v in vals:
-        df.filter(F.col(split_col) == F.lit(v)).drop(split_col).write.mode("append").parquet(out)
+        df.filter(F.col(split_col).eqNullSafe(F.lit(v))).drop(split_col).write.mode("append").parquet(out)
     return out

@@ -123,3 +123,16 @@ def test_two_level_running_max_and_numbering(spark):
         wf = Window.partitionBy("run").orderBy("eval_no").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         exp = got.withColumn("e", F.max("f1").over(wf))
         assert all(r["m"] == r["e"] for r in exp.collect())
+
+
+def test_topic_rows_have_exactly_the_asked_length(spark):
+    from tessera.operators.encode import as_text, topic_encode
+    df = spark.createDataFrame([(1, list(range(10, 15))), (2, []), (3, list(range(10, 200)))], "k int, ids array<int>")
+    for r in df.select("k", *topic_encode(F.col("ids"), 100), *topic_encode(F.col("ids"), 160)).collect():
+        for n in (100, 160):
+            ids, mask = r[f"input_ids_{n}"], r[f"attention_mask_{n}"]
+            size = min(n, {1: 5, 2: 0, 3: 190}[r["k"]] + 2)
+            assert len(ids) == len(mask) == n and sum(mask) == size
+            assert ids[0] == 0 and ids[size - 1] == 2 and set(ids[size:]) <= {1}
+    texts = spark.createDataFrame([("a",), (None,)], "t string").select(as_text(F.col("t")).alias("t"))
+    assert sorted(r["t"] for r in texts.collect()) == ["a", "nan"]

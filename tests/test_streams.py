@@ -39,3 +39,9 @@ def test_best_tracker_any_trigger(spark, files):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
     out = run_to_files(best_tracker(stream, 3, "1 day"), tempfile.mkdtemp(prefix="tessera-stream-") + "/out")
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == expected(rows, 3)
+
+
+def test_staged_arrivals_keep_rows_without_a_group(spark, tmp_path):
+    from tessera.streaming.streams import stage_files
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, None)], "k int, g string")
+    assert sorted(r["k"] for r in spark.read.parquet(stage_files(df, "g", str(tmp_path / "in"))).collect()) == [1, 2, 3, 4]
