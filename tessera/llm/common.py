@@ -4,6 +4,8 @@ column-name hygiene and the fixed train / held-out fold."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_names(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that return the caller's columns: columns whose names begin
+    with ``__``, as those of helper columns do, have other names inside and come
+    back unchanged."""
+    @wraps(step)
+    def run(docs: DataFrame, *args, **kw) -> DataFrame:
+        taken, aside = {c.lower() for c in docs.columns}, {}
+        for column in docs.columns:
+            if column.startswith("__"):
+                name = f"own{len(aside)}"
+                while name in taken:
+                    name = "own" + name
+                taken.add(name)
+                aside[column] = name
+        return step(docs.withColumnsRenamed(aside), *args, **kw).withColumnsRenamed({v: k for k, v in aside.items()})
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` is exact for pure ASCII texts and much
     cheaper there; other texts go through the per-character mapping."""

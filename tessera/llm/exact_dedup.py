@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, stage
+from tessera.llm.common import ascii_lower, own_names, stage
 
 HASHES = 2
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
@@ -80,6 +80,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     return alone.union(decided).withColumnRenamed("sha", "text_sha256")
 
 
+@own_names
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay; only possibly repeated rows shuffle."""
     rows = stage(docs.select("doc_id", text_sha(F.col("text")).alias("sha")), "sha")

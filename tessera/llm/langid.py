@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tessera.llm.class_words import class_ngrams, class_word_counts, class_words
-from tessera.llm.common import held_out, sampled_rows
+from tessera.llm.common import held_out, own_names, sampled_rows
 from tessera.llm.ngrams import Letters, Lookup, segment_sum, slices, split_words
 
 UND = "und"
@@ -93,6 +93,7 @@ def train(docs: DataFrame, rows_per_class: int = 4000, seed: int = 9) -> Model:
     return Model(languages, *class_words(counts, languages), orders)
 
 
+@own_names
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, word_count
+from tessera.llm.common import own_names, stage, word_count
 
 WEIGHTS = (3, 1, 2)
 BUCKET = 4096           # expected rows of a hash bucket
@@ -200,6 +200,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 10) -> D
         (F.col("__copies") * F.col("__size")).cast("long").alias("taken"))
 
 
+@own_names
 def mixed(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 10) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them."""
     _, table, small = _table(docs, share, most, seed)

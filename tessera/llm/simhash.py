@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.llm.common import stage
+from tessera.llm.common import own_names, stage
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -216,6 +216,7 @@ def near_classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFram
         F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+@own_names
 def near_dedup(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` that represent their class (smallest id, then
     smallest text hash): one row of each class."""

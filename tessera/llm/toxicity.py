@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tessera.llm.class_words import class_ngrams, class_word_counts
-from tessera.llm.common import held_out, sampled_rows
+from tessera.llm.common import held_out, own_names, sampled_rows
 from tessera.llm.ngrams import Letters, Lookup, segment_sum, slices, split_words
 
 TOP, SHARED = 6, 1
@@ -181,6 +181,7 @@ def train(docs: DataFrame, marks: DataFrame, rows_per_class: int = 4000, seed: i
     return model
 
 
+@own_names
 def with_toxicity(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``."""
     out = docs.drop("score", "predicted")
