@@ -73,3 +73,19 @@ def test_discovery_lists_files_and_names_each_language_once(spark):
     assert {(r["file_name"], r["length"]) for r in files.collect()} == {(os.path.basename(n), i + 1) for i, n in enumerate(names[:4])}
     assert sorted(r["lang"] for r in discover_langs(files).collect()) == ["deu", "en", "fr"]
     assert "content" not in files._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+
+
+def test_small_blocks_share_tasks(spark):
+    d = tempfile.mkdtemp()
+    want = set()
+    for i in range(40):
+        with open(os.path.join(d, f"{i}.txt"), "w") as f:
+            f.write("".join(f"{i} {k}\n" for k in range(500)))
+        want |= {(f"{i}.txt", k, f"{i} {k}") for k in range(500)}
+    parts = spark.conf.get("spark.sql.files.maxPartitionNum", None)
+    lines = read_lines(spark, d, with_block=True, block_bytes=500)
+    staged = [f for f in lines.inputFiles() if "lines-" in f]
+    blocks = lines.select("file", "block").distinct().count()
+    assert {(os.path.basename(r["file"]), r["line_no"], r["text"]) for r in lines.collect()} == want
+    assert blocks > 200 and len(staged) <= 17 * spark.sparkContext.defaultParallelism < blocks
+    assert spark.conf.get("spark.sql.files.maxPartitionNum", None) == parts
