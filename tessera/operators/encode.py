@@ -8,11 +8,14 @@ executor loss draws exactly the same masks.
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import pad_fixed
-from tessera.functions.draws import coin, uniform
+from tessera.functions.draws import coin, draw_key
 from tessera.operators.vocab import BOS_ID, EOS_ID, MASK_ID, PAD_ID
 
 ENC_SUFFIXES = ("input_ids", "attention_mask", "special_tokens_mask", "token_type_ids")
@@ -83,21 +86,41 @@ def tlm_positions(ids_1: Column, ids_2: Column, order: Column, max_len: int) ->
     return F.slice(F.when(order == 1, F.concat(p1, p2)).otherwise(F.concat(p2, p1)), 1, max_len)
 
 
+def _masked(vocab_size: int, p: float):
+    """Every draw once: a position that is not special takes one, a chosen one up
+    to three more."""
+    def run(ids: pa.Array, special: pa.Array, key: pa.Array) -> pa.Array:
+        inputs, labels = [], []
+        for row, marks, k in zip(ids.to_pylist(), special.to_pylist(), key.to_pylist()):
+            if row is None:
+                inputs.append(None)
+                labels.append(None)
+                continue
+            base = md5(k.encode())
+
+            def draw(at, tag):
+                h = base.copy()
+                h.update(f":{at}:{tag}".encode())
+                return int.from_bytes(h.digest()[:4], "big") / 4294967296.0
+            lab, inp = [-100] * len(row), list(row)
+            for i, x in enumerate(row):
+                if marks[i] == 0 and draw(i, "p") < p:
+                    lab[i] = x
+                    if draw(i, "r") < 0.8:
+                        inp[i] = MASK_ID
+                    elif draw(i, "h") < 0.5:
+                        inp[i] = int(draw(i, "id") * vocab_size)
+            inputs.append(inp)
+            labels.append(lab)
+        return pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.int32())) for x in (inputs, labels)], ["inputs", "labels"])
+    return run
+
+
 def mlm_mask(ids: Column, special: Column, key: list[Column], seed: int, vocab_size: int,
              p: float = 0.15) -> tuple[Column, Column]:
     """``(masked inputs, labels)``: each non-special position is chosen with
     probability ``p``; a chosen one keeps its id as label (others -100) and
-    becomes the mask id (80 %), a random id (half of the rest) or stays."""
-    def draw(i, tag):
-        return uniform(F.lit(seed), *key, i, F.lit(tag))
-
-    def chosen(x, i):
-        return (F.element_at(special, i + 1) == 0) & (draw(i, "p") < F.lit(p))
-
-    labels = F.transform(ids, lambda x, i: F.when(chosen(x, i), x).otherwise(F.lit(-100)))
-    inputs = F.transform(ids, lambda x, i: F.when(
-        chosen(x, i),
-        F.when(draw(i, "r") < F.lit(0.8), F.lit(MASK_ID))
-        .when(draw(i, "h") < F.lit(0.5), F.floor(draw(i, "id") * F.lit(vocab_size)).cast("int"))
-        .otherwise(x)).otherwise(x))
-    return inputs, labels
+    becomes the mask id (80 %), a random id (half of the rest) or stays. The draws
+    are those of :func:`tessera.functions.draws.uniform`."""
+    both = F.arrow_udf(_masked(vocab_size, p), "struct<inputs:array<int>,labels:array<int>>")(ids, special, draw_key(seed, *key))
+    return both["inputs"], both["labels"]

@@ -20,7 +20,7 @@ from tessera.functions.text import sql_split_ws
 from tessera.operators.subword import sql_longest_match, tokenize
 from tessera.plans.q_corpus import SQL_VALID, pairs
 from tessera.plans.registry import register, table
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, stage_table
 from tessera.sources.stores import cached_tokens
 
 VOCAB_SIZE, PIECE_LEN, MAX_LEN = 2000, 4, 512
@@ -32,13 +32,10 @@ KEYS = ["doc_id", "line_no"]
 
 
 def valid(spark, sf, cut: bool = False):
-    """Valid pair table; ``cut`` materialises it once (reliable checkpoint)
-    when several passes read it (vocabulary + encoding)."""
+    """Valid pair table; ``cut`` materialises it once (a staged table) when
+    several passes read it (vocabulary + encoding)."""
     v = valid_pairs(pairs(spark, sf)).select(*KEYS, "text", "transliteration")
-    if cut:
-        checkpoint_dir(spark)
-        v = v.checkpoint(eager=True)
-    return v
+    return stage_table(v, "valid-pairs") if cut else v
 
 
 def vocab(spark, sf, v=None):
@@ -47,12 +44,13 @@ def vocab(spark, sf, v=None):
 
 
 def encoded(spark, sf, cut: bool = False):
-    """Encoded pairs; ``cut`` checkpoints the result for consumers that read
-    it more than once (sorts sample their input before sorting it)."""
+    """Encoded pairs; ``cut`` stages the result for consumers that read it more
+    than once (sorts sample their input before sorting it) or a few of its
+    columns."""
     v = valid(spark, sf, cut=True)
     ids = encode_texts(v, vocab(spark, sf, v), {"ids_1": "text", "ids_2": "transliteration"}, PIECE_LEN)
     e = pair_encode(ids, KEYS, F.col("ids_1"), F.col("ids_2"), MAX_LEN)
-    return e.checkpoint(eager=True) if cut else e
+    return stage_table(e, "encoded-pairs") if cut else e
 
 
 # ----- SQL fragments ---------------------------------------------------------
