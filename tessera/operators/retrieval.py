@@ -14,16 +14,15 @@ output):
    query row to the ``X`` source blocks (``explode(sequence)``, a narrow
    operator), so block pair ``(xb, yb)`` holds ~N/X sources and ~M/Y
    queries — shuffle volume (Y·N + X·M)·d instead of N·M;
-3. ``groupBy(xb, yb).applyInPandas`` runs one BLAS product per block pair
-   and keeps, per query, the local top-k under the total order
-   ``(round(dist, 9), source idx)``; distances of the kept rows are
-   recomputed in the direct form with a sequential sum, which is bit-equal
-   to the JVM ``aggregate(zip_with(...))`` expression;
+3. ``groupBy(xb, yb).applyInPandas`` runs BLAS products over tiles of a block
+   pair (:class:`BlockSearch`) and keeps, per query, the local top-k under the
+   total order ``(round(dist, 9), source idx)``;
 4. the ≤ X·k candidates per query are merged by a window partitioned by
    the query key (bounded per key, so no hot partition).
 
-``X`` and ``Y`` are chosen so one block holds at most ``block_rows`` vectors; group
-memory is therefore bounded whatever the input size.
+``X`` and ``Y`` are chosen so one block holds about ``BLOCK_BYTES`` of vectors (or
+``block_rows`` of them); group memory is therefore bounded whatever the input size,
+and a row is copied once per ``BLOCK_BYTES`` of the other side.
 """
 
 from __future__ import annotations
@@ -33,19 +32,32 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.arrays import l2_distance, l2_normalize
 
 
+BLOCK_BYTES = 32 << 20          # vectors of a block, in double precision
+
+
+def block_rows_of(dimension: Column) -> Column:
+    """Rows of a block of about ``BLOCK_BYTES``, for a column of dimensions."""
+    return F.greatest(F.floor(F.lit(float(BLOCK_BYTES)) / (8 * F.greatest(dimension, F.lit(1)))), F.lit(1))
+
+
+def least_blocks(spark) -> int:
+    """Enough block pairs to keep every core busy on small inputs."""
+    return int(math.ceil(math.sqrt(spark.sparkContext.defaultParallelism)))
+
+
 def normalize(df: DataFrame, vec: str = "vec", out: str | None = None) -> DataFrame:
     """L2-normalise a vector column (zero vectors become null)."""
     return df.withColumn(out or vec, l2_normalize(vec))
 
 
-def _with_blocks(queries: DataFrame, sources: DataFrame, group_cols: list[str], block_rows: int,
+def _with_blocks(queries: DataFrame, sources: DataFrame, group_cols: list[str], vec: str, block_rows: int | None,
                  min_blocks: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with ``__xn`` source blocks and ``__yn`` query blocks.
 
@@ -53,20 +65,179 @@ def _with_blocks(queries: DataFrame, sources: DataFrame, group_cols: list[str],
     (one row per group, a partial aggregate of each side), so a small group is
     not cut into the blocks that the largest one needs."""
     def blocks(n):
-        return F.greatest(F.ceil(n / F.lit(float(block_rows))), F.lit(min_blocks)).cast("int")
+        rows = F.lit(block_rows) if block_rows else block_rows_of(F.max("dim"))
+        return F.greatest(F.ceil(n / rows), F.lit(min_blocks)).cast("int")
+    sides = [df.select(*[F.col(g).alias(f"__{g}") for g in group_cols], F.lit(x).alias("x"), F.lit(1 - x).alias("y"), F.size(vec).alias("dim"))
+             for df, x in ((sources, 1), (queries, 0))]
+    sizes = sides[0].unionByName(sides[1]).groupBy(*[f"__{g}" for g in group_cols]).agg(blocks(F.sum("x")).alias("__xn"), blocks(F.sum("y")).alias("__yn"))
     if not group_cols:
-        xn, yn = blocks(F.lit(sources.count())), blocks(F.lit(queries.count()))
-        return tuple(df.withColumns({"__xn": xn, "__yn": yn}) for df in (queries, sources))
-    either = (sources.select(*group_cols, F.lit(1).alias("x"), F.lit(0).alias("y"))
-              .unionByName(queries.select(*group_cols, F.lit(0).alias("x"), F.lit(1).alias("y"))))
-    sizes = either.groupBy(*[F.col(g).alias(f"__{g}") for g in group_cols]) \
-                  .agg(blocks(F.sum("x")).alias("__xn"), blocks(F.sum("y")).alias("__yn"))
+        xn, yn = sizes.first()
+        return tuple(df.withColumns({"__xn": F.lit(xn), "__yn": F.lit(yn)}) for df in (queries, sources))
     def sized(df):
         on = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group_cols]
         return df.join(sizes, on).drop(*[f"__{g}" for g in group_cols])
     return sized(queries), sized(sources)
 
 
+def _first_of_equal(X: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows in order of id, without those that have ``k`` equal vectors before
+    them: copies are at one distance, so ties leave them out of any first k."""
+    order = np.argsort(ids, kind="stable")
+    if len(ids) <= k or not X.shape[1]:
+        return order
+    bits = np.ascontiguousarray(X).view(np.uint64)
+    code = (bits * (np.arange(1, bits.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))).sum(axis=1, dtype=np.uint64)[order]
+    by = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.r_[True, code[by][1:] != code[by][:-1]])
+    size = np.diff(np.r_[starts, len(by)])
+    if size.max() <= k:
+        return order
+    head, rank = np.repeat(starts, size), np.arange(len(by))
+    rank = rank - head
+    many = np.flatnonzero(np.repeat(size, size) > k)
+    differs = many[(bits[order[by[many]]] != bits[order[by[head[many]]]]).any(axis=1)]
+    drop = (rank >= k) & ~np.isin(head, head[differs])             # other vectors of the same code: all stay
+    keep = np.ones(len(order), bool)
+    keep[by[drop]] = False
+    return order[keep]
+
+
+def _set_places(mask: np.ndarray) -> np.ndarray:
+    """``flatnonzero`` of a mask with few set places, eight bytes at a time."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    near = (words[:, None] * 8 + np.arange(8)).ravel()
+    return np.concatenate([near[flat[near]], whole + np.flatnonzero(flat[whole:])])
+
+
+class BlockSearch:
+    """The first ``k`` of a block of sources for tiles of queries, in the total
+    order ``(round(dist, 9), id)``.
+
+    A product of single precision, with a bound on its error, leaves out what is
+    surely beyond the k-th distance seen so far; the few rows that are left get
+    their distance in the direct form with a sequential sum, which is bit-equal to
+    the JVM ``aggregate(zip_with(...))``. Where single precision cannot tell the
+    neighbours of a query from the rest (vectors far from the origin, say), the product is
+    of double precision. What is not a number is never left out."""
+
+    TILE, COLUMNS = 512, 4096
+
+    def __init__(self, ids: np.ndarray, X: np.ndarray, k: int, copies: bool = False):
+        """``copies`` keeps equal vectors that no first ``k`` of the block needs."""
+        self.k = k
+        rows = np.argsort(ids, kind="stable") if copies else _first_of_equal(X, ids, k)
+        self.kept, self.X, self.ids = rows, np.ascontiguousarray(X[rows]), ids[rows]
+        self.half = np.einsum("ij,ij->i", self.X, self.X) / 2
+        self.most = float(self.half.max()) if len(rows) else 0.0   # nan and inf make the margin so, and then nothing is left out
+        self.form = None
+
+    def _margin(self, y2: np.ndarray, dtype) -> np.ndarray:
+        """Bound on the error of a product of ``dtype``, summed in any order."""
+        u = np.finfo(dtype).eps
+        return (self.X.shape[1] + 8) * u * (np.sqrt(2 * self.most * y2) + self.most) + 1e-30
+
+    def _choose(self, Y: np.ndarray):
+        some = np.linspace(0, len(self.X) - 1, min(len(self.X), 1024)).astype(int)
+        ask = Y[np.linspace(0, len(Y) - 1, min(len(Y), 128)).astype(int)]
+        s = self.half[some][None, :] - ask @ self.X[some].T
+        kth = np.partition(s, min(self.k, len(some)) - 1, axis=1)[:, min(self.k, len(some)) - 1]
+        unsure = (s <= (kth + 4 * self._margin(np.einsum("ij,ij->i", ask, ask), np.float32))[:, None]).sum(axis=1).mean()
+        dtype = np.float32 if unsure <= 2 * self.k + 32 else np.float64
+        self.form = np.concatenate([-self.X, self.half[:, None]], axis=1).astype(dtype)
+
+    def _exact(self, Y, row, col):
+        """Of each row the first ``k`` of its pairs, with their distance."""
+        dist = np.empty(len(row))
+        for s in range(0, len(row), 16384):
+            diff = self.X[col[s:s + 16384]] - Y[row[s:s + 16384]]
+            dist[s:s + 16384] = np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])
+        order = np.lexsort((self.ids[col], np.round(dist, 9), row))
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        order = order[rank < self.k]
+        return order, dist[order]
+
+    def tile(self, Y: np.ndarray, columns: np.ndarray | None = None, bound: np.ndarray | None = None):
+        """``(row, id, dist)`` for queries ``Y`` against the sources at
+        ``columns`` (all if None); ``bound`` is a distance beyond which a source
+        is of no use, or nan."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            return self._tile(Y, columns, bound)
+
+    def _tile(self, Y, columns, bound):
+        n = len(self.X) if columns is None else len(columns)
+        none = np.zeros(0, np.int64)
+        if not n or not len(Y):
+            return none, none, np.zeros(0)
+        if self.form is None:
+            self._choose(Y)
+        y2 = np.einsum("ij,ij->i", Y, Y)
+        err = self._margin(y2, self.form.dtype)
+        ask = np.concatenate([Y, np.ones((len(Y), 1))], axis=1).astype(self.form.dtype)
+
+        def limit(kth):
+            """Covers two errors and the distances that round to the k-th."""
+            value = kth + 2 * err + 1e-7 * (1.0 + np.abs(2 * kth + y2))
+            return np.nextafter(value.astype(ask.dtype), ask.dtype.type(np.inf))
+
+        most = np.full(len(Y), np.inf)
+        if bound is not None:
+            most = np.where(np.isnan(bound), np.inf, (bound * bound - y2) / 2)
+        top = limit(most)
+        row, col, val = none, none, np.zeros(0, ask.dtype)
+        at, width, told = 0, 1024, 0
+        while at < n:
+            stop = min(n, at + width)
+            part = slice(at, stop) if columns is None else columns[at:stop]
+            s = ask @ self.form[part].T
+            if at == 0 and stop - at >= self.k and np.isinf(most).any():
+                first = np.partition(s, self.k - 1, axis=1)[:, self.k - 1].astype(np.float64)
+                most = np.fmin(most, first) if not np.isnan(first).any() else most
+                top = limit(most)
+            hit = _set_places(~(s > top[:, None]))
+            r, c = np.divmod(hit, stop - at)
+            row, val = np.concatenate([row, r]), np.concatenate([val, s.ravel()[hit]])
+            col = np.concatenate([col, c + at if columns is None else columns[c + at]])
+            at, width = stop, min(2 * width, self.COLUMNS)
+            if at < n and len(row) - told > self.k * len(Y) // 2:
+                order = np.lexsort((val, row))
+                row, col, val = row[order], col[order], val[order]
+                start = np.searchsorted(row, np.arange(len(Y)))
+                full = np.flatnonzero(np.searchsorted(row, np.arange(len(Y)), side="right") - start >= self.k)
+                seen = val[start[full] + self.k - 1].astype(np.float64)
+                most[full] = np.where(np.isnan(seen), most[full], np.minimum(most[full], seen))
+                top = limit(most)
+                keep = ~(val > top[row])
+                row, col, val = row[keep], col[keep], val[keep]
+                if len(row) > 128 * len(Y):                        # very many at one distance
+                    order, _ = self._exact(Y, row, col)
+                    row, col, val = row[order], col[order], val[order]
+                told = len(row)
+        keep = ~(val > top[row])
+        row, col = row[keep], col[keep]
+        order, dist = self._exact(Y, row, col)
+        return row[order], self.ids[col[order]], dist
+
+    def run(self, ids: np.ndarray, Y: np.ndarray) -> pd.DataFrame:
+        """``query_idx, neighbour_idx, dist, dist9`` of all queries against all sources."""
+        parts = []
+        for s in range(0, len(ids), self.TILE):
+            row, found, dist = self.tile(Y[s:s + self.TILE])
+            parts.append((ids[s + row], found, dist))
+        return found_rows(parts)
+
+
+def found_rows(parts: list) -> pd.DataFrame:
+    q, n, d = (np.concatenate(c) for c in zip(*parts))
+    return pd.DataFrame({"query_idx": q, "neighbour_idx": n, "dist": d, "dist9": np.round(d, 9)})
+
+
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
 def _local_topk_fn(k: int, group_cols: list[str]):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         xs = pdf[pdf["side"] == 0]
@@ -74,53 +245,8 @@ def _local_topk_fn(k: int, group_cols: list[str]):
         cols = group_cols + ["query_idx", "neighbour_idx", "dist", "dist9"]
         if len(xs) == 0 or len(ys) == 0:
             return pd.DataFrame({c: pd.Series(dtype=object) for c in cols})
-        X = np.stack(xs["vec"].to_numpy()).astype(np.float64)
-        Y = np.stack(ys["vec"].to_numpy()).astype(np.float64)
-        xid = xs["idx"].to_numpy(dtype=np.int64)
-        yid = ys["idx"].to_numpy(dtype=np.int64)
-        x2 = np.einsum("ij,ij->i", X, X)
-        kk = min(k, len(xid))
-        m = min(len(xid), kk + 16)
-        out_q, out_n, out_d = [], [], []
-        step = 1024
-        for s in range(0, len(yid), step):
-            Yc = Y[s:s + step]
-            y2 = np.einsum("ij,ij->i", Yc, Yc)
-            d2 = y2[:, None] + x2[None, :] - 2.0 * (Yc @ X.T)
-            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-            # Generous slack: the product form carries rounding error the
-            # direct form does not, and boundary ties must survive the cut.
-            thr = kth + 1e-7 * (1.0 + np.abs(kth))
-            if m < len(xid):
-                cand = np.argpartition(d2, m - 1, axis=1)[:, :m]
-                # everything left out is >= the largest kept value: safe when
-                # that value is beyond the threshold, else take the exact path
-                ok = np.take_along_axis(d2, cand, 1).max(axis=1) > thr
-            else:
-                cand = np.broadcast_to(np.arange(len(xid)), (len(Yc), len(xid)))
-                ok = np.ones(len(Yc), dtype=bool)
-            diff = X[cand] - Yc[:, None, :]
-            # cumsum is a sequential left-to-right sum: same bits as the JVM
-            # aggregate over zip_with
-            d = np.sqrt(np.cumsum(diff * diff, axis=2)[:, :, -1])
-            ids = xid[cand]
-            order = np.lexsort((ids, np.round(d, 9)), axis=1)[:, :kk]
-            rows = np.nonzero(ok)[0]
-            out_q.append(np.repeat(yid[s + rows], kk))
-            out_n.append(np.take_along_axis(ids[rows], order[rows], 1).ravel())
-            out_d.append(np.take_along_axis(d[rows], order[rows], 1).ravel())
-            for r in np.nonzero(~ok)[0]:
-                c = np.nonzero(d2[r] <= thr[r])[0]
-                df_ = X[c] - Yc[r]
-                dr = np.sqrt(np.cumsum(df_ * df_, axis=1)[:, -1])
-                o = np.lexsort((xid[c], np.round(dr, 9)))[:kk]
-                out_q.append(np.full(len(o), yid[s + r], dtype=np.int64))
-                out_n.append(xid[c][o])
-                out_d.append(dr[o])
-        q = np.concatenate(out_q)
-        res = pd.DataFrame({"query_idx": q, "neighbour_idx": np.concatenate(out_n),
-                            "dist": np.concatenate(out_d)})
-        res["dist9"] = np.round(res["dist"].to_numpy(), 9)
+        search = BlockSearch(xs["idx"].to_numpy(dtype=np.int64), stacked(xs["vec"]), k)
+        res = search.run(ys["idx"].to_numpy(dtype=np.int64), stacked(ys["vec"]))
         for g in group_cols:
             res.insert(0, g, pdf[g].iloc[0])
         return res[cols]
@@ -129,7 +255,7 @@ def _local_topk_fn(k: int, group_cols: list[str]):
 
 def topk_neighbours(queries: DataFrame, sources: DataFrame, k: int = 10, *,
                     key: str = "idx", vec: str = "vec", group_cols: list[str] | None = None,
-                    block_rows: int = 4096, min_blocks: int | None = None) -> DataFrame:
+                    block_rows: int | None = None, min_blocks: int | None = None) -> DataFrame:
     """Exact k nearest ``sources`` rows (Euclidean) for every ``queries`` row.
 
     Returns ``group_cols + (query_idx, rank, neighbour_idx, distance)`` with
@@ -142,10 +268,9 @@ def topk_neighbours(queries: DataFrame, sources: DataFrame, k: int = 10, *,
     # a zero vector has no direction (null after normalising) and no neighbours
     queries, sources = queries.filter(F.col(vec).isNotNull()), sources.filter(F.col(vec).isNotNull())
     if min_blocks is None:
-        # enough block pairs to keep every core busy on small inputs
-        min_blocks = int(math.ceil(math.sqrt(spark.sparkContext.defaultParallelism)))
+        min_blocks = least_blocks(spark)
     gfields = [queries.schema[g] for g in group_cols]
-    queries, sources = _with_blocks(queries, sources, group_cols, block_rows, min_blocks)
+    queries, sources = _with_blocks(queries, sources, group_cols, vec, block_rows, min_blocks)
 
     def prep(df, side):
         base = df.select(*group_cols, F.col(key).cast("long").alias("idx"),
