@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators.retrieval import BlockSearch, _with_blocks
+from tessera.operators.pivots import _sent_queries, topk_pruned
+from tessera.operators.retrieval import BlockSearch, _with_blocks, least_blocks, topk_neighbours
 
 RNG = np.random.default_rng(5)
 
@@ -51,3 +53,19 @@ def test_blocks_follow_the_size_of_vectors(spark):
         asked, found = _with_blocks(ask, src, groups, "vec", None, 1)
         assert asked.first()["__xn"] == 1 and found.first()["__yn"] == 1       # 288 KB of vectors: no copies
         assert _with_blocks(ask, src, groups, "vec", 4096, 1)[0].first()["__xn"] == 3
+
+
+def test_random_directions_are_sent_once_per_shelf(spark):
+    src, ask = vectors(spark, unit(2000)), vectors(spark, unit(150))
+    _, sent, cells, _ = _sent_queries(ask, src, 5, "idx", "vec", [], 20)
+    shelves = cells.select("shelf").distinct().count()
+    assert cells.count() >= 100 and shelves <= least_blocks(spark) + 1
+    assert sent.count() <= 150 * shelves
+    assert sorted(topk_pruned(ask, src, 5, block_rows=20).collect()) == sorted(topk_neighbours(ask, src, 5).collect())
+
+
+def test_pruned_search_far_from_the_origin(spark):
+    src, ask = vectors(spark, unit(1500, 6) + 1e5), vectors(spark, unit(60, 6) + 1e5)
+    got, want = (sorted(df.withColumn("distance", F.round("distance", 5)).collect())
+                 for df in (topk_pruned(ask, src, 5, block_rows=40), topk_neighbours(ask, src, 5)))
+    assert got == want
