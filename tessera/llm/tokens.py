@@ -1,5 +1,6 @@
 """Public tokenizer over Arrow batches: every distinct white-space run of a
-batch is encoded once.
+batch is encoded once, and the ids of short runs are kept for later batches of
+the process (at most ``KNOWN`` runs; those not seen lately go first).
 
 Exact because the vocabulary's tokenizer drops white space before it merges.
 Runs of Latin-1 letters with at most one final ``.`` or ``,`` are encoded as
@@ -19,6 +20,8 @@ from tessera.llm.ngrams import segment_sum, split_words
 
 _PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 _GROUP = 2000
+KNOWN = 1 << 19         # with their ids about 25 MB
+_SHORT = 40             # code points; longer runs are not kept
 
 
 @lru_cache(maxsize=4)
@@ -31,6 +34,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Remembered:
+    """Ids of words encoded before, as flat arrays: about 50 bytes a word."""
+
+    def __init__(self, most: int = KNOWN):
+        self.most, self.clock = most, 0
+        self.words, self.ids = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.used = (np.zeros(0, np.int64) for _ in range(3))
+
+    def ids_of(self, words: pa.Array, encode):
+        """Flat ids and lengths of distinct words; ``encode`` is asked only for
+        those whose ids are not kept."""
+        self.clock += 1
+        at = pc.fill_null(pc.index_in(words, value_set=self.words.cast(words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new, known = np.flatnonzero(at < 0), np.flatnonzero(at >= 0)
+        fresh = words.take(pa.array(new))
+        ids, size = encode(fresh.to_pylist()) if len(new) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        self.used[at[known]] = self.clock
+        starts[known], sizes[known] = self.starts[at[known]], self.sizes[at[known]]
+        starts[new], sizes[new] = len(self.ids) + np.cumsum(size) - size, size
+        flat = gather(np.concatenate([self.ids, ids]), starts, sizes)
+        self._keep(fresh, ids, size)
+        return flat, sizes
+
+    def _keep(self, words: pa.Array, ids: np.ndarray, size: np.ndarray):
+        short = pc.less_equal(pc.utf8_length(words), _SHORT).to_numpy(zero_copy_only=False)
+        if not short.any():
+            return
+        begin = np.cumsum(size) - size
+        ids, size = gather(ids, begin[short], size[short]), size[short]
+        self.words = pa.concat_arrays([self.words, words.filter(pa.array(short)).cast(pa.string())])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(size) - size])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, size])
+        self.used = np.concatenate([self.used, np.full(len(size), self.clock)])
+        if len(self.words) > self.most:
+            last = np.sort(np.argsort(-self.used, kind="stable")[:self.most // 2])
+            self.words, self.ids = self.words.take(pa.array(last)), gather(self.ids, self.starts[last], self.sizes[last])
+            self.sizes, self.used = self.sizes[last], self.used[last]
+            self.starts = np.cumsum(self.sizes) - self.sizes
+
+
 class WordTokenizer:
     """A word-level BPE file of the ``tokenizers`` library whose pieces mark
     the end of a word."""
@@ -43,20 +87,23 @@ class WordTokenizer:
         vocabulary = self.inner.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.known = Remembered()
         self.marks = {m: self._one_by_one([m])[0] for m in (".", ",")}
 
     def _one_by_one(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.inner.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _letters(self, words: pa.Array):
+    def _each(self, listed: list[str]):
+        each = self._one_by_one(listed)
+        return np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)
+
+    def _letters(self, listed: list[str]):
         """Flat ids and lengths of distinct lower-case letter words."""
-        listed = words.to_pylist()
         groups = [" ".join(listed[i:i + _GROUP]) for i in range(0, len(listed), _GROUP)]
         ids = np.array([i for e in self._one_by_one(groups) for i in e], dtype=np.uint32)
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) != len(listed):
-            each = self._one_by_one(listed)
-            return np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)
+            return self._each(listed)
         return ids, np.diff(np.concatenate([[0], last]))
 
     def words(self, words: pa.Array):
@@ -66,15 +113,13 @@ class WordTokenizer:
         plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
         simple = words.filter(pa.array(plain))
         core = pc.utf8_lower(pc.utf8_rtrim(simple, ".,")).dictionary_encode()
-        ids, size = self._letters(core.dictionary)
+        ids, size = self.known.ids_of(core.dictionary, self._letters)
         at = np.concatenate([[0], np.cumsum(size)])[:-1]
         of = core.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         mark = np.where(pc.ends_with(simple, ".").to_numpy(zero_copy_only=False), 1,
                         np.where(pc.ends_with(simple, ",").to_numpy(zero_copy_only=False), 2, 0))
         tails = [np.array([], np.uint32), *(np.array(self.marks[m], np.uint32) for m in (".", ","))]
-        other = self._one_by_one(words.filter(pa.array(~plain)).to_pylist())
-        flat_other = np.array([i for e in other for i in e], np.uint32)
-        size_other = np.array([len(e) for e in other], np.int64)
+        flat_other, size_other = self.known.ids_of(words.filter(pa.array(~plain)), self._each)
         # layout: letter words, the same words again where a mark follows, the rest
         flat, starts, lengths = [ids], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         where = np.flatnonzero(plain)
