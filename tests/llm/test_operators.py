@@ -508,6 +508,39 @@ def test_line_components_follow_every_link(spark):
     assert out == Counter([(1, 1), (3, 1), (5, 1), (11, 11), (12, 11), (13, 11), (20, 20), (None, None), (None, None)])
 
 
+def test_line_sets_shuffle_once(spark, monkeypatch):
+    """The prefix join reads one exchange, and only lines whose set may repeat are grouped."""
+    from tessera.llm import lines as L
+    write, plan, tables = L.stage, {}, {}
+
+    def stage(df, name):
+        if name == "candidates":
+            df.collect()
+            plan[name] = df._jdf.queryExecution().executedPlan().toString()
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(L, "stage", stage)
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i}\nthese words are in every text\n" + " ".join(f"w{i % 50}x{k}" for k in range(9 + i // 50))) for i in range(100)]
+    _, sets, pairs = L.similar_sets(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["copies"] for r in sets.collect()] == [100] and pairs.count() == 50
+    assert "ReusedExchange" in plan["candidates"]
+    assert tables["linesets"].count() < 10
+
+
+def test_words_and_lines_by_plain_breaks(spark):
+    import re
+
+    from tessera.llm import lines as L
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("aB\u00c9 \t\n\x0b\x0c\r\x1c\u00a0.")) for _ in range(int(rng.integers(0, 30)))) for _ in range(400)]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", L._split(F.col("text")).alias("lines"), L._words(F.col("text")).alias("words")).collect()
+    for r in got:
+        assert r["lines"] == re.split(r"\r\n|[\n\r]", r["text"])
+    one = [r for r in got if not re.search(r"[\n\r]", r["text"])]
+    assert one and all(r["words"] == re.findall(r"[^\x20\x09-\x0D]+", r["text"].lower()) for r in one)
+
+
 def test_line_dedup_odd_rows(spark, odd, empty):
     from tessera.llm import lines as L
     out = L.matched_lines(clashing(odd))
