@@ -528,6 +528,47 @@ def test_line_sets_shuffle_once(spark, monkeypatch):
     assert tables["linesets"].count() < 10
 
 
+def test_line_links_make_no_row_for_a_pair(spark, monkeypatch):
+    """Near copies of a line: links are counted inside tiles, over several tiles too, and no table has the pairs."""
+    from tessera.llm import lines as L
+    write, rows_of = L.stage, {}
+
+    def stage(df, name):
+        rows_of[name] = (table := write(df, name)).count()
+        return table
+
+    monkeypatch.setattr(L, "stage", stage)
+    monkeypatch.setattr(L, "PART", 64)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join([w for k, w in enumerate(base) if k not in gone] + [f"own{i}"])) for i in range(200) for gone in [rng.choice(40, i % 4, replace=False)]]
+    rows += [(1000 + i, f"{' '.join(f'long{i // 2}x{k}' for k in range(700))} end{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = L.matched_lines(df).collect()
+    assert sorted(tuple(r[c] for c in COLS3) for r in out) == plain_lines(rows)
+    assert sum(r["n_links"] for r in out) > 30_000 and len({r["component_id"] for r in out if r["doc_id"] < 1000}) == 1
+    assert max(n for name, n in rows_of.items() if name != "candidates") < 2000 and rows_of["candidates"] < 200 * 10
+    assert L.similar_sets(df)[2].count() == sum(r["n_links"] for r in out) / 2
+
+
+def test_line_word_counts_come_as_one_row(spark, monkeypatch):
+    """The driver takes the table of word counts as one row, and plans stay small."""
+    from pyspark.sql import DataFrame
+
+    from tessera.llm import lines as L
+    taken, take = [], DataFrame.collect
+
+    def collect(self):
+        taken.append(len(out := take(self)))
+        return out
+
+    monkeypatch.setattr(DataFrame, "collect", collect)
+    df = spark.createDataFrame([(i, " ".join(f"t{i}x{k}" for k in range(50))) for i in range(200)], "doc_id long, text string")
+    counts = L.rarity(df)
+    assert sum(taken) < 100
+    assert len(df.select(L._ordered_set(df["text"], counts))._jdf.queryExecution().executedPlan().toString()) < 300_000
+
+
 def test_words_and_lines_by_plain_breaks(spark):
     import re
 
