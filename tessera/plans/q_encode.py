@@ -43,14 +43,11 @@ def vocab(spark, sf, v=None):
     return build_vocab(v, ["text", "transliteration"], VOCAB_SIZE, PIECE_LEN)
 
 
-def encoded(spark, sf, cut: bool = False):
-    """Encoded pairs; ``cut`` stages the result for consumers that read it more
-    than once (sorts sample their input before sorting it) or a few of its
-    columns."""
-    v = valid(spark, sf, cut=True)
+def encoded(spark, sf, v=None, keys=KEYS):
+    """Encoded pairs, of the staged pair table ``v`` if that is there."""
+    v = v if v is not None else valid(spark, sf, cut=True)
     ids = encode_texts(v, vocab(spark, sf, v), {"ids_1": "text", "ids_2": "transliteration"}, PIECE_LEN)
-    e = pair_encode(ids, KEYS, F.col("ids_1"), F.col("ids_2"), MAX_LEN)
-    return stage_table(e, "encoded-pairs") if cut else e
+    return pair_encode(ids, keys, F.col("ids_1"), F.col("ids_2"), MAX_LEN)
 
 
 # ----- SQL fragments ---------------------------------------------------------
@@ -138,9 +135,9 @@ SELECT lang, doc_id, line_no, array_to_string({sql_text_pieces('text', PIECE_LEN
 
 
 def q_len_stats(spark, sf):
-    e = encoded(spark, sf, cut=True)
-    b = assign_batches(e.select(*KEYS, "input_ids_1"), [F.col(k) for k in KEYS], BATCH)
-    return len_stats(b, "batch_id", "input_ids_1", RETR_MAX_LEN)
+    e = stage_table(encoded(spark, sf).select(*KEYS, F.size("input_ids_1").alias("n_tokens")), "encoded-sizes")
+    b = assign_batches(e, [F.col(k) for k in KEYS], BATCH)
+    return len_stats(b, "batch_id", "n_tokens", RETR_MAX_LEN)
 
 
 register("len_stats", f"""WITH {SQL_ENC},
@@ -177,8 +174,10 @@ FROM lineitem""")(q_seeded_shuffle)
 
 
 def q_pad_batch(spark, sf):
-    e = encoded(spark, sf, cut=True)
-    b = assign_batches(e, [F.col(k) for k in KEYS], BATCH)
+    # rows are numbered by their keys alone and meet their batch again by a row id
+    v = stage_table(valid(spark, sf).withColumn("row_id", F.monotonically_increasing_id()), "valid-pairs")
+    e = encoded(spark, sf, v, [*KEYS, "row_id"]).select("row_id", *KEYS, "input_ids_1", "attention_mask_1", "special_tokens_mask_1")
+    b = e.join(assign_batches(v.select(*KEYS, "row_id"), [F.col(k) for k in KEYS], BATCH).select("row_id", "batch_id"), "row_id")
     p = pad_batch(b, "batch_id", {"input_ids_1": PAD_ID, "attention_mask_1": 0, "special_tokens_mask_1": 1},
                   "input_ids_1", PAD_MULTIPLE)
     return p.select(*KEYS, "batch_id", "padded_len", "input_ids_1", "attention_mask_1", "special_tokens_mask_1")
@@ -202,7 +201,7 @@ FROM m""")(q_pad_batch)
 def q_prepare_batch(spark, sf):
     v = valid(spark, sf, cut=True)
     t = encode_texts(v.select(*KEYS, "text"), vocab(spark, sf, v), {"tokens": "text"}, PIECE_LEN)
-    t = t.checkpoint(eager=True)
+    t = stage_table(t, "encoded-tokens")
     b = assign_batches(t, [F.col(k) for k in KEYS], BATCH).drop("row_no", "pos_in_batch")
     return prepare_batch(b, "batch_id", "tokens", RETR_MAX_LEN)
 
