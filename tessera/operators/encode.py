@@ -8,14 +8,14 @@ executor loss draws exactly the same masks.
 
 from __future__ import annotations
 
-from hashlib import md5
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.arrays import pad_fixed
-from tessera.functions.draws import coin, draw_key
+from tessera.functions.draws import coin, draw_key, uniforms
+from tessera.operators.tag_arrays import flat, lists
 from tessera.operators.vocab import BOS_ID, EOS_ID, MASK_ID, PAD_ID
 
 ENC_SUFFIXES = ("input_ids", "attention_mask", "special_tokens_mask", "token_type_ids")
@@ -86,33 +86,32 @@ def tlm_positions(ids_1: Column, ids_2: Column, order: Column, max_len: int) ->
     return F.slice(F.when(order == 1, F.concat(p1, p2)).otherwise(F.concat(p2, p1)), 1, max_len)
 
 
+PLACES = [b":%d:" % i for i in range(1 << 10)]
+
+
 def _masked(vocab_size: int, p: float):
     """Every draw once: a position that is not special takes one, a chosen one up
     to three more."""
+    def drawn(keys: list[bytes], row: np.ndarray, at: np.ndarray, tag: bytes) -> np.ndarray:
+        return uniforms([keys[r] + (PLACES[i] if i < len(PLACES) else b":%d:" % i) + tag for r, i in zip(row.tolist(), at.tolist())])
+
     def run(ids: pa.Array, special: pa.Array, key: pa.Array) -> pa.Array:
-        inputs, labels = [], []
-        for row, marks, k in zip(ids.to_pylist(), special.to_pylist(), key.to_pylist()):
-            if row is None:
-                inputs.append(None)
-                labels.append(None)
-                continue
-            base = md5(k.encode())
-
-            def draw(at, tag):
-                h = base.copy()
-                h.update(f":{at}:{tag}".encode())
-                return int.from_bytes(h.digest()[:4], "big") / 4294967296.0
-            lab, inp = [-100] * len(row), list(row)
-            for i, x in enumerate(row):
-                if marks[i] == 0 and draw(i, "p") < p:
-                    lab[i] = x
-                    if draw(i, "r") < 0.8:
-                        inp[i] = MASK_ID
-                    elif draw(i, "h") < 0.5:
-                        inp[i] = int(draw(i, "id") * vocab_size)
-            inputs.append(inp)
-            labels.append(lab)
-        return pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.int32())) for x in (inputs, labels)], ["inputs", "labels"])
+        offsets, values = flat(ids)
+        old = values.to_numpy(zero_copy_only=False)
+        marks = flat(special)[1].to_numpy(zero_copy_only=False) if len(old) else old
+        keys = [(k or "").encode() for k in key.to_pylist()]
+        row = np.repeat(np.arange(len(ids)), np.diff(offsets))
+        at = np.arange(len(old)) - offsets[:-1][row]
+        inputs, labels = old.copy(), np.full(len(old), -100, np.int32)
+        chosen = np.flatnonzero(marks == 0)
+        chosen = chosen[drawn(keys, row[chosen], at[chosen], b"p") < p]
+        labels[chosen] = old[chosen]
+        kept = drawn(keys, row[chosen], at[chosen], b"r") >= 0.8
+        inputs[chosen[~kept]] = MASK_ID
+        other = chosen[kept]
+        other = other[drawn(keys, row[other], at[other], b"h") < 0.5]
+        inputs[other] = (drawn(keys, row[other], at[other], b"id") * vocab_size).astype(np.int32)
+        return pa.StructArray.from_arrays([lists(offsets, pa.array(x.astype(np.int32)), ids) for x in (inputs, labels)], ["inputs", "labels"])
     return run
 
 
